@@ -151,14 +151,12 @@ def project_digest(sessions: DataFrame, items: DataFrame, decisions: DataFrame,
 def shared_decisions(decisions: DataFrame, project_id: str) -> DataFrame:
     """All decisions of a project as context lines, in the order they were recorded."""
     rows = decisions.where(F.col("project_id") == project_id)
-    return rows.select(
-        "seq",
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("part"), F.concat(F.lit("- **Decision:** "), F.coalesce("decision", F.lit("N/A"))).alias("line")),
-            F.struct(F.lit(1), F.concat(F.lit("  - **By Agents:** "), F.array_join("by_agents", ", "))),
-            F.struct(F.lit(2), F.concat(F.lit("  - **Reason:** "), F.coalesce("reason", F.lit("N/A")), F.lit("\n"))),
-        )).alias("e"),
-    ).select("seq", "e.part", "e.line")
+    lines = (
+        F.concat(F.lit("- **Decision:** "), F.coalesce("decision", F.lit("N/A"))),
+        F.concat(F.lit("  - **By Agents:** "), F.array_join("by_agents", ", ")),
+        F.concat(F.lit("  - **Reason:** "), F.coalesce("reason", F.lit("N/A")), F.lit("\n")),
+    )
+    return rows.select("seq", F.posexplode(F.array(*lines)).alias("part", "line"))
 
 
 def decisions_list(decisions: DataFrame, project_id: str, block_rows: int = 1_000_000) -> DataFrame:

@@ -244,7 +244,9 @@ def collapse_history(sessions: DataFrame, items: DataFrame, by: str, keep_last:
         .join(folded.select(by, "agent_id", "session_ts"), by)
         .groupBy("agent_id", "bucket", "text").agg(F.min(F.struct("session_ts", "pos")).alias("seen"))
     )
-    distinct = first_seen.groupBy("agent_id").pivot("bucket", ["decisions", "next"]).agg(F.count("*"))
+    distinct = first_seen.groupBy("agent_id").agg(
+        *[F.count_if(F.col("bucket") == b).alias(b) for b in ("decisions", "next")]
+    )
     sizes = totals.select("agent_id").join(distinct, "agent_id", "left").na.fill(0, ["decisions", "next"])
     titles = sizes.select("agent_id", F.explode(F.array(*[
         line(s, "", F.lit(f"\n## {title} (агрегировано: "), F.col(b).cast("string"), F.lit(")"))

@@ -115,7 +115,7 @@ def buckets(source: str = "items") -> str:
 ranked AS (SELECT *, row_number() OVER (PARTITION BY session_no, bucket ORDER BY key_pos, item_pos) AS pos,
   CASE bucket WHEN 'dialog' THEN 5 ELSE 10 END AS cap FROM cand),
 marks AS (SELECT session_no, bucket, CASE WHEN bucket = 'other' THEN count(*) ELSE count(DISTINCT key_pos) END AS m
-  FROM ranked WHERE pos > cap GROUP BY ALL),
+  FROM ranked WHERE pos > cap GROUP BY session_no, bucket),
 step AS (WITH RECURSIVE s AS (
     SELECT r.session_no, r.bucket, r.pos, r.text, CASE WHEN r.pos = r.cap THEN least(coalesce(m.m, 0), 12) ELSE 0 END AS left_
     FROM ranked r LEFT JOIN marks m USING (session_no, bucket) WHERE r.pos <= r.cap
