@@ -8,26 +8,21 @@ from __future__ import annotations
 import csv
 import json
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import StringType
 
+from recollect.functions.arrow import per_value
 from recollect.functions.text import BLANKS
 
 
-@arrow_udf(StringType())
-def _decode_legacy(data: pa.Array) -> pa.Array:
-    def one(raw):
-        if raw is None:
-            return None
-        try:
-            return raw.decode("cp1251")
-        except UnicodeDecodeError:
-            return raw.decode("latin-1")
+def _legacy(raw: bytes) -> str:
+    try:
+        return raw.decode("cp1251")
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
 
-    return pa.array([one(raw) for raw in data.to_pylist()], pa.string())
+_decode_legacy = per_value(_legacy)
 
 
 def decode_text(data: Column) -> Column:
@@ -39,19 +34,15 @@ def decode_text(data: Column) -> Column:
     return F.coalesce(utf8, _decode_legacy(F.when(utf8.isNull(), data)))
 
 
-@arrow_udf(StringType())
-def normalize_json(text: pa.Array) -> pa.Array:
-    """JSON with two-space indent; what does not parse is only trimmed."""
+def _pretty(raw: str) -> str:
+    try:
+        return json.dumps(json.loads(raw), indent=2, ensure_ascii=False)
+    except json.JSONDecodeError:
+        return raw.strip(BLANKS)
 
-    def one(raw):
-        if raw is None:
-            return None
-        try:
-            return json.dumps(json.loads(raw), indent=2, ensure_ascii=False)
-        except json.JSONDecodeError:
-            return raw.strip(BLANKS)
 
-    return pa.array([one(raw) for raw in text.to_pylist()], pa.string())
+# JSON with two-space indent; what does not parse is only trimmed.
+normalize_json = per_value(_pretty)
 
 
 def _table(raw: str) -> str:
@@ -67,7 +58,5 @@ def _table(raw: str) -> str:
     return "\n".join([shaped[0], rule, *shaped[1:]])
 
 
-@arrow_udf(StringType())
-def csv_to_markdown(text: pa.Array) -> pa.Array:
-    """CSV text as a Markdown table of the header's width."""
-    return pa.array([None if raw is None else _table(raw) for raw in text.to_pylist()], pa.string())
+# CSV text as a Markdown table of the header's width.
+csv_to_markdown = per_value(_table)

@@ -4,12 +4,10 @@ the standard library's tokenizer; everything around it stays native."""
 from __future__ import annotations
 
 import re
+from functools import partial
 from html.parser import HTMLParser
 
-import pyarrow as pa
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import StringType
-
+from recollect.functions.arrow import per_value
 from recollect.functions.text import BLANKS, LINE_END
 
 # Which elements are silent, cut out, or end a line.
@@ -81,17 +79,7 @@ def to_text(html: str, rules: dict[str, set[str]]) -> str:
     return tidy("".join(walker.out))
 
 
-def _convert(column: pa.Array, rules) -> pa.Array:
-    return pa.array([None if h is None else to_text(h, rules) for h in column.to_pylist()], pa.string())
-
-
-@arrow_udf(StringType())
-def html_to_text(html: pa.Array) -> pa.Array:
-    """Plain text of a document; headings keep their level as ``#``."""
-    return _convert(html, DOCUMENT_RULES)
-
-
-@arrow_udf(StringType())
-def html_main_content(html: pa.Array) -> pa.Array:
-    """Readable text of a page without navigation, forms and the like."""
-    return _convert(html, PAGE_RULES)
+# Plain text of a document; headings keep their level as ``#``.
+html_to_text = per_value(partial(to_text, rules=DOCUMENT_RULES))
+# Readable text of a page without navigation, forms and the like.
+html_main_content = per_value(partial(to_text, rules=PAGE_RULES))

@@ -8,9 +8,9 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from recollect.functions.arrow import per_value
 from recollect.functions.text import strip
 
 # Fields that hold an item's text, best first, and its speaker.
@@ -72,13 +72,9 @@ def _rows(raw: str) -> list[dict]:
     ]
 
 
-@arrow_udf(ITEM_TYPE)
-def session_items(session_json: pa.Array) -> pa.Array:
-    """Items of a session document with their key and both positions.
-
-    A bare text or list counts as what was done.
-    """
-    return pa.array([[] if raw is None else _rows(raw) for raw in session_json.to_pylist()], _ARROW_ITEM)
+# Items of a session document with their key and both positions. A bare text
+# or list counts as what was done.
+session_items = per_value(_rows, ITEM_TYPE, _ARROW_ITEM)
 
 
 def turn_item(role: Column, text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,14 @@ KINDS = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it.
+
+    Keeps nested expressions small; ``body`` must be native.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
@@ -43,10 +53,12 @@ def one_line(c: Column) -> Column:
 
 def lines_of(c: Column) -> Column:
     """Lines without their ends; a closing line end opens no further line."""
-    parts = F.split(c, LINE_END)
-    return F.when(F.length(c) == 0, F.array().cast("array<string>")).when(
-        F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
-    ).otherwise(parts)
+    return let(
+        F.split(c, LINE_END),
+        lambda parts: F.when(
+            F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
+        ).otherwise(parts),
+    )
 
 
 def chunk_id(c: Column) -> Column:
@@ -146,27 +158,24 @@ def front_matter(c: Column) -> Column:
     The closing ``---`` must stand within the first 50 lines; without it the
     whole text is body. Later entries of a key win, see :func:`meta_value`.
     """
-    rows = lines_of(c)
-    head = F.slice(rows, 2, 49)
-    end = F.array_position(F.transform(head, strip), "---").cast("int")
-    has = F.startswith(c, F.lit("---")) & (F.size(rows) >= 2) & (end > 0)
-    raw = F.filter(F.slice(head, 1, F.greatest(end - 1, F.lit(0))), lambda x: F.instr(x, ":") > 0)
-    pairs = F.filter(
-        F.transform(
-            raw,
-            lambda x: F.struct(
-                F.lower(strip(F.substring_index(x, ":", 1))).alias("key"),
-                strip(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value"),
-            ),
-        ),
-        lambda p: p["value"] != "",
-    )
-    body = strip(F.array_join(F.slice(rows, end + 2, F.size(rows)), "\n"))
     none = F.array().cast("array<struct<key:string,value:string>>")
-    return F.struct(
-        F.when(has, pairs).otherwise(none).alias("entries"),
-        F.when(has, body).otherwise(c).alias("body"),
-    )
+
+    def pair(line: Column) -> Column:
+        value = F.substring(line, F.instr(line, ":") + 1, F.length(line))
+        return F.struct(F.lower(strip(F.substring_index(line, ":", 1))).alias("key"), strip(value).alias("value"))
+
+    def parsed(rows: Column, end: Column) -> Column:
+        has = F.startswith(c, F.lit("---")) & (F.size(rows) >= 2) & (end > 0)
+        marked = F.filter(F.slice(rows, 2, F.greatest(end - 1, F.lit(0))), lambda x: F.instr(x, ":") > 0)
+        pairs = F.filter(F.transform(marked, pair), lambda p: p["value"] != "")
+        body = strip(F.array_join(F.slice(rows, end + 2, F.size(rows)), "\n"))
+        return F.struct(F.when(has, pairs).otherwise(none).alias("entries"), F.when(has, body).otherwise(c).alias("body"))
+
+    def with_end(rows: Column) -> Column:
+        closing = F.array_position(F.transform(F.slice(rows, 2, 49), strip), "---").cast("int")
+        return let(closing, lambda end: parsed(rows, end))
+
+    return let(lines_of(c), with_end)
 
 
 def meta_raw(entries: Column, key: str) -> Column:
@@ -185,11 +194,13 @@ def meta_value(entries: Column, key: str) -> Column:
 
 def meta_list(entries: Column, key: str) -> Column:
     """``[a, b]`` as an array; a scalar counts as the list of its characters."""
-    v = meta_raw(entries, key)
-    inner = F.split(F.substring(v, 2, F.length(v) - 2), ",")
-    items = F.transform(F.filter(inner, lambda x: strip(x) != ""), lambda x: F.btrim(strip(x), F.lit("\"'#")))
-    chars = F.filter(F.split(F.btrim(v, F.lit("\"'# ")), ""), lambda x: x != "")
-    return F.coalesce(F.when(is_meta_list(v), items).otherwise(chars), F.array().cast("array<string>"))
+    def listed(v: Column) -> Column:
+        inner = F.split(F.substring(v, 2, F.length(v) - 2), ",")
+        items = F.transform(F.filter(inner, lambda x: strip(x) != ""), lambda x: F.btrim(strip(x), F.lit("\"'#")))
+        chars = F.filter(F.split(F.btrim(v, F.lit("\"'# ")), ""), lambda x: x != "")
+        return F.when(is_meta_list(v), items).otherwise(chars)
+
+    return F.coalesce(let(meta_raw(entries, key), listed), F.array().cast("array<string>"))
 
 
 def doc_tags(tags: Column, kind: Column) -> Column:

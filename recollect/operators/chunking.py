@@ -89,42 +89,51 @@ def ingest(files: DataFrame, limit: int = DEFAULTS.ingestion.max_chunk_chars) ->
     ``files`` has ``path`` and extracted ``raw`` text. Nothing raises: a bad
     file is a row with status ``skipped`` or ``error``.
     """
-    path, kind, raw = F.col("path"), F.col("kind"), F.col("raw")
-    staged = files.withColumn("kind", tx.file_kind(path)).withColumn("md", normalized(raw, kind))
-    meta = F.when(kind == "markdown", tx.front_matter(F.col("md")))
-    staged = staged.withColumn("meta", meta)
-    entries = F.coalesce(F.col("meta")["entries"], F.array().cast("array<struct<key:string,value:string>>"))
-    body = F.coalesce(F.col("meta")["body"], F.col("md"))
-    empty = F.coalesce(tx.strip(raw), F.lit("")) == ""
-    chunks = F.when(kind.isNotNull() & ~empty, chunks_of(body, kind, limit))
-    staged = staged.withColumn("chunks", F.coalesce(chunks, F.array().cast(_EMPTY)))
-    produced = F.size("chunks") > 0
-    status = (
-        F.when(kind.isNull(), "skipped").when(empty, "error").when(~produced, "error").otherwise("ingested")
-    )
-    reason = (
-        F.when(kind.isNull(), F.concat(F.lit("unsupported format "), tx.file_suffix(path)))
-        .when(empty, "empty content").when(~produced, "no chunks produced")
+    path, raw = F.col("path"), F.col("raw")
+    known = files.withColumn("kind", tx.file_kind(path))
+    kind = F.col("kind")
+    blank = F.coalesce(tx.strip(raw), F.lit("")) == ""
+    no_entries = F.array().cast("array<struct<key:string,value:string>>")
+
+    def report(chunks: Column, meta: Column) -> Column:
+        bad = (
+            F.when(kind.isNull(), F.concat(F.lit("unsupported format "), tx.file_suffix(path)))
+            .when(blank, "empty content").when(F.size(chunks) == 0, "no chunks produced")
+        )
+        entries = meta["entries"]
+        return F.struct(
+            F.when(kind.isNull(), "skipped").when(bad.isNotNull(), "error").otherwise("ingested").alias("status"),
+            bad.alias("reason"),
+            chunks.alias("chunks"),
+            F.when(bad.isNull(), tx.doc_tags(tx.meta_list(entries, "tags"), kind)).alias("tags"),
+            tx.meta_value(entries, "project").alias("project_id"),
+            F.coalesce(tx.meta_value(entries, "source"), path).alias("source"),
+        )
+
+    def split(meta: Column) -> Column:
+        usable = kind.isNotNull() & ~blank
+        chunks = F.when(usable, chunks_of(meta["body"], kind, limit)).otherwise(F.array().cast(_EMPTY))
+        return tx.let(chunks, lambda c: report(c, meta))
+
+    def parsed(md: Column) -> Column:
+        plain = F.struct(no_entries.alias("entries"), md.alias("body"))
+        return tx.let(F.when(kind == "markdown", tx.front_matter(md)).otherwise(plain), split)
+
+    # Bound variables instead of a chain of columns: the optimizer would repeat
+    # each column's whole expression wherever a later one names it.
+    done = known.withColumn("_r", tx.let(normalized(raw, kind), parsed))
+    return done.select(
+        *[c for c in files.columns if c != "raw"], F.coalesce(kind, F.lit("unknown")).alias("kind"), "_r.*"
     )
-    done = F.col("status") == "ingested"
-    return staged.select(
-        *[c for c in files.columns if c != "raw"],
-        F.coalesce(kind, F.lit("unknown")).alias("kind"),
-        status.alias("status"),
-        reason.alias("reason"),
-        "chunks",
-        tx.doc_tags(tx.meta_list(entries, "tags"), kind).alias("tags"),
-        tx.meta_value(entries, "project").alias("project_id"),
-        F.coalesce(tx.meta_value(entries, "source"), path).alias("source"),
-    ).withColumn("tags", F.when(done, F.col("tags")))
 
 
 def file_chunks(ingested: DataFrame, order: str) -> DataFrame:
-    """The chunks of ingested files as notes, in file order then text order."""
-    return ingested.where(F.col("status") == "ingested").select(
-        order,
-        F.posexplode("chunks").alias("pos", "content"),
-        "tags", "project_id", "source",
+    """The chunks of ingested files as notes, in file order then text order.
+
+    Other files have no chunks, so the explode alone drops them.
+    """
+    return ingested.select(
+        order, F.posexplode("chunks").alias("pos", "content"), "tags", "project_id", "source"
     )
 
 

@@ -8,9 +8,10 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
-from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType
 
+from recollect.functions.arrow import per_value
+
 _BAD_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 
@@ -47,11 +48,5 @@ def _epub(html: str) -> bytes:
     })
 
 
-@arrow_udf(BinaryType())
-def docx_bytes(text: pa.Array) -> pa.Array:
-    return pa.array([_docx(t) for t in text.to_pylist()], pa.binary())
-
-
-@arrow_udf(BinaryType())
-def epub_bytes(html: pa.Array) -> pa.Array:
-    return pa.array([_epub(h) for h in html.to_pylist()], pa.binary())
+docx_bytes = per_value(_docx, BinaryType(), pa.binary())
+epub_bytes = per_value(_epub, BinaryType(), pa.binary())

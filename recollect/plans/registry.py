@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recollect.plans import session_queries, store_queries, text_queries
+from recollect.plans import session_queries, store_queries, stream_queries, text_queries
 
-MODULES = (text_queries, store_queries, session_queries)
+MODULES = (text_queries, store_queries, session_queries, stream_queries)
 
 
 def registered() -> dict[str, tuple]:

@@ -15,13 +15,11 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import StringType
 
 from recollect.functions import text as tx
+from recollect.functions.arrow import per_value
 from recollect.functions.formats import decode_text
 from recollect.functions.html import DOCUMENT_RULES, to_text
 
@@ -107,17 +105,13 @@ def image_text(data: bytes) -> str:
 
 
 def _extractor(extract: Callable[[bytes], str]):
-    def guarded(data: bytes | None) -> str | None:
+    def guarded(data: bytes) -> str:
         try:
-            return None if data is None else extract(data)
+            return extract(data)
         except Exception:  # one broken file must not fail the job
             return ""
 
-    @arrow_udf(StringType())
-    def run(contents: pa.Array) -> pa.Array:
-        return pa.array([guarded(data) for data in contents.to_pylist()], pa.string())
-
-    return run
+    return per_value(guarded)
 
 
 extract_docx = _extractor(docx_text)
