@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every code point that counts as white space when trimming, and
-# the ones that end a line.
+# Every code point that counts as white space when trimming.
 BLANKS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     + "".join(map(chr, range(0x2000, 0x200B)))
-    + "    　"
+    + "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE = r"(?U)[\s\x1c-\x1f]"
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+# Regex classes: any white space; white space within a line; line ends other
+# than a line feed. (?U) and \v are single tests in Java, unlike spelled-out sets.
+SPACE = r"(?U:[\s\x1c-\x1f])"
+INLINE_SPACE = r"(?U:[\s\x1f&&[^\n]])"
+ODD_LINE_END = r"[\v\x1c-\x1e&&[^\n]]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 TOKEN = "[а-яёa-z0-9]+"
 
 # File suffix -> kind of content.
@@ -51,10 +54,15 @@ def one_line(c: Column) -> Column:
     return strip(F.regexp_replace(c, SPACE + "+", " "))
 
 
+def unify_lines(c: Column) -> Column:
+    """Every kind of line end as a line feed."""
+    return F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), ODD_LINE_END, "\n")
+
+
 def lines_of(c: Column) -> Column:
     """Lines without their ends; a closing line end opens no further line."""
     return let(
-        F.split(c, LINE_END),
+        F.split(unify_lines(c), "\n"),
         lambda parts: F.when(
             F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
         ).otherwise(parts),
@@ -72,15 +80,12 @@ def tokens(c: Column) -> Column:
 
 def token_features(toks: Column) -> Column:
     """The tokens followed by their adjacent pairs ``a_b``."""
-    pairs = F.when(
-        F.size(toks) > 1,
-        F.zip_with(
-            F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))),
-            F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))),
-            lambda a, b: F.concat(a, F.lit("_"), b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(toks, pairs)
+    def with_pairs(t: Column) -> Column:
+        rest = F.size(t) - 1
+        pairs = F.zip_with(F.slice(t, 1, rest), F.slice(t, 2, rest), lambda a, b: F.concat(a, F.lit("_"), b))
+        return F.when(rest > 0, F.concat(t, pairs)).otherwise(t)
+
+    return let(toks, with_pairs)
 
 
 def feature_slot(feature: Column, dim: int) -> Column:
@@ -143,8 +148,7 @@ def preview(c: Column, limit: int) -> Column:
 
 def normalize_ws(c: Column) -> Column:
     """Line ends unified, trailing blanks cut, at most one empty line in a row."""
-    unified = F.regexp_replace(c, LINE_END, "\n")
-    cut = F.regexp_replace(unified, r"(?U)[[\s\x1c-\x1f]&&[^\n]]+(?=\n)", "")
+    cut = F.regexp_replace(unify_lines(c), INLINE_SPACE + r"++\n", "\n")
     return strip(F.regexp_replace(cut, "\n{3,}", "\n\n"))
 
 

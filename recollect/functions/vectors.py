@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
-from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +24,6 @@ _token = re.compile(TOKEN)
 _UNROLL = 96
 
 
-@lru_cache(maxsize=1 << 18)
-def _slot(feature: str, dim: int) -> tuple[int, int]:
-    digest = hashlib.md5(feature.encode("utf-8")).digest()
-    return int.from_bytes(digest[:4], "big") % dim, 1 - 2 * (digest[7] & 1)
-
-
 def embed(text: str, dim: int) -> np.ndarray:
     """Signed feature hashing of unigrams and bigrams with 1 + ln(tf), unit length."""
     words = _token.findall(text.lower())
@@ -38,9 +31,12 @@ def embed(text: str, dim: int) -> np.ndarray:
     counts.update(map("_".join, zip(words, words[1:])))
     if not counts:
         return np.zeros(dim)
-    slots, signs = zip(*[_slot(feature, dim) for feature in counts])
-    weights = np.array(signs) * (1.0 + np.log(np.fromiter(counts.values(), float, len(counts))))
-    vec = np.bincount(np.array(slots), weights=weights, minlength=dim)
+    digests = b"".join([md5(feature.encode()).digest() for feature in counts])
+    # Big-endian words of each digest: the first gives the slot, the second's parity the sign.
+    hashes = np.frombuffer(digests, ">u4").reshape(-1, 4)
+    signs = 1.0 - 2.0 * (hashes[:, 1] & 1)
+    weights = signs * (1.0 + np.log(np.fromiter(counts.values(), float, len(counts))))
+    vec = np.bincount(hashes[:, 0] % dim, weights=weights, minlength=dim)
     norm = math.sqrt(float(vec @ vec))
     return vec / norm if norm > 0.0 else vec
 

@@ -48,19 +48,20 @@ def _solid(chunks: Column) -> Column:
 
 def chunk_plain(text: Column, limit: int = DEFAULTS.ingestion.max_chunk_chars) -> Column:
     """Paragraphs packed up to ``limit`` characters."""
-    return pack(_solid(F.split(text, r"\n(?:" + tx.SPACE[4:] + r")*\n")), "\n\n", limit)
+    return pack(_solid(F.split(text, rf"\n{tx.SPACE}*\n")), "\n\n", limit)
 
 
 def chunk_markdown(text: Column, limit: int = DEFAULTS.ingestion.max_chunk_chars) -> Column:
     """One chunk per heading section; a longer section is packed line by line."""
-    unified = F.array_join(tx.lines_of(text), "\n")
-    sections = F.transform(
-        F.split(unified, r"(?m)(?<=\n)(?=^#{1,6}[^\S\n])"), lambda s: F.regexp_replace(s, r"\n\z", "")
-    )
+    sections = F.split(tx.unify_lines(text), r"\n(?=#{1,6}[^\S\n])")
 
     def split_up(section: Column) -> Column:
-        whole = tx.strip(section)
-        return F.when(F.length(whole) <= limit, F.array(whole)).otherwise(pack(F.split(section, "\n"), "\n", limit))
+        return tx.let(
+            tx.strip(section),
+            lambda whole: F.when(F.length(whole) <= limit, F.array(whole)).otherwise(
+                pack(F.split(section, "\n"), "\n", limit)
+            ),
+        )
 
     return _solid(F.flatten(F.transform(sections, split_up)))
 

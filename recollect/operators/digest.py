@@ -80,9 +80,6 @@ def digest_stats(sessions: DataFrame, decisions: DataFrame, chunks: DataFrame) -
     )
 
 
-_LINE = ("section", "agent_id", "rank", "part", "line")
-
-
 def _lines(df: DataFrame, section: int, agent, rank, *parts: Column) -> DataFrame:
     """One output row per non-NULL part, numbered in the order given."""
     entries = F.array(*[F.struct(F.lit(i).alias("part"), p.alias("line")) for i, p in enumerate(parts)])
@@ -93,59 +90,75 @@ def _lines(df: DataFrame, section: int, agent, rank, *parts: Column) -> DataFram
     )
 
 
+def _ranked(df: DataFrame, newest: Column) -> DataFrame:
+    """Numbers the rows of an already limited selection."""
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(newest.desc(), "seq")))
+
+
 def project_digest(sessions: DataFrame, items: DataFrame, decisions: DataFrame, chunks: DataFrame, by: str,
                    project_id: str, since_ts=None, exclude_agent: str | None = None, only_agent: str | None = None,
                    empty_notice: bool = True, conf: Digest = DEFAULTS.digest) -> DataFrame:
-    """The digest as rows (section, agent_id, rank, part, line); ordered by these it is the document."""
+    """The digest as rows (section, agent_id, rank, part, line); ordered by these it is the document.
+
+    The entries are computed once and pass one exchange; headings are counts
+    over that same exchange (they name all its columns, so Spark reuses it).
+    """
     picked = digest_sessions(sessions, project_id, since_ts, exclude_agent, only_agent, conf)
     told = with_bucket_lines(picked, items, by, conf)
-    chosen = digest_decisions(decisions, project_id, since_ts, conf)
-    notes = digest_chunks(chunks, project_id, since_ts, conf)
-    stats = digest_stats(picked, chosen, notes)
+    chosen = _ranked(digest_decisions(decisions, project_id, since_ts, conf), F.coalesce("recorded_at", F.lit("")))
+    notes = _ranked(digest_chunks(chunks, project_id, since_ts, conf), F.coalesce("created_at", F.lit("")))
 
-    none, zero, text = F.lit(""), F.lit(0), lambda c: F.col(c).cast("string")
+    none, zero, rank = F.lit(""), F.lit(0), F.col("rank")
+    by_agents = F.array_join(F.when(F.size("by_agents") > 0, F.col("by_agents")).otherwise(F.array(F.lit("?"))), ", ")
+    who = F.when(F.coalesce("agent_id", none) != "", F.concat(F.lit(" ("), "agent_id", F.lit(")"))).otherwise(none)
+    entries = (
+        _lines(
+            told, 1, F.col("agent_id"), rank,
+            F.concat(F.lit("- **"), "session_ts", F.lit("**")),
+            *[F.when(F.col(b) != "", F.concat(F.lit(f"    - {label}: "), F.col(b))) for b, label in LABELS],
+        )
+        .unionAll(_lines(
+            chosen, 2, none, rank,
+            F.concat(F.lit("- "), F.substring(F.coalesce("recorded_at", F.lit("?")), 1, 10), F.lit(" **"),
+                     tx.truncate(F.coalesce("decision", none), conf.max_item_chars), F.lit("** — агенты: "), by_agents),
+            F.when(F.coalesce("reason", none) != "", F.concat(F.lit("    - Причина: "), tx.truncate(F.col("reason"), 200))),
+        ))
+        .unionAll(_lines(
+            notes, 3, none, rank,
+            F.concat(F.lit("- "), F.substring(F.coalesce("created_at", none), 1, 10), who, F.lit(": "), "preview"),
+        ))
+        .repartition("section", "agent_id")
+    )
+
+    def opening(section: int) -> Column:
+        here = (F.col("section") == section) & (F.col("part") == 0)
+        return here & (F.col("rank") > 0) & F.col("line").isNotNull()
+
+    stats = entries.agg(
+        F.count_if(opening(1)).alias("sessions"), F.count_if(opening(2)).alias("decisions"),
+        F.count_if(opening(3)).alias("chunks"), F.count_distinct(F.when(opening(1), F.col("agent_id"))).alias("agents"),
+    )
+    text = lambda c: F.col(c).cast("string")
     some = (F.col("sessions") + F.col("decisions") + F.col("chunks")) > 0
-    out = _lines(
-        stats.where(some), 0, none, zero,
-        F.lit(f"# Проектный дайджест: {project_id}"),
-        F.concat(F.lit("**Сессий:** "), text("sessions"), F.lit(" · **Агентов:** "), text("agents"),
-                 F.lit(" · **Решений:** "), text("decisions"), F.lit(" · **Заметок:** "), text("chunks")),
-        F.lit("**Сгенерировано:** ProjectDigest (эвристика, без LLM)."),
+    title = lambda section, part, when, *parts: F.struct(
+        F.lit(section).alias("section"), F.lit(part).alias("part"), F.when(when, F.concat(*parts)).alias("line"))
+    notice = f"Нет данных по проекту `{project_id}`: нет сессий/решений/заметок за указанный период."
+    titles = F.array(
+        title(0, 0, some, F.lit(f"# Проектный дайджест: {project_id}")),
+        title(0, 1, some, F.lit("**Сессий:** "), text("sessions"), F.lit(" · **Агентов:** "), text("agents"),
+              F.lit(" · **Решений:** "), text("decisions"), F.lit(" · **Заметок:** "), text("chunks")),
+        title(0, 2, some, F.lit("**Сгенерировано:** ProjectDigest (эвристика, без LLM).")),
+        title(0, 0, ~some & F.lit(empty_notice), F.lit(notice)),
+        title(1, 0, F.col("sessions") > 0, F.lit("\n## Сессии по агентам")),
+        title(2, 0, F.col("decisions") > 0, F.lit("\n## Совместные решения ("), text("decisions"), F.lit(")")),
+        title(3, 0, F.col("chunks") > 0, F.lit("\n## Свежие заметки проекта ("), text("chunks"), F.lit(")")),
     )
-    if empty_notice:
-        notice = f"Нет данных по проекту `{project_id}`: нет сессий/решений/заметок за указанный период."
-        out = out.unionAll(_lines(stats.where(~some), 0, none, zero, F.lit(notice)))
-    out = out.unionAll(_lines(stats.where("sessions > 0"), 1, none, zero, F.lit("\n## Сессии по агентам")))
-    out = out.unionAll(_lines(stats.where("decisions > 0"), 2, none, zero,
-                              F.concat(F.lit("\n## Совместные решения ("), text("decisions"), F.lit(")"))))
-    out = out.unionAll(_lines(stats.where("chunks > 0"), 3, none, zero,
-                              F.concat(F.lit("\n## Свежие заметки проекта ("), text("chunks"), F.lit(")"))))
-
-    per_agent = picked.groupBy("agent_id").agg(F.count("*").alias("n"))
-    agent = F.col("agent_id")
-    out = out.unionAll(_lines(per_agent, 1, agent, zero,
-                              F.concat(F.lit("\n### "), agent, F.lit(" (сессий: "), text("n"), F.lit(")"))))
-    out = out.unionAll(_lines(
-        told, 1, agent, F.col("rank"),
-        F.concat(F.lit("- **"), "session_ts", F.lit("**")),
-        *[F.when(F.col(b) != "", F.concat(F.lit(f"    - {label}: "), F.col(b))) for b, label in LABELS],
-    ))
-
-    newest = Window.orderBy(F.coalesce("recorded_at", F.lit("")).desc(), "seq")  # over at most max_decisions rows
-    by_agents = F.array_join(F.when(F.size("by_agents") > 0, F.col("by_agents")).otherwise(F.array(F.lit("?"))), ", ")
-    out = out.unionAll(_lines(
-        chosen.withColumn("rank", F.row_number().over(newest)), 2, none, F.col("rank"),
-        F.concat(F.lit("- "), F.substring(F.coalesce("recorded_at", F.lit("?")), 1, 10), F.lit(" **"),
-                 tx.truncate(F.coalesce("decision", F.lit("")), conf.max_item_chars), F.lit("** — агенты: "), by_agents),
-        F.when(F.coalesce("reason", F.lit("")) != "", F.concat(F.lit("    - Причина: "), tx.truncate(F.col("reason"), 200))),
-    ))
-    latest = Window.orderBy(F.coalesce("created_at", F.lit("")).desc(), "seq")  # over at most max_chunks rows
-    who = F.when(F.coalesce("agent_id", F.lit("")) != "", F.concat(F.lit(" ("), "agent_id", F.lit(")"))).otherwise(none)
-    out = out.unionAll(_lines(
-        notes.withColumn("rank", F.row_number().over(latest)), 3, none, F.col("rank"),
-        F.concat(F.lit("- "), F.substring(F.coalesce("created_at", none), 1, 10), who, F.lit(": "), "preview"),
-    ))
-    return out
+    head = stats.select(F.explode(F.filter(titles, lambda t: t["line"].isNotNull())).alias("t")).select(
+        "t.section", none.alias("agent_id"), zero.alias("rank"), "t.part", "t.line")
+    per_agent = entries.groupBy("agent_id").agg(F.count_if(opening(1)).alias("n")).where(F.col("n") > 0)
+    agents = _lines(per_agent, 1, F.col("agent_id"), zero,
+                    F.concat(F.lit("\n### "), F.col("agent_id"), F.lit(" (сессий: "), text("n"), F.lit(")")))
+    return head.unionAll(agents).unionAll(entries)
 
 
 def shared_decisions(decisions: DataFrame, project_id: str) -> DataFrame:
@@ -186,28 +199,42 @@ def agent_context(agent_id: str, project_id: str | None, summaries: DataFrame, c
     """
     mine = summaries.where(F.col("agent_id") == agent_id)
     none, zero = F.lit(""), F.lit(0)
-    cols = ("block", "section", "agent_id", "rank", "part", "line")
-    summary = mine.select(F.lit(0).alias("block"), zero.alias("section"), none.alias("agent_id"), F.lit(0).cast("bigint").alias("rank"),
-                          zero.alias("part"), F.col("body").alias("line"))
-    has_summary = not mine.limit(1).isEmpty()
-    if not has_summary:
+    # Blocks 0 and 1 are probed for a first row; the digest opens with its title if it has any.
+    has_summary = not mine.isEmpty()
+    if has_summary:
+        first = _block(0, mine, zero, none, F.lit(-1), zero, F.col("body"))
+    else:
         old = collapsed.where(F.col("agent_id") == agent_id)
-        summary = old.select(F.lit(0).alias("block"), "section", F.col("sort_key").alias("agent_id"),
-                             F.lit(0).cast("bigint").alias("rank"), zero.alias("part"), "line")
-    blocks = summary
-    if project_id:
-        told = shared_decisions(decisions, project_id)
-        title = told.groupBy().agg(F.count("*").alias("n")).where("n > 0").select(
-            F.lit(1).alias("block"), zero.alias("section"), none.alias("agent_id"), F.lit(-1).cast("bigint").alias("rank"), zero.alias("part"),
-            F.lit(f"## Shared Project Knowledge ({project_id})").alias("line"))
-        shared = told.select(F.lit(1).alias("block"), zero.alias("section"), none.alias("agent_id"),
-                             F.col("seq").alias("rank"), "part", "line")
-        digest = project_digest(sessions, items, decisions, chunks, by, project_id,
-                                last_session_ts(sessions, agent_id, order), empty_notice=False)
-        blocks = blocks.unionAll(title).unionAll(shared).unionAll(
-            digest.select(F.lit(2).alias("block"), "section", "agent_id", F.col("rank").cast("bigint"), "part", "line"))
-    present = blocks.groupBy("block").agg(F.count("*").alias("n"))
-    first = Window.orderBy("block")  # over at most three rows
-    breaks = present.withColumn("i", F.row_number().over(first)).where("i > 1").select(
-        "block", F.lit(-1).alias("section"), none.alias("agent_id"), F.lit(0).cast("bigint").alias("rank"), zero.alias("part"), F.lit("---").alias("line"))
-    return blocks.unionAll(breaks).select(*cols)
+        has_summary = not old.isEmpty()
+        first = _block(0, old, F.col("section"), F.col("sort_key"), F.lit(-1), zero, F.col("line"))
+    if not project_id:
+        return first
+    told = shared_decisions(decisions, project_id)
+    has_shared = not told.isEmpty()
+    title = F.lit(f"## Shared Project Knowledge ({project_id})")
+    shared = _block(1, told.limit(1), zero, none, F.lit(-1), zero, title).unionAll(
+        _block(1, told, zero, none, F.col("seq"), F.col("part"), F.col("line")))
+    digest = project_digest(sessions, items, decisions, chunks, by, project_id,
+                            last_session_ts(sessions, agent_id, order), empty_notice=False)
+    last = _block(2, digest, F.col("section"), F.col("agent_id"), F.col("rank"), F.col("part"), F.col("line"))
+    opens = (F.col("rank") == -1) | ((F.col("block") == 2) & (F.col("section") == 0) & (F.col("part") == 0))
+    if has_summary:
+        shared = _broken_off(shared, opens)
+    if has_summary or has_shared:
+        last = _broken_off(last, opens)
+    return first.unionAll(shared).unionAll(last)
+
+
+def _block(number: int, df: DataFrame, section, agent, rank, part, line) -> DataFrame:
+    return df.select(
+        F.lit(number).alias("block"), section.alias("section"), agent.alias("agent_id"),
+        rank.cast("bigint").alias("rank"), part.alias("part"), line.alias("line"))
+
+
+def _broken_off(block: DataFrame, opens: Column) -> DataFrame:
+    """A separator line (section -1) before the row that opens a block."""
+    line = lambda section, text: F.struct(section.alias("section"), text.alias("line"))
+    own = line(F.col("section"), F.col("line"))
+    rows = F.when(opens, F.array(line(F.lit(-1), F.lit("---")), own)).otherwise(F.array(own))
+    return block.select("block", "agent_id", "rank", "part", F.explode(rows).alias("r")).select(
+        "block", "r.section", "agent_id", "rank", "part", "r.line")

@@ -65,6 +65,12 @@ def with_vectors(chunks: DataFrame, dim: int = DEFAULTS.semantic.dim) -> DataFra
     ).where(F.col("vec").isNotNull())
 
 
+def write_index(index: DataFrame, path: str) -> DataFrame:
+    """Keep an index as a table. Searches read from it only the columns they use."""
+    index.write.mode("overwrite").parquet(path)
+    return index.sparkSession.read.schema(index.schema).parquet(path)
+
+
 def index_changes(index: DataFrame, chunks: DataFrame, dim: int = DEFAULTS.semantic.dim) -> dict[str, DataFrame]:
     """What brings an index in step with the store.
 

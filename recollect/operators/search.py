@@ -1,7 +1,7 @@
 """Ranking: semantic and hybrid search, related chunks, prompt blocks, query batches.
 
-Scores live in DECIMAL so that rounding does not depend on the engine:
-cosine rounded to 4 digits, plus the keyword bonus, times the trust damping.
+Score: cosine rounded to 4 digits, plus the keyword bonus, times the trust
+damping, rounded after each step (see :mod:`recollect.functions.numbers`).
 """
 
 from __future__ import annotations
@@ -15,27 +15,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.functions import text as tx
+from recollect.functions.numbers import round4, round4_array
 from recollect.functions.vectors import dot, dot_const, embed, sparse
 from recollect.operators.chunks import scope, stored_body
 from recollect.operators.common import top_n
 from recollect.operators.embed import with_vectors
 from recollect.settings import DEFAULTS, Settings
 
-SCORE = "decimal(10,4)"
 # The block's wording.
 PROMPT_HEADER = "### Контекст из памяти по запросу: «{query}»"
 PROMPT_PROJECT = " (проект: {project})"
 PROMPT_EMPTY = "\n(Релевантных заметок в памяти не найдено.)\n"
 
 
-def damping(trust: Column, weight: str) -> Column:
-    w = F.lit(weight).cast("decimal(6,4)")
-    t = F.coalesce(trust, F.lit(DEFAULTS.trust.default)).cast("decimal(6,4)")
-    return (F.lit(1).cast("decimal(6,4)") - w + w * t).cast("decimal(10,6)")
-
-
-def damped(score: Column, trust: Column, weight: str) -> Column:
-    return F.round(score.cast(SCORE) * damping(trust, weight), 4).cast(SCORE)
+def damped(score: Column, trust: Column, weight: float) -> Column:
+    t = F.coalesce(trust, F.lit(DEFAULTS.trust.default))
+    return round4(score * (F.lit(1.0 - weight) + F.lit(weight) * t))
 
 
 def _best_first(*scores: str) -> list[Column]:
@@ -91,9 +86,8 @@ def semantic_search(
     )
 
 
-def with_bonus(bonus: str) -> Column:
-    extra = F.when(F.col("keyword_hit"), F.lit(bonus)).otherwise(F.lit("0")).cast(SCORE)
-    return (F.col("cosine") + extra).cast(SCORE)
+def with_bonus(bonus: float) -> Column:
+    return F.when(F.col("keyword_hit"), round4(F.col("cosine") + bonus)).otherwise(F.col("cosine"))
 
 
 def _strip(text: str) -> str:
@@ -108,7 +102,7 @@ def score_chunks(index: DataFrame, weights: dict[int, float], needle: str) -> Da
         .where(F.col("_cos") > 0)
         .select(
             "seq", "chunk_id", "project_id", "tags", "trust",
-            F.round("_cos", 4).cast(SCORE).alias("cosine"),
+            round4(F.col("_cos")).alias("cosine"),
             hit.alias("keyword_hit"),
         )
     )
@@ -126,7 +120,7 @@ def related(index: DataFrame, chunk_id: str, top_k: int = 5, key: str = "chunk_i
         index.where(F.col(key) != chunk_id)
         .withColumn("_cos", dot(F.col(vector), base))
         .where(F.col("_cos") > 0)
-        .withColumn("score", F.round("_cos", 4).cast(SCORE))
+        .withColumn("score", round4(F.col("_cos")))
         .drop("_cos", vector)
         .orderBy(F.col("score").desc(), F.col(order))
         .limit(max(1, int(top_k)))
@@ -161,7 +155,7 @@ def context_prompt(
 
     def entry(hit: Column, i: Column) -> Column:
         title = F.concat(
-            F.lit("["), (i + 1).cast("string"), F.lit("] score="), F.round(hit["score"], 3).cast("decimal(10,3)").cast("string"),
+            F.lit("["), (i + 1).cast("string"), F.lit("] score="), F.format_string("%.3f", hit["score"]),
             F.lit(" | project: "), F.coalesce(F.nullif(hit["project_id"], F.lit("")), F.lit("general")),
             F.lit(" | tags: "), F.coalesce(F.nullif(F.array_join(hit["tags"], ", "), F.lit("")), F.lit("-")),
             F.lit("\n"),
@@ -226,11 +220,11 @@ def _search_block(index: DataFrame, block, id_field: T.StructField, top_k: int,
     spark = index.sparkSession
     shared = spark.sparkContext.broadcast((ids, needles, matrix))
     head_size, best = 4 * top_k, max(1, top_k)
-    default_trust, weight_int = settings.trust.default, round(float(settings.trust.weight) * 1e4)
+    default_trust, weight = settings.trust.default, settings.trust.weight
     schema = T.StructType([
         T.StructField("query_id", id_field.dataType), T.StructField("seq", T.LongType()),
         T.StructField("chunk_id", T.StringType()), T.StructField("trust", T.DoubleType()),
-        T.StructField("cos", T.DoubleType()), T.StructField("keyword_hit", T.BooleanType()),
+        T.StructField("cosine", T.DoubleType()), T.StructField("keyword_hit", T.BooleanType()),
     ])
 
     def candidates(batches):
@@ -241,11 +235,9 @@ def _search_block(index: DataFrame, block, id_field: T.StructField, top_k: int,
             seq = batch["seq"].to_numpy(zero_copy_only=False)
             vecs = batch["vec"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             trust = np.nan_to_num(batch["trust"].to_numpy(zero_copy_only=False).astype(float), nan=default_trust)
-            # The decimal arithmetic of ``damped``, in integers.
-            factor = 1_000_000 - weight_int * 100 + weight_int * np.rint(trust * 1e4).astype(np.int64) // 100
             scores = vecs @ matrix
-            cosine = np.rint(scores * 1e4).astype(np.int64)
-            low = (cosine * factor[:, None] + 500_000) // 1_000_000
+            cosine = round4_array(scores)
+            low = round4_array(cosine * ((1.0 - weight) + weight * trust)[:, None])
             chunk_ids, bodies = batch["chunk_id"].to_pylist(), None
             cols: dict[str, list] = {f.name: [] for f in schema}
             for q, (qid, needle) in enumerate(zip(ids, needles)):
@@ -260,16 +252,14 @@ def _search_block(index: DataFrame, block, id_field: T.StructField, top_k: int,
                 cols["seq"] += seq[kept].tolist()
                 cols["chunk_id"] += [chunk_ids[i] for i in kept]
                 cols["trust"] += trust[kept].tolist()
-                cols["cos"] += (cosine[kept, q] / 1e4).tolist()
+                cols["cosine"] += cosine[kept, q].tolist()
                 cols["keyword_hit"] += [bool(needle) and needle in bodies[i] for i in kept]
             yield pa.RecordBatch.from_pydict(cols, schema=pa_schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     pa_schema = to_arrow_schema(schema)
-    rows = index.select("seq", "chunk_id", "trust", stored_body(index).alias("body"), "vec").mapInArrow(candidates, schema)
-    scored = rows.withColumn("cosine", F.round("cos", 4).cast(SCORE)).drop("cos")
-    weight = settings.trust.weight
+    scored = index.select("seq", "chunk_id", "trust", stored_body(index).alias("body"), "vec").mapInArrow(candidates, schema)
     low = damped(F.col("cosine"), F.col("trust"), weight)
     # Both selections group by query; each is cut to its size on the map side.
     tail = top_n(scored, ["query_id"], [low.desc(), *_best_first("cosine")], head_size + best, "_r")

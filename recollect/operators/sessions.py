@@ -209,11 +209,17 @@ def collapse_history(sessions: DataFrame, items: DataFrame, by: str, keep_last:
     """
     folded = collapsible(sessions, keep_last)
     rows = bucket_rows(items.join(folded.select(by), by, "left_semi"), [by], conf)
-    facts = rows.groupBy(by).agg(
+    # One exchange of the bucketed items serves both aggregates below.
+    told = (
+        rows.join(folded.select(by, "agent_id", "session_ts"), by)
+        .select("agent_id", "session_ts", "bucket", "pos", "text")
+        .repartition("agent_id", "session_ts")
+    )
+    facts = told.groupBy("agent_id", "session_ts").agg(
         *[F.count_if(F.col("bucket") == b).alias(b) for b in BUCKETS],
         F.max(F.when((F.col("bucket") == "done") & (F.col("pos") == 1), F.col("text"))).alias("first_done"),
     )
-    per_session = folded.join(facts, by, "left")
+    per_session = folded.join(facts, ["agent_id", "session_ts"], "left")
     counts = F.concat_ws(", ", *[F.when(F.col(b) > 0, F.concat(F.lit(f"{b}="), F.col(b).cast("string"))) for b in BUCKETS])
     session_lines = per_session.select(
         "agent_id", F.lit(1).alias("section"), F.col("session_ts").alias("sort_key"),
@@ -240,9 +246,8 @@ def collapse_history(sessions: DataFrame, items: DataFrame, by: str, keep_last:
 
     out = head.unionByName(session_lines)
     first_seen = (
-        rows.where(F.col("bucket").isin("decisions", "next"))
-        .join(folded.select(by, "agent_id", "session_ts"), by)
-        .groupBy("agent_id", "bucket", "text").agg(F.min(F.struct("session_ts", "pos")).alias("seen"))
+        told.groupBy("agent_id", "bucket", "text").agg(F.min(F.struct("session_ts", "pos")).alias("seen"))
+        .where(F.col("bucket").isin("decisions", "next"))
     )
     distinct = first_seen.groupBy("agent_id").agg(
         *[F.count_if(F.col("bucket") == b).alias(b) for b in ("decisions", "next")]

@@ -24,6 +24,12 @@ def blanks(expr: str) -> str:
     return f"trim({expr}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
+def cut(expr: str, limit: str | int, keep: str | int) -> str:
+    """First ``keep`` characters without trailing white space, plus an ellipsis, when longer than ``limit``."""
+    ws = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"CASE WHEN length({expr}) > {limit} THEN rtrim(substr({expr}, 1, {keep}), {ws}) || '…' ELSE {expr} END"
+
+
 def one_line(expr: str) -> str:
     return blanks(f"regexp_replace({expr}, '\\s+', ' ', 'g')")
 
@@ -56,18 +62,28 @@ def weights(source: str, key: str, content: str, out: str, digits: int | None =
 {out} AS (SELECT {key}, idx::INTEGER AS idx, {w} AS w FROM {out}_s WHERE v <> 0)"""
 
 
+def round4(x: str) -> str:
+    """Rounding of a non-negative column by its exact value, in IEEE operations; see recollect.functions.numbers."""
+    high = f"({x} * 134217729.0::DOUBLE - ({x} * 134217729.0::DOUBLE - {x}))"
+    twice, low = f"({x} * 20000.0::DOUBLE)", f"floor({x} * 20000.0::DOUBLE / 2.0::DOUBLE)"
+    side = f"(({twice} - ({low} * 2.0::DOUBLE + 1.0::DOUBLE)) + (({high} * 20000.0::DOUBLE - {twice}) + ({x} - {high}) * 20000.0::DOUBLE))"
+    return f"(({low} + CASE WHEN {side} > 0 THEN 1 WHEN {side} < 0 THEN 0 ELSE {low} % 2 END) / 10000.0::DOUBLE)"
+
+
 def ranking(query: str, top_k: int, hybrid: bool = True, weight: str = "0.25", where: str = "true") -> str:
     """CTEs ending in ``hits``: the ranked chunks of one query."""
     head = 4 * top_k if hybrid else 0
     return f"""{CHUNKS}, {weights('chunks', 'chunk_id', 'content', 'w')},
 q AS (SELECT 0 AS qid, '{query}' AS qtext), {weights('q', 'qid', 'qtext', 'qw', None)},
 cos AS (SELECT chunk_id, sum(w.w * qw.w) AS c FROM w JOIN qw USING (idx) GROUP BY chunk_id HAVING sum(w.w * qw.w) > 0),
-scored AS (SELECT k.*, CAST(round(c, 4) AS DECIMAL(10, 4)) AS cosine,
+scored AS (SELECT k.*, {round4('c')} AS cosine,
   contains(lower({blanks('content')}), lower('{query}')) AS hit
   FROM cos JOIN chunks k USING (chunk_id) WHERE {where}),
 placed AS (SELECT *, hit AND row_number() OVER (ORDER BY cosine DESC, seq) <= {head} AS keyword_hit FROM scored),
-bonus AS (SELECT *, CAST(cosine + CASE WHEN keyword_hit THEN 0.25 ELSE 0 END AS DECIMAL(10, 4)) AS hybrid FROM placed),
-final AS (SELECT *, CAST(round(hybrid * CAST(1 - {weight} + {weight} * CAST(trust AS DECIMAL(6, 4)) AS DECIMAL(10, 6)), 4) AS DECIMAL(10, 4)) AS score FROM bonus),
+raised AS (SELECT *, cosine + CASE WHEN keyword_hit THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS r FROM placed),
+bonus AS (SELECT *, {round4('r')} AS hybrid FROM raised),
+damp AS (SELECT *, hybrid * ((1.0::DOUBLE - {weight}::DOUBLE) + {weight}::DOUBLE * trust::DOUBLE) AS d FROM bonus),
+final AS (SELECT *, {round4('d')} AS score FROM damp),
 hits AS (SELECT *, row_number() OVER (ORDER BY score DESC, hybrid DESC, cosine DESC, seq) AS rank
   FROM final QUALIFY rank <= {top_k})"""
 

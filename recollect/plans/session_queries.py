@@ -136,7 +136,7 @@ def _compress_sql(limit):
 size AS (SELECT session_no, sum(n + length(raw_key) + 6) + 2 * (count(*) - 1) + 2 AS in_chars FROM (
   SELECT session_no, raw_key, sum(length(to_json(role)::VARCHAR) + length(to_json(text)::VARCHAR) + 23) + 2 * (count(*) - 1) AS n FROM items GROUP BY ALL) GROUP BY 1),
 docs AS (SELECT *, {_compact_sql(capped + [('Диалог', 'dialog_l[1:6]')])} AS a, {_compact_sql(capped)} AS b, {_compact_sql(short)} AS c, {limit} AS lim FROM full_),
-fit AS (SELECT session_no, CASE WHEN length(a) <= lim THEN a WHEN length(b) <= lim THEN b WHEN length(c) <= lim THEN c ELSE rtrim(substr(c, 1, lim - 1)) || '…' END AS markdown FROM docs)
+fit AS (SELECT session_no, CASE WHEN length(a) <= lim THEN a WHEN length(b) <= lim THEN b ELSE {o.cut('c', 'lim', 'lim - 1')} END AS markdown FROM docs)
 SELECT session_no, markdown, in_chars::BIGINT AS in_chars, length(markdown)::BIGINT AS out_chars,
   ((in_chars * 20 + length(markdown)) // (2 * length(markdown))) / 10.0::DOUBLE AS ratio FROM fit JOIN size USING (session_no)"""
 
@@ -342,7 +342,7 @@ def _compress_sql(limit):
 size AS (SELECT session_no, sum(n + length(raw_key) + 6) + 2 * (count(*) - 1) + 2 AS in_chars FROM (
   SELECT session_no, raw_key, sum(length(to_json(role)::VARCHAR) + length(to_json(text)::VARCHAR) + 23) + 2 * (count(*) - 1) AS n FROM items GROUP BY ALL) GROUP BY 1),
 docs AS (SELECT *, {_compact_sql(capped + [('Диалог', 'dialog_l[1:6]')])} AS a, {_compact_sql(capped)} AS b, {_compact_sql(short)} AS c, {limit} AS lim FROM full_),
-fit AS (SELECT session_no, CASE WHEN length(a) <= lim THEN a WHEN length(b) <= lim THEN b WHEN length(c) <= lim THEN c ELSE rtrim(substr(c, 1, lim - 1)) || '…' END AS markdown FROM docs)
+fit AS (SELECT session_no, CASE WHEN length(a) <= lim THEN a WHEN length(b) <= lim THEN b ELSE {o.cut('c', 'lim', 'lim - 1')} END AS markdown FROM docs)
 SELECT session_no, markdown, in_chars::BIGINT AS in_chars, length(markdown)::BIGINT AS out_chars,
   ((in_chars * 20 + length(markdown)) // (2 * length(markdown))) / 10.0::DOUBLE AS ratio FROM fit JOIN size USING (session_no)"""
 
@@ -510,13 +510,13 @@ def _context_sql():
     return f"""WITH {_SQL}, {picked}, {o.DECISIONS}, {_CHOSEN.format(project=PROJECT, bound=f"AND recorded_at >= {iso}")}, {_NAMED},
 {_notes_sql(PROJECT).replace(f"project_id = '{PROJECT}' ", f"project_id = '{PROJECT}' AND created_at >= {iso} ")}, {_STATS},
 newest AS (SELECT * FROM sessions WHERE agent_id = '{AGENT}' AND status = 'summarized' ORDER BY session_ts DESC LIMIT 1), {o.arrays('newest')},
-blocks AS (SELECT 0 AS block, 0 AS section, '' AS agent_id, 0 AS rank, 0 AS part, '# Session Summary for Agent: ' || agent_id || {_NL} || {_NL} || '**Timestamp:** ' || session_ts || {_NL} || {_NL} || {o.SUMMARY} AS line FROM full_
+blocks AS (SELECT 0 AS block, 0 AS section, '' AS agent_id, -1 AS rank, 0 AS part, '# Session Summary for Agent: ' || agent_id || {_NL} || {_NL} || '**Timestamp:** ' || session_ts || {_NL} || {_NL} || {o.SUMMARY} AS line FROM full_
   UNION ALL SELECT DISTINCT 1, 0, '', -1, 0, '## Shared Project Knowledge ({PROJECT})' FROM decisions WHERE project_id = '{PROJECT}'
   UNION ALL SELECT 1, 0, '', seq, 0, '- **Decision:** ' || decision FROM decisions WHERE project_id = '{PROJECT}'
   UNION ALL SELECT 1, 0, '', seq, 1, '  - **By Agents:** ' || array_to_string(by_agents, ', ') FROM decisions WHERE project_id = '{PROJECT}'
   UNION ALL SELECT 1, 0, '', seq, 2, '  - **Reason:** ' || reason || {_NL} FROM decisions WHERE project_id = '{PROJECT}'
   UNION ALL SELECT 2, * FROM ({_digest_lines(PROJECT)}))
-SELECT * FROM blocks UNION ALL SELECT DISTINCT block, -1, '', 0, 0, '---' FROM blocks WHERE block > (SELECT min(block) FROM blocks)"""
+SELECT * FROM blocks UNION ALL SELECT DISTINCT block, -1, '', CASE block WHEN 1 THEN -1 ELSE 0 END, 0, '---' FROM blocks WHERE block > (SELECT min(block) FROM blocks)"""
 
 
 # --- tasks --------------------------------------------------------------------

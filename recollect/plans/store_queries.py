@@ -12,6 +12,7 @@ from recollect.operators import embed as em
 from recollect.operators import search as se
 from recollect.plans import fixtures as fx
 from recollect.plans import oracle as o
+from recollect.session import work_dir
 from recollect.settings import DEFAULTS
 
 _NL = "chr(10)"
@@ -27,6 +28,11 @@ def _index(spark, sf):
     return em.with_vectors(_chunks(spark, sf))
 
 
+def _stored_index(spark, sf):
+    """The index as a table in the shared folder, for operators that read it more than once."""
+    return em.write_index(_index(spark, sf), work_dir(spark, "index"))
+
+
 def chunk_dedup(spark, sf):
     kept = _chunks(spark, sf, ["project_id", "agent_id", "source", "trust", "created_at"])
     return kept.select("chunk_id", "seq", "project_id", "agent_id", "source", "trust", "created_at")
@@ -110,11 +116,10 @@ VERSION = f"WITH {o.CHUNKS} SELECT substr(md5(string_agg(chunk_id, ',' ORDER BY
 
 
 def _hits(df):
-    return df.select("seq", "chunk_id", "project_id", F.col("cosine").cast("double").alias("cosine"), "keyword_hit",
-                     F.col("score").cast("double").alias("score"))
+    return df.select("seq", "chunk_id", "project_id", "cosine", "keyword_hit", "score")
 
 
-_HITS = "SELECT seq, chunk_id, project_id, cosine::DOUBLE AS cosine, keyword_hit, score::DOUBLE AS score FROM hits"
+_HITS = "SELECT seq, chunk_id, project_id, cosine, keyword_hit, score FROM hits"
 
 
 def semantic_search(spark, sf):
@@ -127,7 +132,7 @@ def semantic_search_vector(spark, sf):
 
 def semantic_search_hybrid(spark, sf):
     """Bonus without damping."""
-    return _hits(se.semantic_search(_index(spark, sf), QUERY, TOP, settings=DEFAULTS.overlay({"trust": {"weight": "0"}})))
+    return _hits(se.semantic_search(_index(spark, sf), QUERY, TOP, settings=DEFAULTS.overlay({"trust": {"weight": 0.0}})))
 
 
 def semantic_search_scoped(spark, sf):
@@ -140,54 +145,55 @@ SCOPED = o.ranking(QUERY, 3, where="list_contains(tags, '#lang_en') AND project_
 
 def related_chunks(spark, sf):
     """Neighbours of the first stored note."""
-    index = _index(spark, sf)
+    index = _stored_index(spark, sf)
     first = fx.notes(spark, sf).agg(F.min_by("chunk_id", "seq")).first()[0]
-    return se.related(index, first, TOP).select("seq", "chunk_id", F.col("score").cast("double").alias("score"))
+    return se.related(index, first, TOP).select("seq", "chunk_id", "score")
 
 
 RELATED = f"""WITH {o.CHUNKS}, {o.weights('chunks', 'chunk_id', 'content', 'w')}, base AS (SELECT idx, w FROM w WHERE chunk_id = (SELECT min_by(chunk_id, seq) FROM notes))
-SELECT seq, chunk_id, CAST(round(c, 4) AS DECIMAL(10, 4))::DOUBLE AS score FROM (
+SELECT seq, chunk_id, {o.round4('c')} AS score FROM (
   SELECT chunk_id, sum(w.w * base.w) AS c FROM w JOIN base USING (idx) WHERE chunk_id <> (SELECT min_by(chunk_id, seq) FROM notes) GROUP BY 1) JOIN chunks USING (chunk_id)
 WHERE c > 0 ORDER BY score DESC, seq LIMIT {TOP}"""
 
 
 def related_embeddings(spark, sf):
     e = fx.table(spark, sf, "embeddings")
-    return se.related(e, 0, TOP, "vec_id", "embedding", "vec_id").select("vec_id", "label", F.col("score").cast("double").alias("score"))
+    return se.related(e, 0, TOP, "vec_id", "embedding", "vec_id").select("vec_id", "label", "score")
 
 
-RELATED_EMB = f"""SELECT e.vec_id, e.label, CAST(round(c, 4) AS DECIMAL(10, 4))::DOUBLE AS score FROM (
+RELATED_EMB = f"""SELECT e.vec_id, e.label, {o.round4('c')} AS score FROM (
   SELECT e.vec_id, e.label, list_sum(list_transform(list_zip(e.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS c
   FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) b WHERE e.vec_id <> 0) e WHERE c > 0 ORDER BY score DESC, vec_id LIMIT {TOP}"""
 
 
 def context_prompt(spark, sf):
-    block = se.context_prompt(_index(spark, sf), QUERY)
+    block = se.context_prompt(_stored_index(spark, sf), QUERY)
     return block.select("text", F.array_join("chunks", ",").alias("chunks"), F.col("chars").cast("bigint").alias("chars"))
 
 
 _HEADER = se.PROMPT_HEADER.format(query=QUERY)
 PROMPT = f"""WITH {o.ranking(QUERY, 5)},
-e AS (SELECT rank, chunk_id, {o.blanks('content')} AS body, '[' || rank || '] score=' || CAST(round(score, 3) AS DECIMAL(10, 3)) || ' | project: ' || coalesce(project_id, 'general')
+e AS (SELECT rank, chunk_id, {o.blanks('content')} AS body, '[' || rank || '] score=' || printf('%.3f', score) || ' | project: ' || coalesce(project_id, 'general')
   || ' | tags: ' || array_to_string(tags, ', ') || {_NL} AS title, (1800 - {len(_HEADER) + 1}) // (SELECT count(*) FROM hits) AS per FROM hits),
 b AS (SELECT '{_HEADER}' || {_NL} || {_NL} || {o.blanks(f"string_agg(title || substr(body, 1, per - length(title) - 1) || {_NL}, {_NL} ORDER BY rank)")} AS text,
   string_agg(chunk_id, ',' ORDER BY rank) AS chunks FROM e)
-SELECT CASE WHEN length(text) > 1800 THEN rtrim(substr(text, 1, 1800)) || '…' ELSE text END AS text, chunks,
-  length(CASE WHEN length(text) > 1800 THEN rtrim(substr(text, 1, 1800)) || '…' ELSE text END)::BIGINT AS chars FROM b"""
+SELECT {o.cut('text', 1800, 1800)} AS text, chunks, length({o.cut('text', 1800, 1800)})::BIGINT AS chars FROM b"""
 
 
 def semantic_search_batch(spark, sf):
-    hits = se.semantic_search_batch(_index(spark, sf), fx.table(spark, sf, "benchmark"), "item_id", "text", 5)
-    return hits.select(F.col("query_id").alias("item_id"), F.col("rank").cast("bigint").alias("rank"), "chunk_id", F.col("score").cast("double").alias("score"))
+    hits = se.semantic_search_batch(_stored_index(spark, sf), fx.table(spark, sf, "benchmark"), "item_id", "text", 5)
+    return hits.select(F.col("query_id").alias("item_id"), F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score")
 
 
 BATCH = f"""WITH {o.CHUNKS}, {o.weights('chunks', 'chunk_id', 'content', 'w')}, {o.weights('benchmark', 'item_id', 'text', 'qw', None)},
 cos AS (SELECT item_id, chunk_id, sum(w.w * qw.w) AS c FROM w JOIN qw USING (idx) GROUP BY ALL HAVING sum(w.w * qw.w) > 0),
-scored AS (SELECT item_id, k.*, CAST(round(c, 4) AS DECIMAL(10, 4)) AS cosine, contains(lower({o.blanks('content')}), lower({o.blanks('b.text')})) AS hit
+scored AS (SELECT item_id, k.*, {o.round4('c')} AS cosine, contains(lower({o.blanks('content')}), lower({o.blanks('b.text')})) AS hit
   FROM cos JOIN chunks k USING (chunk_id) JOIN benchmark b USING (item_id)),
-bonus AS (SELECT *, CAST(cosine + CASE WHEN hit AND row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, seq) <= 20 THEN 0.25 ELSE 0 END AS DECIMAL(10, 4)) AS hybrid FROM scored),
-final AS (SELECT *, CAST(round(hybrid * CAST(0.75 + 0.25 * CAST(trust AS DECIMAL(6, 4)) AS DECIMAL(10, 6)), 4) AS DECIMAL(10, 4)) AS score FROM bonus)
-SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, hybrid DESC, cosine DESC, seq) AS rank, chunk_id, score::DOUBLE AS score
+raised AS (SELECT *, cosine + CASE WHEN hit AND row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, seq) <= 20 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS r FROM scored),
+bonus AS (SELECT *, {o.round4('r')} AS hybrid FROM raised),
+damp AS (SELECT *, hybrid * (0.75::DOUBLE + 0.25::DOUBLE * trust::DOUBLE) AS d FROM bonus),
+final AS (SELECT *, {o.round4('d')} AS score FROM damp)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, hybrid DESC, cosine DESC, seq) AS rank, chunk_id, score
 FROM final QUALIFY rank <= 5"""
 
 

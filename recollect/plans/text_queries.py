@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import formats, html, items, vectors, web
 from recollect.functions import text as tx
+from recollect.functions.numbers import round4
 from recollect.functions import trust as tr
 from recollect.operators import chunks as ck
 from recollect.operators import embed as em
@@ -317,11 +318,12 @@ def vector_cosine(spark, sf):
     """Each embedding against its label's first vector."""
     e = fx.table(spark, sf, "embeddings")
     base = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("base"))
-    return e.join(base, "label").select("vec_id", F.round(vectors.dot(F.col("embedding"), F.col("base")), 4).alias("cosine"))
+    return e.join(base, "label").select("vec_id", round4(vectors.dot(F.col("embedding"), F.col("base"))).alias("cosine"))
 
 
-COSINE = """SELECT e.vec_id, round(list_sum(list_transform(list_zip(e.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 4) AS cosine
-FROM embeddings e JOIN (SELECT label, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) b USING (label)"""
+COSINE = f"""SELECT vec_id, CASE WHEN c < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * {o.round4('a')} AS cosine FROM (SELECT *, abs(c) AS a FROM (
+SELECT e.vec_id, list_sum(list_transform(list_zip(e.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS c
+FROM embeddings e JOIN (SELECT label, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) b USING (label)))"""
 
 # The forms of source every rule needs; a page supplies the variable part.
 SOURCE_FORMS = ("%", "https://docs.python.org/%", "https://example.gov/p", "https://en.wikipedia.org/wiki/X", "www.github.com/a",

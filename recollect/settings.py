@@ -49,7 +49,7 @@ class Digest:
 @dataclass(frozen=True)
 class Semantic:
     dim: int = 512
-    keyword_bonus: str = "0.25"
+    keyword_bonus: float = 0.25
     prompt_chunks: int = 5
     prompt_chars: int = 1800
 
@@ -69,7 +69,7 @@ class Trust:
     unknown_url: float = 0.4
     local_doc: float = 0.8
     default: float = 0.5
-    weight: str = "0.25"
+    weight: float = 0.25
     domains: tuple[str, ...] = TRUSTED_DOMAINS
     local_suffixes: tuple[str, ...] = (".md", ".txt", ".rst", ".adoc")
     local_marker: str = "docs"
