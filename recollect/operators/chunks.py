@@ -33,7 +33,7 @@ def deduplicate(notes: DataFrame, columns: Sequence[str] = NOTE_COLUMNS) -> Data
 
 def new_chunks(notes: DataFrame, store: DataFrame, columns: Sequence[str] = NOTE_COLUMNS) -> DataFrame:
     """What an idempotent insert adds: distinct contents the store does not hold."""
-    known = store.select("chunk_id").join(notes.select("chunk_id"), "chunk_id", "left_semi")
+    known = store.select("chunk_id").join(notes.select("chunk_id").distinct(), "chunk_id", "left_semi")
     return deduplicate(notes, columns).join(known, "chunk_id", "left_anti")
 
 

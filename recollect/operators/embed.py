@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import text as tx
@@ -52,16 +54,20 @@ def rounded_weights(weights: DataFrame) -> DataFrame:
     return weights.withColumn("w", F.round("w", DIGITS)).where(F.col("w") != 0)
 
 
-def with_vectors(chunks: DataFrame, dim: int = DEFAULTS.semantic.dim) -> DataFrame:
+def with_vectors(chunks: DataFrame, dim: int = DEFAULTS.semantic.dim,
+                 vectorize: Callable[[Column], Column] | None = None, name: str = EMBEDDER) -> DataFrame:
     """The index: chunks plus ``embedder, dim, vec``; texts without a feature drop out.
 
     Narrow: each task embeds its own rows in Arrow batches, nothing is shuffled.
+    ``vectorize`` puts another embedder in place of feature hashing: a column
+    function (say, a pandas UDF) from text to ``array<double>`` of length
+    ``dim``, NULL for no vector, under its own ``name``.
     """
     return chunks.select(
         "*",
-        F.lit(EMBEDDER).alias("embedder"),
+        F.lit(name).alias("embedder"),
         F.lit(dim).alias("dim"),
-        embedder(dim)(stored_body(chunks)).alias("vec"),
+        (vectorize or embedder(dim))(stored_body(chunks)).alias("vec"),
     ).where(F.col("vec").isNotNull())
 
 

@@ -46,18 +46,20 @@ def semantic_search(
     agent_id: str | None = None,
     hybrid: bool = True,
     settings: Settings = DEFAULTS,
+    query_vector: Sequence[float] | None = None,
 ) -> DataFrame:
     """The ``top_k`` best chunks of ``index`` (see ``with_vectors``) for a query.
 
     One pass scores every chunk: the query vector is a constant in the plan, so
     no join is involved. The keyword bonus goes only to the ``4 * top_k`` best by
-    cosine, which makes two top-n selections over the same scores; the narrow
-    score rows pass one exchange that both selections reuse. The second takes
-    enough rows that those of the first cannot crowd out a winner, so the
-    result is exact, and each selection is a bounded heap per task.
+    cosine, which makes two top-n selections over the same scores. Each Arrow
+    batch of narrow score rows is first cut to what either selection can still
+    want; the rest passes one exchange that both selections reuse. The second
+    takes enough rows that those of the first cannot crowd out a winner, so the
+    result is exact. An index of another embedder needs its ``query_vector``.
     """
     conf = settings.semantic
-    weights = sparse(embed(query, conf.dim))
+    weights = sparse(embed(query, conf.dim) if query_vector is None else np.asarray(query_vector, float))
     needle = _strip(query).lower()
     scored = score_chunks(scope(index, tags, project_id, agent_id), weights, needle if hybrid else "")
     best = max(1, int(top_k))
@@ -70,22 +72,35 @@ def semantic_search(
         ranked = plain.withColumn("score", damped(F.col("hybrid"), F.col("trust"), weight))
         return ranked.orderBy(*_best_first("score", "hybrid", "cosine")).limit(best)
 
-    scored = scored.repartition("seq")
+    scored = scored.withColumn("low", damped(F.col("cosine"), F.col("trust"), weight))
+    scored = _contenders(scored, head_size, head_size + best).repartition("seq")
     head = scored.orderBy(*_best_first("cosine")).limit(head_size)
-    low = damped(F.col("cosine"), F.col("trust"), weight)
-    tail = scored.orderBy(low.desc(), *_best_first("cosine")).limit(head_size + best)
+    tail = scored.orderBy(*_best_first("low", "cosine")).limit(head_size + best)
     both = head.withColumn("in_head", F.lit(True)).unionByName(tail.withColumn("in_head", F.lit(False)))
     return (
         both.groupBy(*scored.columns).agg(F.max("in_head").alias("in_head"))
         .withColumn("keyword_hit", F.col("keyword_hit") & F.col("in_head"))
         .withColumn("hybrid", with_bonus(conf.keyword_bonus))
         .withColumn("score", damped(F.col("hybrid"), F.col("trust"), weight))
-        .drop("in_head")
+        .drop("in_head", "low")
         .orderBy(*_best_first("score", "hybrid", "cosine"))
         .limit(best)
     )
 
 
+def _contenders(scored: DataFrame, n_cosine: int, n_low: int) -> DataFrame:
+    """Cuts every Arrow batch to its first rows in either order."""
+
+    def cut(batches):
+        for batch in batches:
+            seq, cosine, low = (batch[c].to_numpy(zero_copy_only=False) for c in ("seq", "cosine", "low"))
+            everyone = np.arange(batch.num_rows)
+            kept = np.union1d(_leading(everyone, n_cosine, cosine, seq), _leading(everyone, n_low, low, seq, cosine))
+            yield batch.take(pa.array(kept))
+
+    return scored.mapInArrow(cut, scored.schema)
+
+
 def with_bonus(bonus: float) -> Column:
     return F.when(F.col("keyword_hit"), round4(F.col("cosine") + bonus)).otherwise(F.col("cosine"))
 
@@ -144,9 +159,11 @@ def context_prompt(
     header = PROMPT_HEADER.format(query=_strip(query))
     header += (PROMPT_PROJECT.format(project=project_id) if project_id else "") + "\n"
     empty = header + PROMPT_EMPTY
-    # At most n_chunks rows from here on; bodies are fetched for them alone.
-    bodies = index.select("seq", stored_body(index).alias("_body"))
-    rows = hits.join(bodies, "seq")
+    # At most n_chunks rows: their bodies are then read by a filter the scan can prune with.
+    found_rows = hits.collect()
+    wanted = index.where(F.col("seq").isin([r.seq for r in found_rows]))
+    bodies = wanted.select("seq", stored_body(wanted).alias("_body"))
+    rows = index.sparkSession.createDataFrame(found_rows, hits.schema).join(bodies, "seq")
     order = F.struct((-F.col("score")).alias("a"), (-F.col("hybrid")).alias("b"),
                      (-F.col("cosine")).alias("c"), "seq")
     picked = F.array_sort(F.collect_list(F.struct(
@@ -184,7 +201,9 @@ def context_prompt(
 
 # --- many queries at once -------------------------------------------------
 
+# Bounds of one block of queries, whose vectors and texts are broadcast.
 _BATCH_QUERIES = 2000
+_BATCH_CHARS = 16_000_000
 
 
 def semantic_search_batch(
@@ -199,7 +218,8 @@ def semantic_search_batch(
     can still be among a query's head or winners leave the task.
     """
     rows = queries.select(query_id, query_text)
-    n_blocks = max(1, -(-rows.count() // _BATCH_QUERIES))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(query_text)), F.lit(0)).alias("chars")).first()
+    n_blocks = max(1, -(-size.n // _BATCH_QUERIES), -(-size.chars // _BATCH_CHARS))
     if n_blocks == 1:
         blocks = [rows]
     else:

@@ -58,8 +58,12 @@ def page_report(pages: DataFrame) -> DataFrame:
 def saved_pages(report: DataFrame, order: str, saved_at, project=None, block_rows: int = 1_000_000) -> DataFrame:
     """File name and document text per page; clashing names are numbered in ``order``."""
     named = report.withColumn("_name", url_filename(F.col("url")))
-    numbered = number_in_group(
+    # Only later bearers of a name take part in the join; the documents mostly stay where they are.
+    clashes = number_in_group(
         named.select(order, "_name"), ["_name"], order, F.floor(F.col(order) / block_rows), "_n"
-    ).select(order, numbered_name(F.col("_name"), F.col("_n")).alias("file"))
+    ).where(F.col("_n") > 0).select(order, "_n")
     text = page_document(F.col("url"), F.col("title"), saved_at, F.lit(None) if project is None else project, F.col("content"))
-    return report.withColumn("document", text).join(numbered, order)
+    return (
+        named.withColumn("document", text).join(clashes, order, "left")
+        .withColumn("file", numbered_name(F.col("_name"), F.coalesce("_n", F.lit(0)))).drop("_name", "_n")
+    )

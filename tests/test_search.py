@@ -186,3 +186,15 @@ def test_search_plan_has_no_join_and_reuses_its_exchange(index):
     plan = found._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
     assert "Join" not in final and "ReusedExchange" in final and final.count("ArrowEvalPython") == 1
+
+
+def test_other_embedder(chunks):
+    lengths = em.with_vectors(chunks, 2, lambda text: F.array(F.length(text).cast("double"), F.lit(1.0)), "lengths")
+    rows = se.semantic_search(lengths, "any", 1, hybrid=False, query_vector=[1.0, 0.0]).collect()
+    assert [r.seq for r in rows] == [0] and lengths.first().embedder == "lengths"
+
+
+def test_many_slots_score_the_same(index):
+    """Beyond the unrolled form the dot product runs over arrays."""
+    long = " ".join(c[0] for c in CORPUS)
+    assert ranked(se.semantic_search(index, long, 4)) == brute(long, 4)
