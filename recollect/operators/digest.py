@@ -6,14 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import text as tx
-from recollect.operators.chunks import rendered, since
+from recollect.operators.chunks import rendered, since, stored_body
 from recollect.operators.common import number_in_group, top_n
 from recollect.operators.sessions import bucket_rows
 from recollect.settings import DEFAULTS, Digest
 
-# Labels of a session's buckets inside the digest.
+# Labels of a session's buckets inside the digest, and its wording.
 LABELS = (("done", "Сделано"), ("decisions", "Решения"), ("next", "Дальше"), ("other", "Прочее"))
 
+WORDING = {
+    "title": "# Проектный дайджест: ",
+    "nothing": "Нет данных по проекту `{}`: нет сессий/решений/заметок за указанный период.",
+    "shared": "## Shared Project Knowledge (",
+    "by": "**Сгенерировано:** ProjectDigest (эвристика, без LLM).",
+    "n_sessions": "**Сессий:** ",
+    "n_agents": " · **Агентов:** ",
+    "n_decisions": " · **Решений:** ",
+    "n_chunks": " · **Заметок:** ",
+    "sessions": "\n## Сессии по агентам",
+    "decisions": "\n## Совместные решения (",
+    "chunks": "\n## Свежие заметки проекта (",
+    "agent_sessions": " (сессий: ",
+    "agents": "** — агенты: ",
+    "reason": "    - Причина: ",
+    "decision_line": "- **Decision:** ",
+    "agents_line": "  - **By Agents:** ",
+    "reason_line": "  - **Reason:** ",
+}
+
+
+def _word(name: str) -> Column:
+    return F.lit(WORDING[name])
+
 
 def _bound(value: Column | str | None) -> Column | None:
     if value is None:
@@ -57,10 +81,11 @@ def digest_chunks(chunks: DataFrame, project_id: str, since_ts=None, conf: Diges
     rows = chunks.where(F.col("project_id") == project_id)
     rows = rows.where(since(tx.parse_time(F.col("created_at")), _bound(since_ts)))
     return (
-        rows.withColumn("preview", tx.preview(rendered(rows), conf.preview_chars))
-        .where(F.col("preview") != "")
-        .select("seq", F.substring("chunk_id", 1, 8).alias("id"), "created_at", "agent_id", "preview")
+        # Whether a note has text is enough to choose; only the chosen are previewed.
+        rows.where(stored_body(rows) != "")
         .orderBy(F.coalesce("created_at", F.lit("")).desc(), "seq").limit(conf.max_chunks)
+        .withColumn("preview", tx.preview(rendered(rows), conf.preview_chars))
+        .select("seq", F.substring("chunk_id", 1, 8).alias("id"), "created_at", "agent_id", "preview")
     )
 
 
@@ -120,8 +145,8 @@ def project_digest(sessions: DataFrame, items: DataFrame, decisions: DataFrame,
         .unionAll(_lines(
             chosen, 2, none, rank,
             F.concat(F.lit("- "), F.substring(F.coalesce("recorded_at", F.lit("?")), 1, 10), F.lit(" **"),
-                     tx.truncate(F.coalesce("decision", none), conf.max_item_chars), F.lit("** — агенты: "), by_agents),
-            F.when(F.coalesce("reason", none) != "", F.concat(F.lit("    - Причина: "), tx.truncate(F.col("reason"), 200))),
+                     tx.truncate(F.coalesce("decision", none), conf.max_item_chars), _word("agents"), by_agents),
+            F.when(F.coalesce("reason", none) != "", F.concat(_word("reason"), tx.truncate(F.col("reason"), 200))),
         ))
         .unionAll(_lines(
             notes, 3, none, rank,
@@ -142,22 +167,22 @@ def project_digest(sessions: DataFrame, items: DataFrame, decisions: DataFrame,
     some = (F.col("sessions") + F.col("decisions") + F.col("chunks")) > 0
     title = lambda section, part, when, *parts: F.struct(
         F.lit(section).alias("section"), F.lit(part).alias("part"), F.when(when, F.concat(*parts)).alias("line"))
-    notice = f"Нет данных по проекту `{project_id}`: нет сессий/решений/заметок за указанный период."
+    notice = WORDING["nothing"].format(project_id)
     titles = F.array(
-        title(0, 0, some, F.lit(f"# Проектный дайджест: {project_id}")),
-        title(0, 1, some, F.lit("**Сессий:** "), text("sessions"), F.lit(" · **Агентов:** "), text("agents"),
-              F.lit(" · **Решений:** "), text("decisions"), F.lit(" · **Заметок:** "), text("chunks")),
-        title(0, 2, some, F.lit("**Сгенерировано:** ProjectDigest (эвристика, без LLM).")),
+        title(0, 0, some, F.lit(WORDING["title"] + project_id)),
+        title(0, 1, some, _word("n_sessions"), text("sessions"), _word("n_agents"), text("agents"),
+              _word("n_decisions"), text("decisions"), _word("n_chunks"), text("chunks")),
+        title(0, 2, some, _word("by")),
         title(0, 0, ~some & F.lit(empty_notice), F.lit(notice)),
-        title(1, 0, F.col("sessions") > 0, F.lit("\n## Сессии по агентам")),
-        title(2, 0, F.col("decisions") > 0, F.lit("\n## Совместные решения ("), text("decisions"), F.lit(")")),
-        title(3, 0, F.col("chunks") > 0, F.lit("\n## Свежие заметки проекта ("), text("chunks"), F.lit(")")),
+        title(1, 0, F.col("sessions") > 0, _word("sessions")),
+        title(2, 0, F.col("decisions") > 0, _word("decisions"), text("decisions"), F.lit(")")),
+        title(3, 0, F.col("chunks") > 0, _word("chunks"), text("chunks"), F.lit(")")),
     )
     head = stats.select(F.explode(F.filter(titles, lambda t: t["line"].isNotNull())).alias("t")).select(
         "t.section", none.alias("agent_id"), zero.alias("rank"), "t.part", "t.line")
     per_agent = entries.groupBy("agent_id").agg(F.count_if(opening(1)).alias("n")).where(F.col("n") > 0)
     agents = _lines(per_agent, 1, F.col("agent_id"), zero,
-                    F.concat(F.lit("\n### "), F.col("agent_id"), F.lit(" (сессий: "), text("n"), F.lit(")")))
+                    F.concat(F.lit("\n### "), F.col("agent_id"), _word("agent_sessions"), text("n"), F.lit(")")))
     return head.unionAll(agents).unionAll(entries)
 
 
@@ -165,9 +190,9 @@ def shared_decisions(decisions: DataFrame, project_id: str) -> DataFrame:
     """All decisions of a project as context lines, in the order they were recorded."""
     rows = decisions.where(F.col("project_id") == project_id)
     lines = (
-        F.concat(F.lit("- **Decision:** "), F.coalesce("decision", F.lit("N/A"))),
-        F.concat(F.lit("  - **By Agents:** "), F.array_join("by_agents", ", ")),
-        F.concat(F.lit("  - **Reason:** "), F.coalesce("reason", F.lit("N/A")), F.lit("\n")),
+        F.concat(_word("decision_line"), F.coalesce("decision", F.lit("N/A"))),
+        F.concat(_word("agents_line"), F.array_join("by_agents", ", ")),
+        F.concat(_word("reason_line"), F.coalesce("reason", F.lit("N/A")), F.lit("\n")),
     )
     return rows.select("seq", F.posexplode(F.array(*lines)).alias("part", "line"))
 
@@ -211,7 +236,7 @@ def agent_context(agent_id: str, project_id: str | None, summaries: DataFrame, c
         return first
     told = shared_decisions(decisions, project_id)
     has_shared = not told.isEmpty()
-    title = F.lit(f"## Shared Project Knowledge ({project_id})")
+    title = F.lit(f"{WORDING['shared']}{project_id})")
     shared = _block(1, told.limit(1), zero, none, F.lit(-1), zero, title).unionAll(
         _block(1, told, zero, none, F.col("seq"), F.col("part"), F.col("line")))
     digest = project_digest(sessions, items, decisions, chunks, by, project_id,

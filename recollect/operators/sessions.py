@@ -32,10 +32,42 @@ SUMMARY_SECTIONS = (("done", "Сделано"), ("decisions", "Решения"),
                     ("dialog", "Диалог (конец сессии)"), ("other", "Прочее"))
 COMPACT_SECTIONS = (("done", "Сделано"), ("decisions", "Решения"), ("next", "Дальше"),
                     ("other", "Прочее"), ("dialog", "Диалог"))
+WORDING = {
+    "summary_title": "# Автосводка сессии (",
+    "summary_session": "**Сессия:** ",
+    "summary_source": " · **Источник:** ",
+    "summary_by": "**Сгенерировано:** SessionSummarizer (эвристика, без LLM)",
+    "summary_empty": "Сессия не содержит структурированных данных (архив пуст).",
+    "stored_title": "# Session Summary for Agent: ",
+    "stored_time": "\n\n**Timestamp:** ",
+    "collapse_title": "# Свернутое резюме истории сессий (",
+    "collapse_range": "**Сессии:** ",
+    "collapse_count": " · **Свернуто:** ",
+    "collapse_by": "**Сгенерировано:** SessionSummarizer.collapse_history (эвристика).",
+    "collapse_lines": "\n## Сессии (по одной строке)",
+    "collapse_decisions": "\n## Решения (агрегировано: ",
+    "collapse_next": "\n## Дальше (агрегировано: ",
+    "compact_title": "# Сжатая сессия",
+    "compact_time": "**Время:** ",
+    "compact_level": " · **Уровень сжатия:** ",
+    "compact_empty": "Сессия не содержит структурированных данных.",
+}
+PROMPT_INTRO = (
+    "Сожми сессию агента в компактную сводку на русском языке.",
+    "Сохрани ВСЕ факты, решения и оставшиеся задачи. Убери повторы",
+    "и несущественные детали. Формат ответа:",
+    "СДЕЛАНО: ...\nРЕШЕНИЯ: ...\nДАЛЬШЕ: ...",
+    "",
+    "Исходные данные:",
+)
 # A marker repeated this often has filled the item up to its limit.
 _MARKS = 12
 
 
+def _word(name: str) -> Column:
+    return F.lit(WORDING[name])
+
+
 def bucket_of(raw_key: Column) -> Column:
     key = tx.norm_key(raw_key)
     out = F
@@ -135,19 +167,19 @@ def _document(head: Sequence[Column], sections: Sequence[tuple[str, Column]], em
 def summary_text() -> Column:
     """Summary document of a session row (see :func:`with_buckets`)."""
     head = [
-        F.concat(F.lit("# Автосводка сессии ("), "agent_id", F.lit(")")),
-        F.concat(F.lit("**Сессия:** "), "session_ts", F.lit(" · **Источник:** "), "file"),
-        F.lit("**Сгенерировано:** SessionSummarizer (эвристика, без LLM)"),
+        F.concat(_word("summary_title"), "agent_id", F.lit(")")),
+        F.concat(_word("summary_session"), "session_ts", _word("summary_source"), "file"),
+        _word("summary_by"),
     ]
     return _document(
         head, [(title, F.col(b)) for b, title in SUMMARY_SECTIONS],
-        "Сессия не содержит структурированных данных (архив пуст).",
+        WORDING["summary_empty"],
     )
 
 
 def stored_summary(agent: Column, stamp: Column, body: Column) -> Column:
     """A summary as it is kept and served: header, then body."""
-    return F.concat(F.lit("# Session Summary for Agent: "), agent, F.lit("\n\n**Timestamp:** "), stamp, F.lit("\n\n"), body)
+    return F.concat(_word("stored_title"), agent, _word("stored_time"), stamp, F.lit("\n\n"), body)
 
 
 def archive_stamps(sessions: DataFrame, order: str, minute: str, block_rows: int = 1_000_000) -> DataFrame:
@@ -237,11 +269,11 @@ def collapse_history(sessions: DataFrame, items: DataFrame, by: str, keep_last:
 
     agent = F.col("agent_id")
     head = totals.select("agent_id", F.explode(F.array(
-        line(0, "0", F.lit("# Свернутое резюме истории сессий ("), agent, F.lit(")")),
-        line(0, "1", F.lit("**Сессии:** "), F.col("first_ts"), F.lit(" … "), F.col("last_ts"),
-             F.lit(" · **Свернуто:** "), F.col("n").cast("string")),
-        line(0, "2", F.lit("**Сгенерировано:** SessionSummarizer.collapse_history (эвристика).")),
-        line(1, "", F.lit("\n## Сессии (по одной строке)")),
+        line(0, "0", _word("collapse_title"), agent, F.lit(")")),
+        line(0, "1", _word("collapse_range"), F.col("first_ts"), F.lit(" … "), F.col("last_ts"),
+             _word("collapse_count"), F.col("n").cast("string")),
+        line(0, "2", _word("collapse_by")),
+        line(1, "", _word("collapse_lines")),
     )).alias("l")).select("agent_id", "l.*")
 
     out = head.unionByName(session_lines)
@@ -254,8 +286,8 @@ def collapse_history(sessions: DataFrame, items: DataFrame, by: str, keep_last:
     )
     sizes = totals.select("agent_id").join(distinct, "agent_id", "left").na.fill(0, ["decisions", "next"])
     titles = sizes.select("agent_id", F.explode(F.array(*[
-        line(s, "", F.lit(f"\n## {title} (агрегировано: "), F.col(b).cast("string"), F.lit(")"))
-        for s, b, title in ((2, "decisions", "Решения"), (3, "next", "Дальше"))
+        line(s, "", _word(f"collapse_{b}"), F.col(b).cast("string"), F.lit(")"))
+        for s, b in ((2, "decisions"), (3, "next"))
     ])).alias("l")).select("agent_id", "l.*")
     shown = top_n(first_seen, ["agent_id", "bucket"], [F.col("seen")], conf.max_items).select(
         "agent_id",
@@ -278,27 +310,19 @@ def _compact_text(buckets: dict[str, Column], level: int) -> Column:
     agent = F.col("agent_id")
     who = F.when(F.coalesce(agent, F.lit("")) != "", F.concat(F.lit(" ("), agent, F.lit(")"))).otherwise(F.lit(""))
     head = [
-        F.concat(F.lit("# Сжатая сессия"), who),
-        F.concat(F.lit("**Время:** "), F.coalesce("session_ts", F.lit("?")), F.lit(f" · **Уровень сжатия:** {level}")),
+        F.concat(_word("compact_title"), who),
+        F.concat(_word("compact_time"), F.coalesce("session_ts", F.lit("?")), F.lit(f"{WORDING['compact_level']}{level}")),
     ]
-    return _document(head, [(t, buckets[b]) for b, t in COMPACT_SECTIONS], "Сессия не содержит структурированных данных.")
+    return _document(head, [(t, buckets[b]) for b, t in COMPACT_SECTIONS], WORDING["compact_empty"])
 
 
 def upgrade_prompt() -> Column:
     """The instruction handed to a level-2 rewriter."""
-    intro = [
-        "Сожми сессию агента в компактную сводку на русском языке.",
-        "Сохрани ВСЕ факты, решения и оставшиеся задачи. Убери повторы",
-        "и несущественные детали. Формат ответа:",
-        "СДЕЛАНО: ...\nРЕШЕНИЯ: ...\nДАЛЬШЕ: ...",
-        "",
-        "Исходные данные:",
-    ]
     parts = [
         F.when(F.size(b) > 0, F.concat(F.lit(f"\n{title}: "), F.array_join(b, "; ")))
         for b, title in COMPACT_SECTIONS if b != "dialog"
     ]
-    return F.concat_ws("\n", F.lit("\n".join(intro)), *parts)
+    return F.concat_ws("\n", F.lit("\n".join(PROMPT_INTRO)), *parts)
 
 
 def compress(sessions: DataFrame, max_chars: int | None = None, conf: Compression = DEFAULTS.compression,
