@@ -28,8 +28,6 @@ from recollect.streaming import ingest as ig
 SCHEMAS = {
     "notes": ig.STORE_SCHEMA,
     "ingest_log": ig.LOG_SCHEMA,
-    "index": "chunk_id string, seq bigint, content string, tags array<string>, project_id string, agent_id string, "
-             "source string, trust double, created_at string, embedder string, dim int, vec array<double>",
     "archives": "agent_id string, session_ts string, project_id string, file string, data string, seq bigint",
     "statuses": "agent_id string, session_ts string, level int",
     "summaries": "agent_id string, session_ts string, body string, latest boolean, seq bigint",
@@ -37,6 +35,7 @@ SCHEMAS = {
     "decisions": "project_id string, seq bigint, decision string, by_agents array<string>, reason string, recorded_at string",
     "task_events": "task_id string, agent_id string, project_id string, seq bigint, at string, action string, description string",
 }
+INDEX_SCHEMA = ig.STORE_SCHEMA + ", embedder string, dim int, vec array<double>"
 STATUS = ("archived", "summarized", "collapsed")
 BY = ["agent_id", "session_ts"]
 
@@ -46,8 +45,7 @@ class Memory:
                  clock: Callable[[], dt.datetime] = dt.datetime.now):
         self.spark, self.root, self.settings, self.clock = spark, root.rstrip("/"), settings, clock
         for name, schema in SCHEMAS.items():
-            empty = spark.createDataFrame([], schema).write.mode("append")
-            (empty.partitionBy("batch_id") if "batch_id" in schema else empty).parquet(self.path(name))
+            ig.create_table(spark, self.path(name), schema)
 
     # --- tables -----------------------------------------------------------
 
@@ -89,11 +87,22 @@ class Memory:
         return ck.keyword_search(self.table("notes"), query, **scope).orderBy("seq")
 
     def index(self) -> DataFrame:
-        """The vector index after adding what is missing from it."""
-        notes = self.table("notes").drop("batch_id")
-        changes = em.index_changes(self.table("index"), notes, self.settings.semantic.dim)
-        self._append("index", changes["add"].select(*self.table("index").columns))
-        return self.table("index").where((F.col("embedder") == em.EMBEDDER) & (F.col("dim") == self.settings.semantic.dim))
+        """The vector index, brought up to date first.
+
+        Store and index share their batches, so only batches newer than the
+        index are read and embedded; nothing is compared. Each embedder and
+        dimension has an index of its own, so changing either starts a new one.
+        """
+        dim = self.settings.semantic.dim
+        path = self.path(f"index/{em.EMBEDDER}-{dim}")
+        ig.create_table(self.spark, path, INDEX_SCHEMA)
+        known = ig.read_table(self.spark, path, INDEX_SCHEMA)
+        last = known.agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
+        fresh = self.table("notes").where(F.col("batch_id") > last)
+        if not fresh.isEmpty():
+            em.with_vectors(fresh, dim).write.mode("append").partitionBy("batch_id").parquet(path)
+            known = ig.read_table(self.spark, path, INDEX_SCHEMA)
+        return known
 
     def semantic_search(self, query: str, top_k: int = 5, hybrid: bool = True, **scope: Any) -> DataFrame:
         return se.semantic_search(self.index(), query, top_k, hybrid=hybrid, settings=self.settings, **scope)

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from recollect.settings import DEFAULTS
 
 
+def _seconds(events: DataFrame, ts: str) -> Column:
+    """Whole seconds on the column's own time line, whatever the session's zone."""
+    c = F.col(ts)
+    if isinstance(events.schema[ts].dataType, TimestampNTZType):
+        days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint")
+        return days * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    return F.unix_seconds(c)
+
+
 def idle_sessions(events: DataFrame, who: str, ts: str, timeout_min: int = DEFAULTS.summaries.autoclose_minutes) -> DataFrame:
     """(who, started, last_seen, events) of a table of events.
 
@@ -16,8 +26,7 @@ def idle_sessions(events: DataFrame, who: str, ts: str, timeout_min: int = DEFAU
     even the busiest user is one row per slot; a gap between neighbouring slots
     longer than the timeout separates sessions.
     """
-    seconds = timeout_min * 60
-    slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
+    slot = F.floor(_seconds(events, ts) / (timeout_min * 60))
     slots = events.groupBy(who, slot.alias("_slot")).agg(
         F.min(ts).alias("started"), F.max(ts).alias("last_seen"), F.count("*").alias("events")
     )

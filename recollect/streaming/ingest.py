@@ -8,6 +8,7 @@ that runs again after a failure replaces what it wrote and changes nothing else.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,8 +27,12 @@ LOG_SCHEMA = "path string, kind string, status string, reason string, chunks int
 
 
 def create_table(spark: SparkSession, path: str, schema: str) -> str:
-    """An empty partitioned table unless there is one."""
-    spark.createDataFrame([], schema).write.mode("append").partitionBy("batch_id").parquet(path)
+    """An empty table, partitioned by batch if it has batches, unless there is one."""
+    try:
+        spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        empty = spark.createDataFrame([], schema).write.mode("append")
+        (empty.partitionBy("batch_id") if "batch_id" in schema else empty).parquet(path)
     return path
 
 
