@@ -224,7 +224,8 @@ def sanitize_filename(c: Column) -> Column:
 
 def render_note(content, tags, project_id, source, agent_id, trust, created_at) -> Column:
     """The stored form of a note: front matter, blank line, content."""
-    quoted = F.transform(tags, lambda t: F.regexp_extract(F.to_json(F.array(t)), r"(?s)^\[(.*)\]$", 1))
+    ascii_only = {"writeNonAsciiCharacterAsCodePoint": "true"}  # tags are stored escaped
+    quoted = F.transform(tags, lambda t: F.regexp_extract(F.to_json(F.array(t), ascii_only), r"(?s)^\[(.*)\]$", 1))
     optional = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(name + ": "), c))
     header = F.concat_ws(
         "\n",

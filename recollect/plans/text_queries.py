@@ -311,6 +311,12 @@ def embed(spark, sf):
     return em.rounded_weights(em.embedding_weights(chunks, partitioned=True))
 
 
+def embed_dense(spark, sf):
+    """The Arrow form of the same vectors, as the index keeps them."""
+    index = em.with_vectors(ck.deduplicate(fx.notes(spark, sf)))
+    return index.select("chunk_id", F.posexplode("vec").alias("idx", "w")).where(F.col("w") != 0)
+
+
 EMBED = f"WITH {o.CHUNKS}, {o.weights('chunks', 'chunk_id', 'content', 'w')} SELECT chunk_id, idx, w FROM w WHERE w <> 0"
 
 
@@ -484,6 +490,7 @@ QUERIES = {
     "features": (features, FEATURES),
     "feature_hash": (feature_hash, FEATURE_HASH),
     "embed": (embed, EMBED),
+    "embed_dense": (embed_dense, EMBED),
     "vector_cosine": (vector_cosine, COSINE),
     "source_trust": (source_trust, TRUST),
     "url_host": (url_host, f"WITH {_SQL_SOURCES}, {_HOSTS} SELECT page_id, host FROM host"),

@@ -45,6 +45,22 @@ def test_stream_ingest_is_incremental(spark, tmp_path):
     assert run()[0].count() == 5  # nothing new
 
 
+def test_watcher_lifecycle(spark, tmp_path):
+    raw, store, log, check = (str(tmp_path / d) for d in ("raw", "store", "log", "check"))
+    put(tmp_path / "raw/a.txt", "one")
+    query = ig.start_ingest(spark, raw, store, log, check, archive_dir=str(tmp_path / "done"), poll_seconds=1)
+    try:
+        query.processAllAvailable()
+        put(tmp_path / "raw/b.txt", "two")
+        query.processAllAvailable()
+        assert query.isActive and query.lastProgress is not None
+    finally:
+        query.stop()
+    assert not query.isActive
+    assert sorted(r.content for r in ig.read_table(spark, store, ig.STORE_SCHEMA).collect()) == ["one", "two"]
+    assert list((tmp_path / "done").rglob("a.txt"))  # moved once its batch was complete
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     store = ig.create_table(spark, str(tmp_path / "s"), ig.STORE_SCHEMA)
 

@@ -144,3 +144,10 @@ def test_session_items(spark):
     got = [[(r.key_pos, r.item_pos, r.raw_key, r.item) for r in rows] for rows in evaluate(spark, docs, items.session_items)]
     assert got[0] == [(0, 0, "chat", "[user] hi"), (0, 1, "chat", "[x] yo"), (0, 2, "chat", "n"), (0, 3, "chat", "3"), (1, 0, "m", "a: 1; b: True")]
     assert got[1:] == [[(0, 0, "done", "just text")], [(0, 0, "done", "a"), (0, 1, "done", "b")], []]
+
+
+def test_stored_form_of_a_note(spark):
+    lit, none = F.lit, F.lit(None).cast("string")
+    note = tx.render_note(lit("body"), F.array(lit("#a"), lit("#\u0431"), lit('q"')), lit("p"), none, lit("me"), lit(1.0), lit("2024"))
+    assert spark.range(1).select(note).first()[0].lower() == (
+        '---\ntags: ["#a", "#\\u0431", "q\\""]\nproject_id: p\nagent_id: me\ntrust: 1.0\ncreated_at: 2024\n---\n\nbody')
