@@ -296,7 +296,8 @@ FROM (SELECT doc_id, list_concat(t, list_transform(range(1, len(t)), lambda i: t
 
 
 def feature_hash(spark, sf):
-    f = em.feature_counts(fx.table(spark, sf, "documents"), "doc_id", "text").select("feature").distinct()
+    d = fx.table(spark, sf, "documents")
+    f = d.select(F.explode(tx.token_features(tx.tokens(_text()))).alias("feature")).distinct()
     return f.select("feature", tx.feature_slot(F.col("feature"), 512).cast("bigint").alias("idx"), tx.feature_sign(F.col("feature")).cast("bigint").alias("sign"))
 
 
