@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from recollect.llm import decontamination as dc
+from recollect.llm import substring_dedup, suffix_dedup
 from recollect.llm import token_counts as tc
 from recollect.llm import token_files as tf
 from recollect.session import work_dir
@@ -16,6 +18,19 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark, sf_dir):
+    found = dc.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(suffix_dedup.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_token_counts(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = tc.token_counts(docs, public_tokenizers.path(WORD_BPE), work_dir(spark, "token-counts"), normalise=tc.collapsed_space)
@@ -28,7 +43,14 @@ def op9_token_files(spark, sf_dir):
     return tf.crc32(tf.read_token_files(spark, path))
 
 
+def op10_substring_dedup(spark, sf_dir):
+    return substring_dedup.digests(substring_dedup.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
+    "op1_decontamination": (op1_decontamination, None),
+    "op5_suffix_dedup": (op5_suffix_dedup, None),
     "op7_token_counts": (op7_token_counts, None),
     "op9_token_files": (op9_token_files, None),
+    "op10_substring_dedup": (op10_substring_dedup, None),
 }
