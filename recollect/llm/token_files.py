@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.llm import texts as tx
-from recollect.llm.word_ids import WordEncoder, concat_ranges
+from recollect.llm.word_ids import word_encoder
 from recollect.session import ship, work_dir
 
 STAGE_SCHEMA = "doc_id bigint, tag bigint, ids binary"
@@ -79,7 +79,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, t
     width = _width(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         for whole in batches:
             for batch in tx.slices(whole, "text"):
                 ids, before = encoder.encode(batch.column("text"))
@@ -107,18 +107,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, t
     ranks = np.zeros(vocabulary, np.uint32)
     ranks[ordered] = np.arange(len(ordered), dtype=np.uint32)
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = []
-            for value in batch.column("ids"):
-                values = np.frombuffer(value.as_buffer(), width)
-                packed.append((len(values), *pack(ranks[values])))
-            n, control, data = zip(*packed) if packed else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tag"), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
-                ["doc_id", "tag", "n", "control", "data"],
-            )
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number, first = TaskContext.get().partitionId(), 0, 0
         doc_ids, counts, held = [], [], []
@@ -126,7 +114,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, t
         def close():
             nonlocal number, first
             n = sum(counts)
-            control, data = pack(np.concatenate(held))
+            control, data = pack(ranks[np.concatenate(held)])
             values = [[shard], [number], [first], [n], [doc_ids], [counts], [control], [data]]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             row = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], [c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
@@ -136,17 +124,18 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, t
             return row
 
         for batch in batches:
-            for doc_id, n, control, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "control", "data"))):
+            for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+                values = np.frombuffer(value.as_buffer(), width)
+                n = len(values)
                 if counts and sum(counts) + n > BLOCK_IDS:
                     yield close()
                 doc_ids.append(doc_id)
                 counts.append(n)
-                held.append(unpack(control, data, n))
+                held.append(values)
         if counts:
             yield close()
 
-    coded = ids.mapInArrow(code, "doc_id bigint, tag bigint, n bigint, control binary, data binary")
-    shards = coded.repartitionByRange("doc_id", "tag").sortWithinPartitions("doc_id", "tag")
+    shards = ids.repartitionByRange("doc_id", "tag").sortWithinPartitions("doc_id", "tag")
     shards.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
