@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from recollect.llm import decontamination as dc
+from recollect.llm import html_main_text
 from recollect.llm import metric_search as ms
 from recollect.llm import substring_dedup, suffix_dedup
 from recollect.llm import token_counts as tc
@@ -41,6 +42,11 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5"""
 
 
+def op4_html_main_text(spark, sf_dir):
+    found = html_main_text.with_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digests(suffix_dedup.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -64,6 +70,7 @@ def op10_substring_dedup(spark, sf_dir):
 QUERIES = {
     "op1_decontamination": (op1_decontamination, None),
     "op3_metric_search": (op3_metric_search, OP3_SQL),
+    "op4_html_main_text": (op4_html_main_text, None),
     "op5_suffix_dedup": (op5_suffix_dedup, None),
     "op7_token_counts": (op7_token_counts, None),
     "op9_token_files": (op9_token_files, None),
