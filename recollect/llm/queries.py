@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from recollect.llm import decontamination as dc
-from recollect.llm import html_main_text
+from recollect.llm import html_main_text, jaccard_join
 from recollect.llm import metric_search as ms
-from recollect.llm import substring_dedup, suffix_dedup
+from recollect.llm import oracle, substring_dedup, suffix_dedup
 from recollect.llm import token_counts as tc
 from recollect.llm import token_files as tf
 from recollect.session import work_dir
@@ -29,19 +29,15 @@ def op1_decontamination(spark, sf_dir):
     )
 
 
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_metric_search(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", ms.quantised(F.col("embedding")).alias("vector"))
     return ms.top_products(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
-OP3_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
-SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5"""
-
-
 def op4_html_main_text(spark, sf_dir):
     found = html_main_text.with_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
@@ -68,11 +64,12 @@ def op10_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {
-    "op1_decontamination": (op1_decontamination, None),
-    "op3_metric_search": (op3_metric_search, OP3_SQL),
+    "op1_decontamination": (op1_decontamination, oracle.OP1),
+    "op2_jaccard_join": (op2_jaccard_join, oracle.OP2),
+    "op3_metric_search": (op3_metric_search, oracle.OP3),
     "op4_html_main_text": (op4_html_main_text, None),
-    "op5_suffix_dedup": (op5_suffix_dedup, None),
+    "op5_suffix_dedup": (op5_suffix_dedup, oracle.OP5),
     "op7_token_counts": (op7_token_counts, None),
     "op9_token_files": (op9_token_files, None),
-    "op10_substring_dedup": (op10_substring_dedup, None),
+    "op10_substring_dedup": (op10_substring_dedup, oracle.OP10),
 }

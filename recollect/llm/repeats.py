@@ -25,12 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm import texts as tx
+from recollect.llm.filters import bloom, held_in, work_table
 from recollect.llm.word_ids import concat_ranges
 from recollect.session import ship
 
 _U = np.uint64
-#: A filter is 256 blocks of 2**20 bits, 32 MB in all.
-_BLOCK_BITS = 20
 #: Open spans of one anchor that one task compares; the windows of larger groups are dealt out one by one.
 GROUP_SPANS = 4096
 
@@ -65,50 +64,6 @@ def prepared(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.hash(F.col(text)).alias("tag"), F.col(text).alias("text"))
 
 
-def _probes(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    mask = _U((1 << _BLOCK_BITS) - 1)
-    mixed = tx.mix(keys)
-    return (keys >> _U(56)).astype(np.int64), [(x & mask).astype(np.int64) for x in (keys, keys >> _U(24), mixed, mixed >> _U(24))]
-
-
-def bloom(keys: DataFrame) -> list[np.ndarray | None]:
-    """The filter over the only column of ``keys`` (bigint hashes): a bit array per block."""
-    name = keys.columns[0]
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            block, bits = _probes(batch.column(0).to_numpy().view(_U))
-            for b in np.unique(block).tolist():
-                here = block == b
-                flags = held.setdefault(b, np.zeros(1 << _BLOCK_BITS, bool))
-                for x in bits:
-                    flags[x[here]] = True
-        for b, flags in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], ["block", "bits"])
-
-    dealt = keys.repartition(F.shiftrightunsigned(name, 56))
-    blocks: list[np.ndarray | None] = [None] * 256
-    for row in dealt.mapInArrow(build, "block int, bits binary").collect():  # 256 rows of fixed size at most
-        blocks[row.block] = np.frombuffer(row.bits, np.uint8)
-    return blocks
-
-
-def held_in(blocks: list[np.ndarray | None], keys: np.ndarray) -> np.ndarray:
-    """Which keys may be in the filter."""
-    block, bits = _probes(keys)
-    out = np.zeros(len(keys), bool)
-    for b in np.unique(block).tolist():
-        if blocks[b] is not None:
-            here = np.flatnonzero(block == b)
-            ok = np.ones(len(here), bool)
-            for x in bits:
-                at = x[here]
-                ok &= (blocks[b][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-            out[here] = ok
-    return out
-
-
 def _place(doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> np.ndarray:
     """A key of a span's place, for a filter."""
     return tx.mix(tx.mix(doc.astype(_U) + tag.astype(_U) * _U(0x9E3779B97F4A7C15)) + start.astype(_U))
@@ -292,15 +247,6 @@ def removed_windows(rows: DataFrame, kind: Kind) -> DataFrame:
     return kept.where("gone").select("doc_id", "tag", "start", "count").unionByName(met.mapInArrow(_compare(kind), _SPAN))
 
 
-def work_table(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` as written to the shared work folder."""
-    from recollect.session import work_dir
-
-    path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, tag, start = (batch.column(c).to_numpy() for c in ("doc_id", "tag", "start"))
