@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from recollect.llm import decontamination as dc
 from recollect.llm import html_main_text, jaccard_join
 from recollect.llm import metric_search as ms
-from recollect.llm import oracle, substring_dedup, suffix_dedup
+from recollect.llm import oracle, piece_sampling, quality, substring_dedup, suffix_dedup
 from recollect.llm import token_counts as tc
 from recollect.llm import token_files as tf
 from recollect.session import work_dir
 
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def _table(spark, sf_dir, name):
@@ -47,12 +47,27 @@ def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digests(suffix_dedup.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_piece_sampling(spark, sf_dir):
+    model = public_tokenizers.path(PIECES)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = piece_sampling.decoded(piece_sampling.with_sampled_pieces(docs, model), model)
+    return back.select(
+        "doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"),
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("lossless"),
+    )
+
+
 def op7_token_counts(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = tc.token_counts(docs, public_tokenizers.path(WORD_BPE), work_dir(spark, "token-counts"), normalise=tc.collapsed_space)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op8_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.with_quality(docs, quality.train(docs)).select("doc_id", "junk_score", "abuse_score", "keep")
+
+
 def op9_token_files(spark, sf_dir):
     path = work_dir(spark, "token-files")
     tf.write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), 2, path)
@@ -69,7 +84,9 @@ QUERIES = {
     "op3_metric_search": (op3_metric_search, oracle.OP3),
     "op4_html_main_text": (op4_html_main_text, None),
     "op5_suffix_dedup": (op5_suffix_dedup, oracle.OP5),
+    "op6_piece_sampling": (op6_piece_sampling, None),
     "op7_token_counts": (op7_token_counts, None),
+    "op8_quality": (op8_quality, None),
     "op9_token_files": (op9_token_files, None),
     "op10_substring_dedup": (op10_substring_dedup, oracle.OP10),
 }
