@@ -10,7 +10,7 @@ ones, then the frequent ones, each by hash. Hash ranges cut it into fragments.
    only prefixes are dealt out, and a set with too many n-grams of its own never is.
 4. Candidates are counted fragment by fragment: the partial overlaps of a pair are
    counted apart and summed per pair, and the sum decides.
-5. First every set meets one hub of its buckets, the least edited set. What that
+5. First every set meets two hubs of its buckets, sets of its size with few rare n-grams. What that
    connects need not be compared again: then only pairs across components are
    candidates, all of them. Components need no more links than that.
 """
@@ -40,6 +40,7 @@ FREQUENT = 16
 PARTS = 4
 _U = np.uint64
 _LOW = _U((1 << 48) - 1)
+_NUMBERS = ("n", "own", "rare", "place", "held")
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +146,11 @@ def _counted(rows: DataFrame, words: int, firsts, bits: int) -> DataFrame:
 
 
 def _postings(rows: DataFrame, words: int, percent: int, firsts, shared, frequent, bits: int) -> DataFrame:
-    """``gram, node, n, own``: the shared n-grams in each class's prefix; ``own`` counts those of no other class."""
+    """``gram, node, n, own, rare, place, held``: the shared n-grams in each class's prefix, numbered in the global order.
+
+    ``own`` counts the set's n-grams of no other class, ``rare`` all that aren't
+    frequent, ``held`` the shared ones in the prefix.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flat, bounds, node in _first_rows(batches, words, firsts.value):
@@ -153,7 +158,7 @@ def _postings(rows: DataFrame, words: int, percent: int, firsts, shared, frequen
             rank = held_in(shared.value, key).astype(np.int64)
             some = np.flatnonzero(rank)
             rank[some] += held_in(frequent.value, key[some])
-            grams, nodes, sizes, owns = [], [], [], []
+            grams, nodes, numbers = [], [], []
             for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                 n = b - a
                 prefix = n - (percent * n + 99) // 100 + 1
@@ -163,14 +168,16 @@ def _postings(rows: DataFrame, words: int, percent: int, firsts, shared, frequen
                 order = np.argsort(rank[a:b], kind="stable")[own:prefix]  # by hash within a rank
                 grams.append(flat[a:b][order])
                 nodes.append(np.full(len(order), node[i], _U))
-                sizes.append(np.full(len(order), n))
-                owns.append(np.full(len(order), own))
+                held = len(order)
+                same = np.array([n, own, int((rank[a:b] < 2).sum()), held])
+                numbers.append(np.column_stack((np.tile(same[:3], (held, 1)), np.arange(held), np.full(held, held))))
             if grams:
-                g, m, n, o = (np.concatenate(x) for x in (grams, nodes, sizes, owns))
-                yield pa.RecordBatch.from_arrays([_signed(g), _signed(m), pa.array(n, pa.int32()), pa.array(o, pa.int32())], ["gram", "node", "n", "own"])
+                g, m, rest = (np.concatenate(x) for x in (grams, nodes, numbers))
+                yield pa.RecordBatch.from_arrays([_signed(g), _signed(m), *[pa.array(x, pa.int32()) for x in rest.T]], ["gram", "node", *_NUMBERS])
 
     # A class may come from several batches: once each, summed up before the shuffle.
-    return rows.mapInArrow(cut, "gram bigint, node bigint, n int, own int").groupBy("gram", "node").agg(F.min("n").alias("n"), F.min("own").alias("own"))
+    found = rows.mapInArrow(cut, "gram bigint, node bigint, " + ", ".join(f"{c} int" for c in _NUMBERS))
+    return found.groupBy("gram", "node").agg(*[F.min(c).alias(c) for c in _NUMBERS])
 
 
 def _possible(percent: int, n1, own1, n2, own2):
@@ -178,6 +185,16 @@ def _possible(percent: int, n1, own1, n2, own2):
     return 100 * most >= percent * (n1 + n2 - most)
 
 
+def _least_met(percent: int, n1, n2):
+    """How many n-grams two linked sets have in common within both prefixes, at least.
+
+    Common n-grams outside are at most what is left of the longer rest.
+    """
+    needed = F.ceil((n1 + n2) * percent / (100.0 + percent) - 1e-9)
+    rest = F.greatest(*[F.ceil(n * percent / 100) - 1 for n in (n1, n2)])
+    return F.greatest(needed - rest, F.lit(1))
+
+
 def _verified(rows: DataFrame, words: int, percent: int, firsts, pairs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that are linked: partial overlaps counted by fragment and summed."""
     spark = rows.sparkSession
@@ -246,28 +263,34 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     shared, frequent = send(bloom(counted.select("gram"))), send(bloom(counted.where("frequent").select("gram")))
     postings = work_table(_postings(rows, words, percent, firsts, shared, frequent, bits), "postings")
 
-    # A hub for each bucket, and for each set the hub it shares most buckets with.
-    hubs = postings.groupBy("gram").agg(F.min(F.struct("own", "node", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    star = postings.join(hubs, "gram").where(F.col("node") != F.col("hub.node"))
+    # A hub for each bucket and size, and for each set the two hubs that it shares most buckets with.
+    band = F.floor(F.log(F.col("n").cast("double")) / np.log(1.15))
+    hubs = postings.groupBy("gram", band.alias("band")).agg(F.min(F.struct("rare", "own", "node", "n")).alias("hub"))
+    star = postings.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).join(hubs, ["gram", "band"]).where(F.col("node") != F.col("hub.node"))
     star = star.where(_possible(percent, F.col("n"), F.col("own"), F.col("hub.n"), F.col("hub.own")))
-    star = star.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("met"))
-    tested = work_table(top_n(star, ["b"], [F.col("met").desc(), F.col("a")], 1).select("a", "b"), "stars")
+    star = star.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b")).agg(F.count("*").alias("met"))
+    best = top_n(star, ["b"], [F.col("met").desc(), F.col("a")], 2)
+    tested = work_table(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
     links = work_table(_verified(rows, words, percent, firsts, tested), "links")
 
-    # Whatever is still apart and shares a bucket is compared, in every bucket.
-    labels = components(links)
-    placed = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # Whatever is still apart is compared if the prefixes say so. Linked sets meet ``least`` times in
+    # the prefixes, so the first time is early enough in both for the others to follow.
+    placed = postings.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
     apart = work_table(placed.join(mixed, "gram"), "apart")
     x, y = apart.alias("x"), apart.alias("y")
-    across = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label")) & _possible(percent, F.col("x.n"), F.col("x.own"), F.col("y.n"), F.col("y.own")))
-    across = across.groupBy(F.col("x.node").alias("p"), F.col("y.node").alias("q"), F.col("x.n").alias("n_p"), F.col("y.n").alias("n_q")).agg(F.count("*").alias("met"))
-    # Common n-grams outside both prefixes are at most what is left of the longer rest.
-    rest = F.greatest(*[F.ceil(F.col(n) * percent / 100) - 1 for n in ("n_p", "n_q")])
-    needed = F.ceil((F.col("n_p") + F.col("n_q")) * percent / (100.0 + percent) - 1e-9)
-    across = across.where(F.col("met") + rest >= needed).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = work_table(across.join(done, ["a", "b"], "left_anti"), "across")
+    least = _least_met(percent, F.col("x.n"), F.col("y.n"))
+    across = x.join(
+        y,
+        (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label")) & (F.col("x.place") + least <= F.col("x.held")) & (F.col("y.place") + least <= F.col("y.held"))
+        & _possible(percent, F.col("x.n"), F.col("x.own"), F.col("y.n"), F.col("y.own")),
+    )
+    across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    prefixes = postings.groupBy("node").agg(F.collect_list("gram").alias("grams"), F.max("n").alias("n"))
+    for end in ("a", "b"):
+        across = across.join(prefixes.select(F.col("node").alias(end), F.col("grams").alias(f"grams_{end}"), F.col("n").alias(f"n_{end}")), end)
+    met = F.size(F.array_intersect("grams_a", "grams_b"))
+    pairs = work_table(across.where(met >= _least_met(percent, F.col("n_a"), F.col("n_b"))).select("a", "b"), "across")
     links = work_table(links.unionByName(_verified(rows, words, percent, firsts, pairs)), "links")
 
     joined = ids.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
