@@ -8,6 +8,7 @@ writer at a time is assumed, as for any plain Parquet table.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 from collections.abc import Callable, Sequence
 from typing import Any
@@ -67,7 +68,8 @@ class Memory:
 
     def add_notes(self, notes: DataFrame) -> None:
         """Insert notes (ord, content, tags, project_id, source, agent_id, optional trust); known contents are skipped."""
-        batch = self.table("notes").agg(F.coalesce(F.max("batch_id") + 1, F.lit(0))).first()[0]
+        by_hand = self.table("notes").where(F.col("writer") == ig.BY_HAND)
+        batch = by_hand.agg(F.coalesce(F.max("batch_id") + 1, F.lit(0))).first()[0]
         stamped = notes.withColumn("created_at", F.lit(self.clock().isoformat()))
         ig.insert_notes(stamped, self.path("notes"), batch)
 
@@ -80,7 +82,8 @@ class Memory:
 
     def ingest(self, raw_dir: str, poll_seconds: int | None = None, archive_dir: str | None = None):
         """Take in the files of a folder; with ``poll_seconds`` keep watching. Returns the streaming query."""
-        return ig.start_ingest(self.spark, raw_dir, self.path("notes"), self.path("ingest_log"), self.path("checkpoints/ingest"),
+        folder = hashlib.md5(raw_dir.rstrip("/").encode()).hexdigest()[:16]
+        return ig.start_ingest(self.spark, raw_dir, self.path("notes"), self.path("ingest_log"), self.path(f"checkpoints/ingest-{folder}"),
                                archive_dir, poll_seconds, self.settings)
 
     def keyword_search(self, query: str, **scope: Any) -> DataFrame:
@@ -89,20 +92,23 @@ class Memory:
     def index(self) -> DataFrame:
         """The vector index, brought up to date first.
 
-        Store and index share their batches, so only batches newer than the
-        index are read and embedded; nothing is compared. Each embedder and
-        dimension has an index of its own, so changing either starts a new one.
+        Store and index are compared by id and place only: notes that the index
+        lacks are embedded, and rows whose note is gone or was written anew
+        elsewhere are left out. Each embedder and dimension has an index of its
+        own, so changing either starts a new one.
         """
         dim = self.settings.semantic.dim
         path = self.path(f"index/{em.EMBEDDER}-{dim}")
         ig.create_table(self.spark, path, INDEX_SCHEMA)
-        known = ig.read_table(self.spark, path, INDEX_SCHEMA)
-        last = known.agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
-        fresh = self.table("notes").where(F.col("batch_id") > last)
+        notes, known = self.table("notes"), ig.read_table(self.spark, path, INDEX_SCHEMA)
+        at = ["chunk_id", "seq"]
+        fresh = notes.join(known.select(*at), at, "left_anti")
+        fresh = fresh.where(em.has_feature(fresh))
         if not fresh.isEmpty():
-            em.with_vectors(fresh, dim).write.mode("append").partitionBy("batch_id").parquet(path)
+            em.with_vectors(fresh, dim).write.mode("append").partitionBy(*ig.PARTITIONS).parquet(path)
             known = ig.read_table(self.spark, path, INDEX_SCHEMA)
-        return known
+        gone = known.select(*at).join(notes.select(*at), at, "left_anti")
+        return known if gone.isEmpty() else known.join(gone, at, "left_anti")
 
     def semantic_search(self, query: str, top_k: int = 5, hybrid: bool = True, **scope: Any) -> DataFrame:
         return se.semantic_search(self.index(), query, top_k, hybrid=hybrid, settings=self.settings, **scope)

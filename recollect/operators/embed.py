@@ -71,6 +71,11 @@ def with_vectors(chunks: DataFrame, dim: int = DEFAULTS.semantic.dim,
     ).where(F.col("vec").isNotNull())
 
 
+def has_feature(chunks: DataFrame) -> Column:
+    """Whether a chunk gets a vector at all."""
+    return F.lower(stored_body(chunks)).rlike(tx.TOKEN)
+
+
 def write_index(index: DataFrame, path: str) -> DataFrame:
     """Keep an index as a table. Searches read from it only the columns they use."""
     index.write.mode("overwrite").parquet(path)
@@ -96,8 +101,7 @@ def sync_stats(index: DataFrame, chunks: DataFrame, dim: int = DEFAULTS.semantic
     """One row ``total, added, removed, rebuilt`` for the pending sync."""
     usable = (F.col("embedder") == EMBEDDER) & (F.col("dim") == dim)
     known = index.select("chunk_id", usable.alias("usable"))
-    has_feature = F.lower(stored_body(chunks)).rlike(tx.TOKEN)
-    wanted = chunks.select("chunk_id", has_feature.alias("indexable"))
+    wanted = chunks.select("chunk_id", has_feature(chunks).alias("indexable"))
     both = known.join(wanted, "chunk_id", "full_outer")
     u = F.coalesce("usable", F.lit(False))
     here = F.col("indexable").isNotNull()

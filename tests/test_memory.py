@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 
 from recollect.memory import Memory
+from recollect.streaming import ingest as ig
 
 
 @pytest.fixture()
@@ -35,6 +36,32 @@ def test_notes_roundtrip(memory):
     assert "[1] score=" in memory.context_prompt("vacuum").first().text
 
 
+def test_writers_never_overwrite_each_other(spark, memory, tmp_path):
+    folders = [tmp_path / "one", tmp_path / "two"]
+    for f in folders:
+        f.mkdir()
+    memory.add_note("alpha words here", [])
+    (folders[0] / "a.txt").write_text("first file text")
+    memory.ingest(str(folders[0])).awaitTermination()
+    memory.add_note("gamma words there", [])
+    (folders[1] / "b.txt").write_text("second file text")
+    memory.ingest(str(folders[1])).awaitTermination()
+    (folders[0] / "c.txt").write_text("third file text")
+    memory.ingest(str(folders[0])).awaitTermination()
+    memory.ingest(str(folders[0])).awaitTermination()
+    expected = ["alpha words here", "first file text", "gamma words there", "second file text", "third file text"]
+    rows = memory.table("notes").orderBy("seq").collect()
+    assert [r.content for r in rows] == expected and len({r.seq for r in rows}) == 5
+    assert {memory.semantic_search(t, 1).first().chunk_id for t in expected} == {r.chunk_id for r in rows}
+    # A batch that runs again replaces itself only, and the index follows.
+    by_hand = [r for r in rows if r.writer == "notes"]
+    again = spark.createDataFrame([(0, "delta words", [], None, None, None, "t", None)], "ord bigint, content string, tags array<string>, project_id string, source string, agent_id string, created_at string, trust double")
+    ig.insert_notes(again, memory.path("notes"), by_hand[0].batch_id)
+    left = sorted(r.content for r in memory.table("notes").collect())
+    assert left == sorted(["delta words", *expected[1:]])
+    assert sorted(r.chunk_id for r in memory.index().collect()) == sorted(r.chunk_id for r in memory.table("notes").collect())
+
+
 def test_session_life(memory):
     data = {"actions": ["built it"], "decisions": ["use X"], "next_steps": ["ship"]}
     assert memory.end_session("", data)["status"] == memory.end_session("a", {})["status"] == "invalid_input"
