@@ -1,7 +1,85 @@
-"""A training-data pipeline over documents; see STAGES."""
-STAGES = []
+"""From raw documents to training sequences, each stage one operator of ``recollect.llm``.
+
+A stage takes all that its predecessor kept and returns the columns of documents;
+the last one returns piece ids. ``run`` writes each stage's result to the shared
+work folder and reads it for the next, so a lost executor costs one stage at most.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recollect.llm import decontamination, jaccard_join, piece_sampling, quality, substring_dedup
+from recollect.llm.filters import work_table
+from recollect.session import ship
+
+#: A segmentation and a classifier have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
+_LAST_ID = (1 << 63) - 1
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier rejects go; those without words too."""
+    ship(spark)
+    return quality.with_quality(docs, quality.train(docs)).where("keep").select(*docs.columns)
+
+
+def _keyed(df: DataFrame, doc: str = "doc_id") -> DataFrame:
+    return df.withColumn("_key", F.coalesce(F.col(doc), F.lit(_LAST_ID)))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays (a NULL id is the largest).
+
+    Documents without words are linked with nothing and stay; of rows that repeat
+    both id and text one stays.
+    """
+    ship(spark)
+    found = _keyed(jaccard_join.near_duplicates(docs))
+    groups = found.where("n_shingles > 0").groupBy("group_id").agg(F.min(F.struct("_key", "tag")).alias("first")).select("first.*")
+    stay = groups.unionByName(found.where("n_shingles = 0").select("_key", "tag")).distinct()
+    kept = _keyed(docs).withColumn("tag", F.hash("text")).join(stay, ["_key", "tag"], "left_semi")
+    return kept.dropDuplicates(["_key", "tag"]).select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Word windows that earlier documents have are cut out; untouched texts stay as they are."""
+    ship(spark)
+    cut = substring_dedup.without_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with at least a twentieth of their words in benchmark windows go."""
+    ship(spark)
+    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = _keyed(found.where("n_hit > 0 and 20 * n_hit >= n_words")).select("_key", "tag").distinct()
+    marked = _keyed(docs).withColumn("tag", F.xxhash64("text"))
+    return marked.join(bad, ["_key", "tag"], "left_anti").select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, lang, source, piece_ids``: one sampled segmentation of each text; ``lossless`` says that it decodes to the text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    back = piece_sampling.decoded(piece_sampling.with_sampled_pieces(docs.select("doc_id", "lang", "source", "text"), model), model)
+    return back.select("doc_id", "lang", "source", "piece_ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("lossless"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("benchmark decontamination", drop_contaminated),
+    ("SentencePiece encoding and decoding", encode_pieces),
+]
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = work_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -78,15 +78,15 @@ def _doc_ids(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _classes(rows: DataFrame, words: int) -> DataFrame:
-    """``doc_id, node`` (digest of the set), ``n`` for every row."""
+    """``doc_id, tag, node`` (digest of the set), ``n`` for every row."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tx.slices(whole, "text"):
                 _, bounds, node = _sets(batch, words)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _signed(node), pa.array(np.diff(bounds))], ["doc_id", "node", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), _signed(node), pa.array(np.diff(bounds))], ["doc_id", "tag", "node", "n"])
 
-    return rows.mapInArrow(digest, "doc_id bigint, node bigint, n bigint")
+    return rows.mapInArrow(digest, "doc_id bigint, tag int, node bigint, n bigint")
 
 
 def _first_rows(batches: Iterator[pa.RecordBatch], words: int, firsts: np.ndarray):
@@ -232,12 +232,13 @@ def _verified(rows: DataFrame, words: int, percent: int, firsts, pairs: DataFram
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id`` for each row of ``docs``.
+    """``doc_id, tag, n_shingles, class_id, component_id, group_id`` for each row of ``docs``.
 
     Words are runs of other than ASCII white space, A-Z lower-cased; a set holds
     the distinct runs of ``words`` words, or the whole of a shorter text. Texts
     with ``100 * intersection >= percent * union`` are linked; ``component_id`` is
     the smallest id reachable by links, ``class_id`` the smallest with an equal set.
+    ``tag`` hashes the text; ``group_id`` names the component, NULL for empty sets.
 
     A NULL text, or one without words, has an empty set and is linked with
     nothing: both ids are its own. A NULL id is reported as NULL and reached, but
@@ -246,7 +247,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     """
     spark = ship(docs.sparkSession)
     send = spark.sparkContext.broadcast
-    rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.hash(F.col(text)).alias("tag"), F.col(text).alias("text"))
     classes = work_table(_classes(rows, words), "classes")
     filled = classes.where("n > 0")
     ids = filled.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).min))).alias("first"), F.min("doc_id").alias("class_id"), F.max("n").alias("n"))
@@ -295,10 +296,10 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
 
     joined = ids.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = joined.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    named = joined.join(least, "label").select("node", "class_id", "component_id")
+    named = joined.join(least, "label").select("node", "class_id", "component_id", F.col("label").alias("group_id"))
     full = classes.join(named, "node", "left")
     alone = F.col("n") == 0
     return full.select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", "tag", F.col("n").alias("n_shingles"), F.when(~alone, F.col("group_id")).alias("group_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
