@@ -37,7 +37,7 @@ def decode_text(data: Column) -> Column:
 def _pretty(raw: str) -> str:
     try:
         return json.dumps(json.loads(raw), indent=2, ensure_ascii=False)
-    except json.JSONDecodeError:
+    except (ValueError, RecursionError):
         return raw.strip(BLANKS)
 
 

@@ -73,13 +73,18 @@ class _Walker(HTMLParser):
             self.out.append(data)
 
 
-def to_text(html: str, rules: dict[str, set[str]]) -> str:
+def to_text(html: str, rules: dict[str, set[str]], whole: bool = False) -> str:
+    """Text of a page. Where the tokenizer gives up, the text read so far, or with ``whole`` the page as it is."""
     walker = _Walker(rules)
-    walker.feed(html)
+    try:
+        walker.feed(html)
+    except (AssertionError, ValueError, RecursionError):
+        if whole:
+            return tidy(html)
     return tidy("".join(walker.out))
 
 
 # Plain text of a document; headings keep their level as ``#``.
 html_to_text = per_value(partial(to_text, rules=DOCUMENT_RULES))
 # Readable text of a page without navigation, forms and the like.
-html_main_content = per_value(partial(to_text, rules=PAGE_RULES))
+html_main_content = per_value(partial(to_text, rules=PAGE_RULES, whole=True))

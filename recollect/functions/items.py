@@ -40,23 +40,28 @@ def _from_mapping(value: dict) -> str | None:
 
 
 def flatten(value: Any):
-    """Yield the readable texts of any JSON value, in order."""
-    if isinstance(value, list):
-        for part in value:
-            yield from flatten(part)
-    elif isinstance(value, dict):
-        text = _from_mapping(value)
-        if text is not None:
-            yield text
-    elif isinstance(value, str):
-        if value.strip():
-            yield value
-    elif value is not None:
-        yield str(value)
-
-
-def _rows(raw: str) -> list[dict]:
-    data = json.loads(raw)
+    """Yield the readable texts of any JSON value, in order; a stack takes any depth."""
+    todo = [value]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, list):
+            todo += reversed(value)
+        elif isinstance(value, dict):
+            text = _from_mapping(value)
+            if text is not None:
+                yield text
+        elif isinstance(value, str):
+            if value.strip():
+                yield value
+        elif value is not None:
+            yield str(value)
+
+
+def _rows(raw: str) -> list[dict] | None:
+    try:
+        data = json.loads(raw)
+    except (ValueError, RecursionError):
+        return None
     if isinstance(data, str):
         groups = [("done", [data])]
     elif isinstance(data, list):
@@ -73,7 +78,7 @@ def _rows(raw: str) -> list[dict]:
 
 
 # Items of a session document with their key and both positions. A bare text
-# or list counts as what was done.
+# or list counts as what was done. NULL for a document that is no JSON.
 session_items = per_value(_rows, ITEM_TYPE, _ARROW_ITEM)
 
 

@@ -101,10 +101,10 @@ def feature_sign(feature: Column) -> Column:
 
 
 def truncate(c: Column, limit: int) -> Column:
-    flat = one_line(c)
-    return F.when(F.length(flat) <= limit, flat).otherwise(
-        F.concat(rstrip(F.substring(flat, 1, limit - 1)), F.lit("…"))
-    )
+    def cut(flat: Column) -> Column:
+        return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(rstrip(F.substring(flat, 1, limit - 1)), F.lit("…")))
+
+    return let(one_line(c), cut)
 
 
 def norm_key(c: Column) -> Column:

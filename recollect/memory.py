@@ -195,14 +195,17 @@ class Memory:
         sized = self._with_buckets(one).withColumn("in_chars", F.length("data").cast("bigint"))
         return ss.compress(sized, max_chars, self.settings.compression, rewrite=rewrite)
 
-    def auto_close(self, timeout_min: int | None = None) -> int:
-        """Summarize all stale sessions; returns how many."""
+    def auto_close(self, timeout_min: int | None = None) -> dict[str, int]:
+        """Summarize all stale sessions; returns how many were checked, closed, and left as their data can't be read."""
         now = F.lit(self.clock().isoformat(sep=" ")).cast("timestamp_ntz")
-        due = ss.stale(self.sessions(), now, timeout_min or self.settings.summaries.autoclose_minutes)
-        n = due.count()
-        if n:
-            self._close(due, latest=False)
-        return n
+        sessions = self.sessions()
+        checked = sessions.where(F.col("status") == "archived").count()
+        due = ss.stale(sessions, now, timeout_min or self.settings.summaries.autoclose_minutes)
+        readable = due.where(session_items("data").isNotNull())
+        stale, closed = due.count(), readable.count()
+        if closed:
+            self._close(readable, latest=False)
+        return {"checked": checked, "closed": closed, "errors": stale - closed}
 
     def _latest_summaries(self) -> DataFrame:
         """The newest regular summary of each agent, else the first one made for a named session."""
@@ -239,13 +242,23 @@ class Memory:
     def start_task(self, task_id: str, agent_id: str, project_id: str, description: str = "") -> None:
         self._task(task_id, agent_id, project_id, "start", description)
 
-    def end_task(self, task_id: str, agent_id: str, session_data: Any = None, project_id: str | None = None) -> None:
+    def end_task(self, task_id: str, agent_id: str | None = None, session_data: Any = None, project_id: str | None = None) -> bool:
+        """End a known task; agent and project are the task's unless given. False, and nothing done, for an unknown one."""
+        task = self.tasks().where(F.col("task_id") == task_id).first()
+        if task is None:
+            return False
+        agent_id, project_id = agent_id or task.agent_id, project_id or task.project_id
         self._task(task_id, agent_id, project_id, "end")
         if session_data:
             self.end_session(agent_id, session_data, project_id)
+        return True
 
-    def cancel_task(self, task_id: str) -> None:
+    def cancel_task(self, task_id: str) -> bool:
+        """Cancel a known task; False for an unknown one."""
+        if self.tasks().where(F.col("task_id") == task_id).isEmpty():
+            return False
         self._task(task_id, None, None, "cancel")
+        return True
 
     def _task(self, task_id, agent_id, project_id, action, description=None) -> None:
         tick = self._tick()

@@ -114,18 +114,14 @@ def sync_stats(index: DataFrame, chunks: DataFrame, dim: int = DEFAULTS.semantic
     )
 
 
-def index_version(chunks: DataFrame, exact_up_to: int = 1_000_000) -> DataFrame:
-    """Twelve-digit fingerprint of the set of chunk ids.
+def index_version(chunks: DataFrame) -> DataFrame:
+    """Twelve-digit fingerprint of the set of chunk ids, in whatever order they come.
 
-    The digest of the sorted, comma-joined ids; it is one sequential hash, so
-    beyond ``exact_up_to`` ids (counted first) an order-free fingerprint takes
-    its place: count and sums of the id digests, a plain partial aggregate.
+    The digest of their number and of the sums of both leading twelve-digit
+    halves, one partial aggregate at every size. (A digest of all ids in a row
+    would be one sequential hash over the whole store.)
     """
-    ids = chunks.select("chunk_id")
-    if ids.limit(exact_up_to + 1).count() <= exact_up_to:
-        joined = F.array_join(F.array_sort(F.collect_list("chunk_id")), ",")
-        return ids.agg(F.substring(F.md5(joined.cast("binary")), 1, 12).alias("version"))
     half = lambda start: F.conv(F.substring("chunk_id", start, 12), 16, 10).cast("decimal(38,0)")
-    parts = [F.count("*"), F.sum(half(1)), F.sum(half(13))]
+    parts = [F.count("*"), *[F.coalesce(F.sum(half(s)), F.lit(0)) for s in (1, 13)]]
     text = F.concat_ws(",", *[p.cast("string") for p in parts])
-    return ids.agg(F.substring(F.md5(text.cast("binary")), 1, 12).alias("version"))
+    return chunks.agg(F.substring(F.md5(text.cast("binary")), 1, 12).alias("version"))

@@ -60,8 +60,6 @@ PROMPT_INTRO = (
     "",
     "Исходные данные:",
 )
-# A marker repeated this often has filled the item up to its limit.
-_MARKS = 12
 
 
 def _word(name: str) -> Column:
@@ -98,13 +96,13 @@ def bucket_rows(items: DataFrame, by: Sequence[str], conf: Summaries = DEFAULTS.
     rows = (
         items.withColumn("bucket", bucket)
         .withColumn("text", F.when(F.col("bucket") == "other", F.concat("raw_key", F.lit(": "), "item")).otherwise(F.col("item")))
-        .select(*by, "bucket", "key_pos", "item_pos", tx.truncate(F.col("text"), limit).alias("text"))
-        .where(F.col("text") != "")
+        .select(*by, "bucket", "key_pos", "item_pos", "text")
+        .where(tx.one_line(F.col("text")) != "")
     )
     group = [*by, "bucket"]
     kept = top_n(rows, group, [F.col("key_pos"), F.col("item_pos")], max(caps.values()), "pos").where(
         F.col("pos") <= _cap(caps)
-    )
+    ).withColumn("text", tx.truncate(F.col("text"), limit))
 
     per_key = (
         items.select(*by, bucket.alias("bucket"), "key_pos")
@@ -121,7 +119,8 @@ def bucket_rows(items: DataFrame, by: Sequence[str], conf: Summaries = DEFAULTS.
         .where(F.col("marks") > 0)
     )
     marked = F.aggregate(
-        F.sequence(F.lit(1), F.least(F.col("marks"), F.lit(_MARKS)).cast("int")),
+        # So many markers fill an item of any length up to its limit.
+        F.sequence(F.lit(1), F.least(F.col("marks"), F.lit(limit // len(OVERFLOW) + 2)).cast("int")),
         F.col("text"),
         lambda text, _: tx.truncate(F.concat(text, F.lit(OVERFLOW)), limit),
     )

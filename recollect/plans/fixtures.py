@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions.items import turn_item
+from recollect.session import work_dir
 from recollect.functions.trust import source_trust
 
 EPOCH = "2024-01-01 00:00:00"
@@ -118,3 +119,19 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("note").alias("action"),
         F.col("event_type").alias("description"),
     )
+
+
+DOCS_PER_FILE = 50
+
+
+def raw_text_files(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as text files of fifty, paragraphs apart, in a fresh raw folder."""
+    raw = work_dir(spark, "raw")
+    d = table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / DOCS_PER_FILE).cast("bigint"))
+    body = F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n"))
+    (
+        d.repartition("part").sortWithinPartitions("part", "doc_id").select("part", body.alias("value"))
+        .write.partitionBy("part").text(raw)
+    )
+    # Spark names its files .txt, a supported kind; markers start with "_" and are not listed.
+    return raw

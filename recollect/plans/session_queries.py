@@ -260,208 +260,6 @@ def _digest_ctes(project):
     return f"{_SQL}, {_picked_sql(project, None)}, {o.DECISIONS}, {_chosen(project)}, {_NAMED}, {_notes_sql(project)}"
 
 
-_STATS = f"WITH {_WIDE} SELECT session_no, " + ", ".join(
-    f"count(*) FILTER (bucket = '{b}') AS {b}" for b in o.BUCKET_NAMES) + " FROM rows GROUP BY 1"
-
-
-def session_summary(spark, sf):
-    return _full(spark, sf, WIDE).select(BY, ss.summary_text().alias("summary"))
-
-
-def latest_session(spark, sf):
-    return ss.latest_session(fx.sessions(spark, sf)).select("agent_id", BY, "session_ts", "file", "status")
-
-
-def list_archives(spark, sf):
-    return fx.sessions(spark, sf).select("agent_id", "session_ts", "file", "status").orderBy("agent_id", "session_ts")
-
-
-def collapse_history(spark, sf):
-    return ss.collapse_history(fx.sessions(spark, sf), fx.session_items(spark, sf), BY, keep_last=2)
-
-
-_FOLDED = """usable AS (SELECT * FROM sessions WHERE status <> 'collapsed'),
-folded AS (SELECT * FROM usable QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY session_ts DESC) > 2)"""
-_COUNTS = ", ".join(f"CASE WHEN count(*) FILTER (bucket = '{b}') > 0 THEN '{b}=' || count(*) FILTER (bucket = '{b}') END" for b in o.BUCKET_NAMES)
-COLLAPSE = f"""WITH {_SQL}, {_FOLDED},
-facts AS (SELECT session_no, max(text) FILTER (bucket = 'done' AND pos = 1) AS fd, concat_ws(', ', {_COUNTS}) AS counts FROM rows GROUP BY 1),
-tot AS (SELECT agent_id, count(*) AS n, min(session_ts) AS a, max(session_ts) AS b FROM folded GROUP BY 1),
-seen AS (SELECT agent_id, bucket, text, min(session_ts || lpad(pos::VARCHAR, 4, '0')) AS first_at FROM rows JOIN folded USING (session_no) WHERE bucket IN ('decisions', 'next') GROUP BY ALL),
-nth AS (SELECT *, row_number() OVER (PARTITION BY agent_id, bucket ORDER BY first_at) AS rn FROM seen)
-SELECT agent_id, 0 AS section, '0' AS sort_key, '# Свернутое резюме истории сессий (' || agent_id || ')' AS line FROM tot
-UNION ALL SELECT agent_id, 0, '1', '**Сессии:** ' || a || ' … ' || b || ' · **Свернуто:** ' || n FROM tot
-UNION ALL SELECT agent_id, 0, '2', '**Сгенерировано:** SessionSummarizer.collapse_history (эвристика).' FROM tot
-UNION ALL SELECT agent_id, 1, '', {_NL} || '## Сессии (по одной строке)' FROM tot
-UNION ALL SELECT agent_id, 1, session_ts, '- **' || session_ts || '** — ' || coalesce(fd, '—') || CASE WHEN counts <> '' THEN ' · (' || counts || ')' ELSE '' END FROM folded LEFT JOIN facts USING (session_no)
-UNION ALL SELECT agent_id, 2, '', {_NL} || '## Решения (агрегировано: ' || (SELECT count(*) FROM seen s WHERE s.agent_id = tot.agent_id AND bucket = 'decisions') || ')' FROM tot
-UNION ALL SELECT agent_id, 3, '', {_NL} || '## Дальше (агрегировано: ' || (SELECT count(*) FROM seen s WHERE s.agent_id = tot.agent_id AND bucket = 'next') || ')' FROM tot
-UNION ALL SELECT agent_id, CASE bucket WHEN 'decisions' THEN 2 ELSE 3 END, lpad(rn::VARCHAR, 4, '0'), '- ' || text FROM nth WHERE rn <= 10"""
-
-
-def collapse_report(spark, sf):
-    return ss.collapse_report(fx.sessions(spark, sf), keep_last=2)
-
-
-COLLAPSE_REPORT = f"""WITH {o.sessions()}, {_FOLDED} SELECT u.agent_id, CASE WHEN max(f.n) IS NULL THEN 'nothing_to_collapse' ELSE 'ok' END AS status,
-  count(*) AS archives, coalesce(max(f.n), 0) AS collapsed, max(f.a) AS first_ts, max(f.b) AS last_ts
-FROM usable u LEFT JOIN (SELECT agent_id, count(*) AS n, min(session_ts) AS a, max(session_ts) AS b FROM folded GROUP BY 1) f USING (agent_id) GROUP BY 1"""
-
-
-def _json_size(items):
-    """Length of a session's JSON text, added up without building it."""
-    escaped = lambda c: F.length(F.to_json(F.struct(F.col(c).alias("c")))) - 6
-    per_item = escaped("role") + escaped("text") + len('{"role": , "content": }')
-    per_key = items.groupBy(BY, "raw_key").agg((F.sum(per_item) + 2 * (F.count("*") - 1)).alias("n"))
-    key = F.length("raw_key") + len('"": []')
-    return per_key.groupBy(BY).agg((F.sum(F.col("n") + key) + 2 * (F.count("*") - 1) + 2).alias("in_chars"))
-
-
-def compress_session(spark, sf):
-    full = _full(spark, sf, WIDE).join(_json_size(fx.session_items(spark, sf, WIDE)), BY, "left")
-    return ss.compress(full).select(BY, "markdown", "in_chars", "out_chars", "ratio")
-
-
-def compress_tight(spark, sf):
-    """A budget that forces every step of shrinking."""
-    full = _full(spark, sf, WIDE).join(_json_size(fx.session_items(spark, sf, WIDE)), BY, "left")
-    budget = F.col(BY) % 2
-    tight = ss.compress(full.where(budget == 0), 6200).unionByName(ss.compress(full.where(budget == 1), 4500))
-    return tight.select(BY, "markdown", "in_chars", "out_chars", "ratio")
-
-
-def _compact_sql(level_sections):
-    head = "'# Сжатая сессия (' || agent_id || ')' || chr(10) || '**Время:** ' || session_ts || ' · **Уровень сжатия:** 1'"
-    return o.document(head, level_sections, "Сессия не содержит структурированных данных.")
-
-
-def _compress_sql(limit):
-    caps = (("Сделано", "done_l", 8), ("Решения", "decisions_l", 6), ("Дальше", "next_l", 6), ("Прочее", "other_l", 4))
-    capped = [(t, f"{c}[1:{n}]") for t, c, n in caps]
-    short = [(t, f"list_transform({c}, lambda x: {o.truncate('x', 180)})") for t, c in capped]
-    return f"""WITH {_WIDE}, {o.arrays()},
-size AS (SELECT session_no, sum(n + length(raw_key) + 6) + 2 * (count(*) - 1) + 2 AS in_chars FROM (
-  SELECT session_no, raw_key, sum(length(to_json(role)::VARCHAR) + length(to_json(text)::VARCHAR) + 23) + 2 * (count(*) - 1) AS n FROM items GROUP BY ALL) GROUP BY 1),
-docs AS (SELECT *, {_compact_sql(capped + [('Диалог', 'dialog_l[1:6]')])} AS a, {_compact_sql(capped)} AS b, {_compact_sql(short)} AS c, {limit} AS lim FROM full_),
-fit AS (SELECT session_no, CASE WHEN length(a) <= lim THEN a WHEN length(b) <= lim THEN b ELSE {o.cut('c', 'lim', 'lim - 1')} END AS markdown FROM docs)
-SELECT session_no, markdown, in_chars::BIGINT AS in_chars, length(markdown)::BIGINT AS out_chars,
-  ((in_chars * 20 + length(markdown)) // (2 * length(markdown))) / 10.0::DOUBLE AS ratio FROM fit JOIN size USING (session_no)"""
-
-
-def end_session(spark, sf):
-    """The end-of-session composition: stamp, summary, counts for every session."""
-    s = fx.sessions(spark, sf, WIDE).drop("session_ts", "status").withColumn("minute", F.lit("20240301_1200"))
-    stamped = ss.archive_stamps(s, BY, "minute").withColumn("status", F.lit("archived"))
-    full = ss.with_buckets(stamped, _rows(spark, sf, WIDE), [BY])
-    body = ss.stored_summary(F.col("agent_id"), F.col("session_ts"), ss.summary_text())
-    return full.select(BY, "agent_id", "session_ts", F.lit("summarized").alias("status"), body.alias("summary"),
-                       *[F.size(b).cast("bigint").alias(b) for b in ss.BUCKETS])
-
-
-END_SESSION = f"""WITH {_WIDE.replace('sessions AS', 'sessions0 AS', 1)},
-sessions AS (SELECT session_no, agent_id, file, '20240301_1200' || CASE WHEN n = 0 THEN '' ELSE '_' || n END AS session_ts FROM (
-  SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY session_no) - 1 AS n FROM sessions0)), {o.arrays()}
-SELECT session_no, agent_id, session_ts, 'summarized' AS status, '# Session Summary for Agent: ' || agent_id || {_NL} || {_NL} || '**Timestamp:** ' || session_ts || {_NL} || {_NL} || {o.SUMMARY} AS summary,
-  len(done_l)::BIGINT AS done, len(decisions_l)::BIGINT AS decisions, len(next_l)::BIGINT AS next, len(dialog_l)::BIGINT AS dialog, len(other_l)::BIGINT AS other FROM full_"""
-
-
-def _now():
-    return F.lit(NOW).cast("timestamp_ntz")
-
-
-def stale_sessions(spark, sf):
-    """The archive with some unreadable stamps, which count as stale."""
-    s = fx.sessions(spark, sf)
-    stamp = F.when(F.col(BY) % 7 == 0, F.lit("lost")).otherwise(F.col("session_ts"))
-    return ss.stale(s.withColumn("session_ts", stamp), _now(), 960).select(BY, "agent_id", "session_ts")
-
-
-_STALE = f"strptime(session_ts, '%Y%m%d_%H%M') < TIMESTAMP '{NOW}' - INTERVAL 960 MINUTE"
-STALE = f"""WITH {o.sessions()} SELECT session_no, agent_id, CASE WHEN session_no % 7 = 0 THEN 'lost' ELSE session_ts END AS session_ts
-FROM sessions WHERE status = 'archived' AND (session_no % 7 = 0 OR {_STALE})"""
-
-
-def autoclose_report(spark, sf):
-    closed = ss.autoclose(fx.sessions(spark, sf), fx.session_items(spark, sf), BY, _now(), 960)
-    return closed.select("agent_id", "session_ts", F.md5(F.col("summary").cast("binary")).alias("summary_md5"))
-
-
-AUTOCLOSE = f"""WITH {_SQL}, due AS (SELECT * FROM sessions WHERE status = 'archived' AND {_STALE}), {o.arrays('due')}
-SELECT agent_id, session_ts, md5({o.SUMMARY}) AS summary_md5 FROM full_"""
-
-
-# --- digest -------------------------------------------------------------------
-
-def digest_sessions(spark, sf):
-    picked = dg.digest_sessions(fx.sessions(spark, sf), PROJECT, SINCE)
-    told = dg.with_bucket_lines(picked, fx.session_items(spark, sf), BY)
-    return told.select("agent_id", F.col("rank").cast("bigint").alias("rank"), "session_ts", "done", "decisions", "next", "other")
-
-
-def _picked_sql(project=PROJECT, since=SINCE, extra=""):
-    bound = f"AND session_ts >= '{since}'" if since else ""
-    return f"""picked AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY session_ts DESC) AS rank FROM sessions
-  WHERE project_id = '{project}' AND status <> 'collapsed' {bound} {extra} QUALIFY rank <= 6),
-told AS (SELECT p.*, """ + ", ".join(
-        f"coalesce((SELECT string_agg(text, '; ' ORDER BY pos) FROM rows r WHERE r.session_no = p.session_no AND bucket = '{b}' AND pos <= 4), '') AS {b}"
-        for b in ("done", "decisions", "next", "other")) + " FROM picked p)"
-
-
-DIGEST_SESSIONS = f"WITH {_SQL}, {_picked_sql()} SELECT agent_id, rank, session_ts, done, decisions, next, other FROM told"
-
-
-def digest_agent_filter(spark, sf):
-    """Everyone but one agent, and one agent alone."""
-    s = fx.sessions(spark, sf)
-    others = dg.digest_sessions(s, PROJECT, exclude_agent=AGENT).select(F.lit("others").alias("view"), "agent_id", "session_ts")
-    alone = dg.digest_sessions(s, PROJECT, only_agent=AGENT).select(F.lit("alone").alias("view"), "agent_id", "session_ts")
-    return others.unionAll(alone)
-
-
-AGENT_FILTER = f"""WITH {o.sessions()}, p AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY session_ts DESC) AS rank FROM sessions
-  WHERE project_id = '{PROJECT}' AND status <> 'collapsed' QUALIFY rank <= 6)
-SELECT CASE agent_id WHEN '{AGENT}' THEN 'alone' ELSE 'others' END AS view, agent_id, session_ts FROM p"""
-
-
-def digest_decisions(spark, sf):
-    return dg.digest_decisions(fx.decisions(spark, sf), PROJECT, "2024-01-05").select("seq", "decision", "recorded_at")
-
-
-_CHOSEN = """chosen AS (SELECT *, row_number() OVER (ORDER BY recorded_at DESC, seq) AS rank FROM decisions
-  WHERE project_id = '{project}' {bound} QUALIFY rank <= 8)"""
-
-
-def _chosen(project, bound=""):
-    return _CHOSEN.format(project=project, bound=f"AND recorded_at >= '{bound}'" if bound else "")
-
-
-def _project_notes(spark, sf):
-    """Notes whose project is named as the sessions' projects are."""
-    name = F.concat(F.lit("proj_"), F.regexp_extract("project_id", r"\d+", 0))
-    chunks = ck.deduplicate(fx.notes(spark, sf))
-    return chunks.withColumn("project_id", F.when(F.col("project_id").isNotNull(), name))
-
-
-def digest_chunks(spark, sf):
-    return dg.digest_chunks(_project_notes(spark, sf), PROJECT, "2024-01-01 05:00:00").select("seq", "id", "created_at", "agent_id", "preview")
-
-
-_NAMED = f"{o.CHUNKS}, named AS (SELECT * REPLACE (CASE WHEN project_id IS NOT NULL THEN 'proj_' || regexp_extract(project_id, '\\d+') END AS project_id) FROM chunks)"
-
-
-def _notes_sql(project, bound=""):
-    limit = f"AND created_at >= '{bound}'" if bound else ""
-    flat = o.one_line("content")
-    return f"""fresh AS (SELECT seq, substr(chunk_id, 1, 8) AS id, created_at, agent_id, substr(flat, 1, 140) || CASE WHEN length(flat) > 140 THEN '…' ELSE '' END AS preview,
-  row_number() OVER (ORDER BY created_at DESC, seq) AS rank FROM (SELECT *, {flat} AS flat FROM named WHERE project_id = '{project}' {limit}) WHERE flat <> '' QUALIFY rank <= 8)"""
-
-
-def digest_stats(spark, sf):
-    return dg.digest_stats(
-        dg.digest_sessions(fx.sessions(spark, sf), PROJECT), dg.digest_decisions(fx.decisions(spark, sf), PROJECT),
-        dg.digest_chunks(_project_notes(spark, sf), PROJECT))
-
-
-_DIGEST_CTES = f"{_SQL}, {_picked_sql(since=None)}, {o.DECISIONS}, {_chosen(PROJECT)}, {_NAMED}, {_notes_sql(PROJECT)}"
 _STATS = "stats AS (SELECT (SELECT count(DISTINCT agent_id) FROM picked) AS agents, (SELECT count(*) FROM picked) AS sessions, (SELECT count(*) FROM chosen) AS decisions, (SELECT count(*) FROM fresh) AS chunks)"
 
 

@@ -10,7 +10,6 @@ from recollect.session import work_dir
 from recollect.streaming import autoclose as ac
 from recollect.streaming import ingest as ig
 
-DOCS_PER_FILE = 50
 _NL = "chr(10)"
 
 
@@ -18,30 +17,33 @@ def _finish(query):
     query.awaitTermination()
 
 
-def _raw_files(spark, sf):
-    """The documents as text files of fifty, paragraphs apart, in a fresh raw folder."""
-    raw = work_dir(spark, "raw")
-    d = fx.table(spark, sf, "documents").withColumn("part", F.floor(F.col("doc_id") / DOCS_PER_FILE).cast("bigint"))
-    body = F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n"))
-    (
-        d.repartition("part").sortWithinPartitions("part", "doc_id").select("part", body.alias("value"))
-        .write.partitionBy("part").text(raw)
-    )
-    # Spark names its files .txt, a supported kind; markers start with "_" and are not listed.
-    return raw
+def _ingested(spark, sf, **options):
+    store = ig.create_table(spark, work_dir(spark, "store"), ig.STORE_SCHEMA)
+    raw, log = fx.raw_text_files(spark, sf), work_dir(spark, "log")
+    if options:  # a store in use: the titles of the pages are notes already
+        pages = fx.table(spark, sf, "pages").select(F.col("page_id").alias("ord"), F.col("url").alias("content"), F.array(F.lit("#page")).alias("tags"),
+            *[F.lit(None).cast("string").alias(c) for c in ("project_id", "source", "agent_id")], F.lit("2024-01-01").alias("created_at"))
+        ig.insert_notes(pages, store, 0)
+    _finish(ig.start_ingest(spark, raw, store, log, work_dir(spark, "checkpoint"), **options))
+    return ig.read_table(spark, store, ig.STORE_SCHEMA).select(
+        "chunk_id", F.length("content").cast("bigint").alias("n_chars"), F.array_join("tags", ",").alias("tags"))
 
 
 def stream_ingest(spark, sf):
-    raw, store, log = _raw_files(spark, sf), work_dir(spark, "store"), work_dir(spark, "log")
-    _finish(ig.start_ingest(spark, raw, store, log, work_dir(spark, "checkpoint")))
-    return ig.read_table(spark, store, ig.STORE_SCHEMA).select(
-        "chunk_id", F.length("content").cast("bigint").alias("n_chars"), F.array_join("tags", ",").alias("tags"))
+    return _ingested(spark, sf)
+
+
+def stream_ingest_used_store(spark, sf):
+    """Several micro-batches into a store that already holds notes of another writer."""
+    parts = fx.table(spark, sf, "documents").agg(F.max("doc_id")).first()[0] // fx.DOCS_PER_FILE + 1
+    return _ingested(spark, sf, files_per_batch=max(1, -(-parts // 3)))
 
 
 _PARAS = f"list_filter(list({o.blanks(f'replace(text, {_NL}, chr(32))')} ORDER BY doc_id), lambda x: x <> '')"
-STREAM_INGEST = f"""WITH f AS (SELECT doc_id // {DOCS_PER_FILE} AS part, {_PARAS} AS ps FROM documents GROUP BY 1),
+STREAM_INGEST = f"""WITH f AS (SELECT doc_id // {fx.DOCS_PER_FILE} AS part, {_PARAS} AS ps FROM documents GROUP BY 1),
 c AS (SELECT unnest({o.pack('ps', _NL + ' || ' + _NL, 1200)}) AS chunk FROM f)
 SELECT DISTINCT md5(chunk) AS chunk_id, length(chunk)::BIGINT AS n_chars, '#source:text,#doc' AS tags FROM c"""
+STREAM_USED = STREAM_INGEST + " UNION ALL SELECT DISTINCT md5(url), length(url)::BIGINT, '#page' FROM pages WHERE url IS NOT NULL"
 
 
 def stream_dedup(spark, sf):
@@ -106,6 +108,7 @@ FROM (SELECT strftime(ts, '%Y-%m-%d') AS batch_id, count(*) FILTER (event_type N
 
 QUERIES = {
     "stream_ingest": (stream_ingest, STREAM_INGEST),
+    "stream_ingest_used_store": (stream_ingest_used_store, STREAM_USED),
     "stream_dedup": (stream_dedup, STREAM_DEDUP),
     "session_gap_close": (session_gap_close, f"WITH {_GAPS} {_CLOSED}"),
     "stream_autoclose": (stream_autoclose, STREAM_CLOSE),

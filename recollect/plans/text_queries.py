@@ -37,8 +37,12 @@ def _md5(c):
 
 
 def scan_raw_files(spark, sf):
-    files = fs.scan_raw_files(spark, sf)
-    return files.select(fs.relative_to(F.col("path"), sf).alias("path"), "kind", "length").orderBy("path")
+    files = fs.scan_raw_files(spark, fx.raw_text_files(spark, sf))
+    part = F.regexp_extract("path", r"part=(\d+)/[^/]+$", 1).cast("bigint")
+    return files.select(part.alias("part"), "kind", "length")
+
+
+SCAN = f"SELECT doc_id // {fx.DOCS_PER_FILE} AS part, 'text' AS kind, sum(octet_length(encode(text)) + 2)::BIGINT AS length FROM documents GROUP BY 1"
 
 
 def file_kind(spark, sf):
@@ -209,25 +213,6 @@ def extract_epub(spark, sf):
 EPUB = f"""SELECT page_id, {HTML_TEXT} || {_NL} || {_NL} || '# end' AS text FROM pages"""
 
 
-def extract_pdf(spark, sf):
-    data = fx.table(spark, sf, "documents").select("doc_id", F.concat(F.encode(F.lit("%PDF-1.4\n"), "UTF-8"), F.encode(_text(), "UTF-8")).alias("content"))
-    return data.select("doc_id", docs.extract_pdf(F.col("content")).alias("text"))
-
-
-def _images(spark, sf):
-    return fx.table(spark, sf, "pages").select(
-        "page_id", F.concat(F.lit("scans/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".PNG").otherwise(".jpg")).alias("path"),
-        F.encode("html", "UTF-8").alias("content"))
-
-
-def ocr_extract(spark, sf):
-    return _images(spark, sf).select("page_id", docs.ocr_extract(F.col("content")).alias("text"))
-
-
-def ocr_scan(spark, sf):
-    return docs.ocr_scan(_images(spark, sf)).groupBy("status").agg(F.count("*").alias("files"))
-
-
 def log_tail(spark, sf):
     e = fx.table(spark, sf, "events")
     line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"),
@@ -470,18 +455,15 @@ def normalize_ws(spark, sf):
 NORM_WS = f"""SELECT doc_id, {o.blanks(f"regexp_replace(regexp_replace(replace(replace(text, {_NL}, {_NL} || {_NL} || {_NL} || {_NL}), '. ', '.' || {_NL}), '[ \\t]+\\n', {_NL}, 'g'), '\\n{{3,}}', {_NL} || {_NL}, 'g')")} AS text FROM documents"""
 
 QUERIES = {
-    "scan_raw_files": (scan_raw_files, None),
+    "scan_raw_files": (scan_raw_files, SCAN),
     "file_kind": (file_kind, FILE_KIND),
     "decode_text": (decode_text, DECODE),
     "norm_json": (norm_json, NORM_JSON),
     "norm_jsonl": (norm_jsonl, NORM_JSONL),
     "csv_to_markdown": (csv_to_markdown, CSV),
     "html_to_text": (html_to_text, f"SELECT page_id, {HTML_TEXT} AS text FROM pages"),
-    "extract_pdf": (extract_pdf, None),
     "extract_docx": (extract_docx, DOCX),
     "extract_epub": (extract_epub, EPUB),
-    "ocr_extract": (ocr_extract, None),
-    "ocr_scan": (ocr_scan, None),
     "web_page_report": (web_page_report, PAGE_REPORT),
     "page_front_matter": (page_front_matter, PAGE_FRONT),
     "log_tail": (log_tail, LOG_TAIL),

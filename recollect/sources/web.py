@@ -17,32 +17,46 @@ MAX_PAGE_BYTES = 5 * 1024 * 1024
 ENCODINGS = ("utf-8", "cp1251", "latin-1")
 
 
-def http_get(url: str, timeout: float = 30.0) -> str | None:
-    """Page text, None when unreachable or larger than the limit."""
+class PageError(Exception):
+    """Why there is no page."""
+
+
+def http_get(url: str, timeout: float = 30.0) -> str:
+    """Page text; raises PageError when unreachable, larger than the limit or not text."""
     try:
         with urllib.request.urlopen(url, timeout=timeout) as response:  # noqa: S310
             data = response.read(MAX_PAGE_BYTES + 1)
-    except OSError:
-        return None
+    except (OSError, ValueError) as e:
+        raise PageError(f"unreachable: {e}") from e
     if len(data) > MAX_PAGE_BYTES:
-        return None
+        raise PageError(f"larger than {MAX_PAGE_BYTES} bytes")
     for encoding in ENCODINGS:
         try:
             return data.decode(encoding)
         except UnicodeDecodeError:
             continue
-    return None
+    raise PageError("not text")
 
 
 def fetch_pages(urls: DataFrame, url: str = "url", get: Callable[[str], str | None] = http_get) -> DataFrame:
-    """(url, html) of the pages that could be fetched."""
+    """(url, html, status, reason) of every URL: ``fetched``, ``empty`` or ``failed`` with its reason."""
+
+    def one(address: str | None) -> tuple[str | None, str, str | None]:
+        try:
+            page = get(address)
+        except PageError as e:
+            return None, "failed", str(e)
+        if page is None:
+            return None, "failed", "unreachable"
+        return (page, "fetched", None) if page else (None, "empty", None)
 
     def run(batches):
         for batch in batches:
-            pages = pd.DataFrame({"url": batch["url"], "html": [get(u) for u in batch["url"]]})
-            yield pages[pages["html"].notna() & (pages["html"] != "")]
+            pages = pd.DataFrame([one(u) for u in batch["url"]], columns=["html", "status", "reason"])
+            pages.insert(0, "url", batch["url"])
+            yield pages
 
-    return urls.select(F.col(url).alias("url")).mapInPandas(run, "url string, html string")
+    return urls.select(F.col(url).alias("url")).mapInPandas(run, "url string, html string, status string, reason string")
 
 
 def page_report(pages: DataFrame) -> DataFrame:

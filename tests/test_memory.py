@@ -83,10 +83,10 @@ def test_session_life(memory):
 
 def test_auto_close(memory):
     memory.archive_session("a", {"done": ["x"]})
-    assert memory.auto_close(60) == 0
+    assert memory.auto_close(60)["closed"] == 0
     memory.later(hours=2)
     memory.archive_session("b", ["fresh"])
-    assert memory.auto_close(60) == 1 and memory.auto_close(60) == 0
+    assert memory.auto_close(60)["closed"] == 1 and memory.auto_close(60)["closed"] == 0
     assert {(r.agent_id, r.status) for r in memory.sessions().collect()} == {("a", "summarized"), ("b", "archived")}
 
 
@@ -101,3 +101,21 @@ def test_tasks_and_ingest(memory, tmp_path):
     memory.ingest(str(tmp_path / "raw")).awaitTermination()
     kinds = {(r.kind, r.name): r.n for r in memory.status().collect()}
     assert kinds == {("project", "general"): 1, ("author", "-"): 1, ("sessions", "a"): 1}
+
+
+def test_a_broken_session_is_reported(memory):
+    memory.archive_session("me", {"actions": ["built it"]}, "p")
+    row = memory.table("archives").first().asDict()
+    memory._append("archives", [tuple((row | {"session_ts": row["session_ts"] + "x", "data": "{"}).values())])
+    memory.later(days=2)
+    assert memory.auto_close(60) == {"checked": 2, "closed": 1, "errors": 1}
+    assert memory.auto_close(60) == {"checked": 1, "closed": 0, "errors": 1}
+
+
+def test_unknown_tasks_are_refused(memory):
+    assert not memory.end_task("t9", "me", {"actions": ["x"]}) and not memory.cancel_task("t9")
+    assert memory.sessions().count() == 0 and memory.tasks().count() == 0
+    memory.start_task("t1", "me", "proj", "do it")
+    assert memory.end_task("t1", session_data={"actions": ["did it"]})
+    assert [(r.agent_id, r.project_id) for r in memory.sessions().collect()] == [("me", "proj")]
+    assert memory.tasks().first().status == "completed"

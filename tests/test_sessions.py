@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.items import session_items
 from recollect.operators import sessions as ss
+from recollect.settings import Summaries
 
 CAPS = {"done": 10, "decisions": 10, "next": 10, "dialog": 5, "other": 10}
 KEYS = ["actions", "Done", "decision", "todo", "chat_history", "metric", "сделано", "Дальше"]
@@ -136,3 +137,17 @@ def test_stale_matrix(spark):
     now = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
     assert sorted(r.agent_id for r in ss.stale(df, now, 360).collect()) == ["lost", "old"]
     assert "fresh" in [r.agent_id for r in ss.stale(df, now, 0).collect()]  # at least one minute
+
+
+def test_overflow_marks_fill_long_items(spark):
+    """More repeats of the marker than a short item has room for."""
+    limit, n = 2000, 90
+    rows = [("s", 0, i, "misc", f"item {i}") for i in range(n)]
+    items = spark.createDataFrame(rows, "sid string, key_pos int, item_pos int, raw_key string, item string")
+    conf = Summaries(max_item_chars=limit)
+    got = {r.pos: r.text for r in ss.bucket_rows(items, ["sid"], conf).collect()}
+    want = "misc: item 9"
+    for _ in range(n - conf.max_items):
+        flat = " ".join((want + ss.OVERFLOW).split())
+        want = flat if len(flat) <= limit else flat[: limit - 1].rstrip() + "…"
+    assert len(got) == conf.max_items and got[conf.max_items] == want and len(want) == limit

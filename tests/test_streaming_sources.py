@@ -129,6 +129,9 @@ def test_scan_and_log_tail(spark, tmp_path):
 def test_fetch_and_save_pages(spark):
     urls = spark.createDataFrame([("https://a.b/x",), ("https://a.b/x?2",), ("https://down.example/",)], "url string")
     pages = ws.fetch_pages(urls, get=lambda u: None if "down" in u else f"<head><title>T</title></head><p>{u[-1]}</p>").withColumn("n", F.when(F.col("url").endswith("2"), 2).otherwise(1))
+    assert [(r.url[-7:], r.status, r.reason) for r in pages.where("status <> 'fetched'").collect()] == [("xample/", "failed", "unreachable")]
+    assert ws.fetch_pages(spark.createDataFrame([("no url",)], "url string")).first().status == "failed"
+    pages = pages.where("status = 'fetched'")
     saved = {r.n: r for r in ws.saved_pages(ws.page_report(pages), "n", F.lit("2024"), F.lit("web")).collect()}
     assert [saved[1].file, saved[2].file] == ["a_bx.html", "a_bx_1.html"]
     assert saved[2].document == "---\nsource: https://a.b/x?2\ntitle: T\nsaved_at: 2024\nproject: web\n---\n2"

@@ -151,3 +151,14 @@ def test_stored_form_of_a_note(spark):
     note = tx.render_note(lit("body"), F.array(lit("#a"), lit("#\u0431"), lit('q"')), lit("p"), none, lit("me"), lit(1.0), lit("2024"))
     assert spark.range(1).select(note).first()[0].lower() == (
         '---\ntags: ["#a", "#\\u0431", "q\\""]\nproject_id: p\nagent_id: me\ntrust: 1.0\ncreated_at: 2024\n---\n\nbody')
+
+
+def test_odd_records_are_values(spark):
+    odd = ["<p>a<![foo[x]]>b", "<p>a<![%[x", "plain"]
+    assert evaluate(spark, odd, html.html_to_text)[2] == "plain"
+    assert all(isinstance(v, str) for f in (html.html_to_text, html.html_main_content) for v in evaluate(spark, odd, f))
+    deep = "[" * 100_000 + "]" * 100_000
+    assert evaluate(spark, [deep], formats.normalize_json) == [deep]
+    assert evaluate(spark, [deep, "{", None], items.session_items) == [None, None, None]
+    nested = '{"a": ' + "[" * 500 + '"x"' + "]" * 500 + "}"
+    assert [r.item for r in evaluate(spark, [nested], items.session_items)[0]] == ["x"]
