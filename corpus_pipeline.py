@@ -64,8 +64,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, piece_ids``: one sampled segmentation of each text; ``lossless`` says that it decodes to the text."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    back = piece_sampling.decoded(piece_sampling.with_sampled_pieces(docs.select("doc_id", "lang", "source", "text"), model), model)
-    return back.select("doc_id", "lang", "source", "piece_ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("lossless"))
+    return piece_sampling.with_sampled_pieces(docs, model, checked="lossless").select("doc_id", "lang", "source", "piece_ids", "lossless")
 
 
 STAGES = [

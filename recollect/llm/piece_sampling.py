@@ -35,6 +35,8 @@ UNIT_CHARS = 512
 ALPHA = 0.5
 #: Each length's prefix hashes in a table of so many flags, asked before the sorted keys.
 _FLAG_BITS = 18
+#: A lattice is about a hundred times its text.
+SLICE_BYTES = 1 << 20
 
 
 class Vocabulary:
@@ -68,21 +70,23 @@ class Vocabulary:
         self.scores = np.zeros(n)
         self.scores[[i for i, _ in pieces]] = scores
         self.fallback = min(scores) - 10
-        longest = max(len(c) for _, c in pieces)
-        found: list[dict[int, int]] = [{} for _ in range(longest)]
-        for i, codes in pieces:
-            sums, down = sequence_sums(codes)
-            for k in range(1, len(codes) + 1):
-                key = int(tx.mix((sums[k: k + 1] - sums[:1]) * down[:1])[0])
-                found[k - 1][key] = i if k == len(codes) else found[k - 1].get(key, -1)
+        ids = np.array([i for i, _ in pieces])
+        sizes = np.array([len(c) for _, c in pieces])
+        flat = np.concatenate([c for _, c in pieces])
+        starts = np.cumsum(sizes) - sizes
+        sums, down = sequence_sums(flat)
         self.keys, self.ids, self.flags = [], [], []
-        for held in found:
-            keys = np.array(sorted(held), _U)
+        for length in range(1, int(sizes.max()) + 1):
+            at = np.flatnonzero(sizes >= length)
+            key = tx.mix((sums[starts[at] + length] - sums[starts[at]]) * down[starts[at]])
+            piece = np.where(sizes[at] == length, ids[at], -1)
+            order = np.lexsort((-piece, key))  # of equal prefixes the whole piece first
+            keys, first = np.unique(key[order], return_index=True)
             self.keys.append(keys)
+            self.ids.append(piece[order][first])
             flags = np.zeros(1 << _FLAG_BITS, bool)
             flags[(keys >> _U(64 - _FLAG_BITS)).astype(np.int64)] = True
             self.flags.append(flags)
-            self.ids.append(np.array([held[k] for k in keys.tolist()], np.int64))
         self.text_starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         self.text = np.frombuffer(b"".join(texts), np.uint8)
 
@@ -244,33 +248,54 @@ def decode_ids(vocab: Vocabulary, ids: np.ndarray) -> bytes:
     return vocab.decode(ids).tobytes()[1:]
 
 
+def decodes_to(vocab: Vocabulary, ids: np.ndarray, before: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """Whether the ids of each text decode to it."""
+    data, offsets = tx.text_bytes(texts)
+    out = vocab.decode(ids)
+    ends = np.concatenate(([0], np.cumsum(vocab.text_starts[ids + 1] - vocab.text_starts[ids])))[before]
+    filled = np.diff(before) > 0
+    same = np.diff(ends) - filled == np.diff(offsets)
+    keep = np.ones(len(out), bool)
+    keep[ends[:-1][filled]] = False
+    if same.all():
+        wrong = np.flatnonzero(out[keep] != data)
+        same[np.searchsorted(offsets, wrong, "right") - 1] = False
+        return same
+    return np.array([decode_ids(vocab, ids[a:b]) == data[c:d].tobytes() for a, b, c, d in zip(before[:-1], before[1:], offsets[:-1], offsets[1:])], bool)
+
+
 def with_sampled_pieces(
-    docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, seed: int = 0, name: str = "piece_ids"
+    docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, seed: int = 0, name: str = "piece_ids", checked: str | None = None
 ) -> DataFrame:
     """``docs`` with ``name``: array of piece ids, one sampled segmentation of each whole text.
 
     ``model`` is the path of a sentencepiece vocabulary with byte pieces, readable
     on every executor. Text is taken as it is; a character without a piece, and
-    U+2581 itself, is spelled in bytes, so ``decoded`` gives back every text.
+    U+2581 itself, is spelled in bytes, so ``decoded`` gives back every text. With
+    ``checked`` the ids are decoded at once, and a column of that name says whether
+    that gave back the text.
 
     A NULL or empty text has no ids. Rows with the same key and text get the same
     segmentation, a NULL key counts as 0. Other columns pass through, one called
     ``name`` is replaced; an empty table gives no rows.
     """
     ship(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if f.name != name]
+    kept = [f for f in docs.schema.fields if f.name not in (name, checked)]
     names = [f.name for f in kept]
     keyed = docs.select(*[F.col(n) for n in names], F.coalesce(F.col(key).cast("bigint"), F.lit(0)).alias("_row_key"), F.col(text).alias("_row_text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
         for whole in batches:
-            for batch in tx.slices(whole, "_row_text"):
-                ids, before = sample_ids(vocab, batch.column("_row_text"), batch.column("_row_key").to_numpy(), alpha, seed)
-                lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], lists], [*names, name])
-
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], f"`{name}` array<int>"])
+            for batch in tx.slices(whole, "_row_text", SLICE_BYTES):
+                texts = batch.column("_row_text")
+                ids, before = sample_ids(vocab, texts, batch.column("_row_key").to_numpy(), alpha, seed)
+                added = [pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids, pa.int32()))]
+                if checked:
+                    added.append(pa.array(decodes_to(vocab, ids, before, texts)))
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *added], [*names, name, *([checked] if checked else [])])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], f"`{name}` array<int>", *([f"`{checked}` boolean"] if checked else [])])
     return keyed.mapInArrow(encode, schema)
 
 

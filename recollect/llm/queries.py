@@ -50,11 +50,8 @@ def op5_suffix_dedup(spark, sf_dir):
 def op6_piece_sampling(spark, sf_dir):
     model = public_tokenizers.path(PIECES)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = piece_sampling.decoded(piece_sampling.with_sampled_pieces(docs, model), model)
-    return back.select(
-        "doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"),
-        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("lossless"),
-    )
+    pieces = piece_sampling.with_sampled_pieces(docs, model, checked="lossless")
+    return pieces.select("doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), "lossless")
 
 
 def op7_token_counts(spark, sf_dir):

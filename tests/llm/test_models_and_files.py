@@ -92,6 +92,11 @@ def test_pieces_lossless_and_reproducible(spark, docs):
     one = ps.decoded(ps.with_sampled_pieces(docs, PIECES), PIECES)
     rows = one.collect()
     assert all(r.decoded == (r.text or "") for r in rows) and len(rows) == len(TEXTS) + 1
+    assert all(r.ok for r in ps.with_sampled_pieces(docs, PIECES, checked="ok").collect())
+    vocab, texts = ps.vocabulary(PIECES), pa.array(["some text", "", "more"])
+    ids, before = ps.sample_ids(vocab, texts, np.arange(3))
+    assert ps.decodes_to(vocab, ids, before, pa.array(["some text", "", "mare"])).tolist() == [True, True, False]
+    assert ps.decodes_to(vocab, ids, before, pa.array(["some texts", "", "more"])).tolist() == [False, True, True]
     again = ps.with_sampled_pieces(docs.repartition(1).orderBy(F.desc("doc_id")), PIECES).collect()
     assert sorted((str(r.doc_id), r.text or "", tuple(r.piece_ids)) for r in rows) == sorted((str(r.doc_id), r.text or "", tuple(r.piece_ids)) for r in again)
     assert ps.with_sampled_pieces(docs.where("false"), PIECES).count() == 0
