@@ -36,7 +36,7 @@ ALPHA = 0.5
 #: Each length's prefix hashes in a table of so many flags, asked before the sorted keys.
 _FLAG_BITS = 18
 #: A lattice is about a hundred times its text.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 class Vocabulary:
@@ -65,8 +65,8 @@ class Vocabulary:
         if (self.bytes < 0).any():
             raise ValueError("the vocabulary needs byte pieces to spell every text")
         if all(float(x).is_integer() for x in scores):
-            scores = [-np.log(1 - x) for x in scores]
-            scores = [x - np.log(np.exp(scores).sum()) for x in scores]
+            scores = -np.log1p(-np.array(scores))
+            scores = (scores - np.log(np.exp(scores).sum())).tolist()
         self.scores = np.zeros(n)
         self.scores[[i for i, _ in pieces]] = scores
         self.fallback = min(scores) - 10

@@ -66,6 +66,13 @@ def _among(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
 _STOPS, _INSULTS, _CONTEMPT = _hashed(sorted(STOP_WORDS)), _hashed(sorted(INSULTS)), _hashed(sorted(CONTEMPT))
 
 
+def _running(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each place."""
+    sums = np.zeros(len(flags) + 1, np.int64 if len(flags) >> 31 else np.int32)
+    np.cumsum(flags, out=sums[1:])
+    return sums
+
+
 @dataclass
 class Words:
     """What the heuristics and the features of a slice read."""
@@ -82,7 +89,7 @@ def _read(batch: pa.RecordBatch, column: str) -> Words:
     data, offsets = tx.text_bytes(batch.column(column))
 
     def total(flags: np.ndarray) -> np.ndarray:
-        sums = np.concatenate(([0], np.cumsum(flags)))
+        sums = _running(flags)
         return sums[offsets[1:]] - sums[offsets[:-1]]
 
     n = len(offsets) - 1
@@ -97,10 +104,8 @@ def _read(batch: pa.RecordBatch, column: str) -> Words:
     c_starts, c_ends, c_before = tx.word_spans(data, offsets, tx.SPACED)
     chunks = np.diff(c_before)
     chunk_text = np.repeat(np.arange(n), chunks)
-    symbols = np.concatenate(([0], np.cumsum(_SYMBOL[data])))
-    capitals = np.concatenate(([0], np.cumsum(_UPPER[data])))
-    letters = np.concatenate(([0], np.cumsum(_LETTER[data])))
-    size, s, u, le = c_ends - c_starts, *(x[c_ends] - x[c_starts] for x in (symbols, capitals, letters))
+    size = c_ends - c_starts
+    s, u, le = (sums[c_ends] - sums[c_starts] for sums in (_running(kind[data]) for kind in (_SYMBOL, _UPPER, _LETTER)))
     # Shape: how many symbols (0-3), all letters capital, no letter at all, repeats the chunk before.
     shout = (u > 1) & (u == le)
     whole = tx.span_hashes(data, c_starts, c_ends)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one pass of numpy works on; a single longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 
@@ -83,7 +83,7 @@ def _seeded(seed: int) -> np.ndarray:
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_CACHED_POWERS = 4 << 20
+_CACHED_POWERS = 2 << 20
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
