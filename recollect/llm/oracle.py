@@ -36,15 +36,16 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transf
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5"""
 
-OP5 = """WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, p, substr(h, 2 * p - 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(1, octet_length(t) - 98)) AS p FROM b)),
-f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS gone FROM w),
-c AS (SELECT u.doc_id AS doc_id, q, coalesce(max(CASE WHEN gone THEN 1 ELSE 0 END) OVER (PARTITION BY u.doc_id ORDER BY q ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 0) AS x, h
-  FROM (SELECT b.doc_id, b.h, unnest(range(1, octet_length(b.t) + 1)) AS q FROM b) u LEFT JOIN f ON u.doc_id = f.doc_id AND u.q = f.p),
-e AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY q), 0) AS before FROM (SELECT doc_id, q, x, substr(h, 2 * q - 1, 2) AS byte FROM c))
-SELECT b.doc_id, octet_length(b.t) AS n_bytes, CAST(coalesce(sum(x), 0) AS BIGINT) AS n_removed, CAST(coalesce(sum(CASE WHEN x = 1 AND before = 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_spans,
-  sha256(unhex(coalesce(string_agg(CASE WHEN x = 0 THEN byte END, '' ORDER BY q), ''))) AS kept_sha256
-FROM b LEFT JOIN e ON b.doc_id = e.doc_id GROUP BY b.doc_id, b.t"""
+OP5 = """WITH b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p - 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(1, n - 98)) AS p FROM b)),
+f AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+u AS (SELECT doc_id, unnest(regexp_extract_all(h, '..')) AS byte, unnest(range(1, n + 1)) AS q FROM b),
+c AS (SELECT u.doc_id AS doc_id, q, byte, max(CASE WHEN f.p IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY u.doc_id ORDER BY q ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS x
+  FROM u LEFT JOIN f ON u.doc_id = f.doc_id AND u.q = f.p),
+e AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY q), 0) AS before FROM c),
+k AS (SELECT doc_id, sum(x) AS gone, sum(CASE WHEN x = 1 AND before = 0 THEN 1 ELSE 0 END) AS runs, string_agg(CASE WHEN x = 0 THEN byte END, '' ORDER BY q) AS kept FROM e GROUP BY doc_id)
+SELECT b.doc_id, b.n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM b LEFT JOIN k ON b.doc_id = k.doc_id"""
 
 OP10 = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
 p AS (SELECT doc_id, p, list_slice(w, p, p + 12) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
