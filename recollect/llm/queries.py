@@ -56,7 +56,7 @@ def op6_piece_sampling(spark, sf_dir):
 
 def op7_token_counts(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = tc.token_counts(docs, public_tokenizers.path(WORD_BPE), work_dir(spark, "token-counts"), normalise=tc.collapsed_space)
+    counted = tc.token_counts(docs, public_tokenizers.path(WORD_BPE), work_dir(spark, "token-counts"), normalise=tc.collapsed_space, by_word=True)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 

@@ -11,10 +11,13 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.llm import texts as tx
+from recollect.llm.word_ids import word_encoder
 from recollect.session import ship
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
@@ -73,14 +76,15 @@ def open_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_counts(
-    docs: DataFrame, tokenizer: str, cache: str, text: str = "text", normalise: Callable[[Column], Column] = unchanged
+    docs: DataFrame, tokenizer: str, cache: str, text: str = "text", normalise: Callable[[Column], Column] = unchanged, by_word: bool = False
 ) -> DataFrame:
     """``docs`` with ``digest`` (of the normalised text), ``n_bytes`` (UTF-8) and ``n_tokens``.
 
     ``tokenizer`` is the path of a vocabulary file, ``.json`` for tokenizers and
     ``.model`` for sentencepiece, readable on every executor. Counts are without
     begin, end or added special tokens; strings of special tokens inside a text
-    are handled as the library does by default.
+    are handled as the library does by default. ``by_word`` may be set for a
+    vocabulary that drops white space: each distinct word then goes to the library once.
 
     A NULL text counts as empty: 0 bytes, 0 tokens. Repeated rows and copies are
     encoded once and every row keeps its count. Columns of ``docs`` named like an
@@ -100,9 +104,13 @@ def token_counts(
     misses = distinct.join(known, "digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, count = load_encoder(tokenizer)
+        count = None if by_word else load_encoder(tokenizer)[1]
         for batch in batches:
-            counts = [n for part in _batches(batch.column("text").to_pylist()) for n in count(part)]
+            if by_word:
+                before = [word_encoder(tokenizer).encode(part.column("text"))[1] for part in tx.slices(batch, "text")]
+                counts = np.concatenate([np.diff(b) for b in before]) if before else np.empty(0, np.int64)
+            else:
+                counts = [n for part in _batches(batch.column("text").to_pylist()) for n in count(part)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([version] * batch.num_rows, pa.string()), batch.column("digest"), pa.array(counts, pa.int64())],
                 ["version", "digest", "n_tokens"],

@@ -57,6 +57,8 @@ def test_token_counts_and_cache(spark, docs, tmp_path):
         assert len(got) == len(TEXTS) + 1 and all(r.n_tokens == want[r.text] and r.n_bytes == len((r.text or "").encode()) for r in got)
         cached = spark.read.parquet(cache)
         assert cached.count() == cached.select("digest").distinct().count()  # the second call encodes nothing
+    for row in tc.token_counts(docs, WORD_BPE, str(tmp_path / "by-word"), normalise=tc.collapsed_space, by_word=True).collect():
+        assert row.n_tokens == want[row.text]
     other = tc.token_counts(docs, PIECES, cache).where("text = 'a'").first()
     import sentencepiece
 
