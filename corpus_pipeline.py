@@ -23,7 +23,8 @@ _LAST_ID = (1 << 63) - 1
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier rejects go; those without words too."""
     ship(spark)
-    return quality.with_quality(docs, quality.train(docs)).where("keep").select(*docs.columns)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.with_quality(docs, quality.train(docs, labels=labels)).where("keep").select(*docs.columns)
 
 
 def _keyed(df: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -9,6 +9,9 @@ scorer over hashed features is trained. The scorer judges every document.
 
 Two faults are modelled apart, each with its own heuristics and scorer: ``junk``
 (markup debris, shouting, tables of words, repetition) and ``abuse`` (insults).
+The heuristics for abuse know English words only. Where some documents carry labels,
+a second scorer of abuse, ``taught``, is fitted on a bounded sample of them, in
+whatever language they are; a text's abuse is the larger score of the two.
 """
 
 from __future__ import annotations
@@ -38,6 +41,10 @@ LEAST_SIGNAL = 4.0
 #: The scorer keeps so many features, those with the strongest signal.
 MOST_FEATURES = 512
 RIDGE = 0.05
+#: Labelled documents, about, on which ``taught`` is fitted; those with the smallest hashed ids.
+TAUGHT = 8192
+#: Its features are the shares of words that begin alike, in so many characters; a shorter word counts as a whole.
+STEM_CHARS, STEM_SCALE = 5, 20.0
 ROUNDS_EM, ROUNDS_FIT = 60, 25
 THRESHOLD = 0.5
 
@@ -80,6 +87,7 @@ class Words:
     count: np.ndarray  # words of each text
     hashes: np.ndarray  # lower-cased words
     text: np.ndarray  # text of each word
+    stems: np.ndarray  # hashes of their first characters
     shares: dict[str, np.ndarray]
     shapes: np.ndarray  # shape of each space-separated chunk
     chunk_text: np.ndarray
@@ -96,6 +104,8 @@ def _read(batch: pa.RecordBatch, column: str) -> Words:
     lower = tx.LOWER[data]
     starts, ends, before = tx.word_spans(lower, offsets, tx.ALNUM)
     hashes = tx.span_hashes(lower, starts, ends)
+    firsts = np.append(np.flatnonzero((data & 0xC0) != 0x80), np.full(STEM_CHARS, len(data)))
+    stems = tx.span_hashes(lower, starts, np.minimum(ends, firsts[np.searchsorted(firsts, starts) + STEM_CHARS]))
     count = np.diff(before)
     text = np.repeat(np.arange(n), count)
     per_text = lambda flags, where, size: np.bincount(where, weights=flags, minlength=n) / np.maximum(1, size)
@@ -120,7 +130,7 @@ def _read(batch: pa.RecordBatch, column: str) -> Words:
         "insults": per_text(_among(_INSULTS, hashes), text, 1), "contempt": per_text(_among(_CONTEMPT, hashes), text, 1),
     }
     shares["abusive"] = per_text(_among(_INSULTS, hashes) | _among(_CONTEMPT, hashes), text, count)
-    return Words(count, hashes, text, shares, shapes, chunk_text)
+    return Words(count, hashes, text, stems, shares, shapes, chunk_text)
 
 
 def _opinion(unfit: np.ndarray, fit: np.ndarray | None = None) -> np.ndarray:
@@ -178,7 +188,7 @@ def fit_labels(votes: np.ndarray, counts: np.ndarray) -> LabelModel:
 
 
 def _features(w: Words) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Text, slot and value of each feature, per aspect: shares of shapes, and presence of words."""
+    """Text, slot and value of each feature, per aspect: shares of shapes, presence of words, and shares of stems (a row per word)."""
     n, top = len(w.count), 1 << FEATURE_BITS
     shape = np.bincount(w.chunk_text * 32 + w.shapes, minlength=n * 32).reshape(n, 32).astype(np.float64)
     shape /= np.maximum(1, shape.sum(1, keepdims=True))
@@ -191,21 +201,34 @@ def _features(w: Words) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return {
         "junk": (text, slot, dense[text, slot] * 4),
         "abuse": (np.concatenate((words[0], bias[0])), np.concatenate((words[1], bias[1])), np.ones(len(key) + n)),
+        "taught": (
+            np.concatenate((w.text, bias[0])), np.concatenate(((w.stems >> _U(64 - FEATURE_BITS)).astype(np.int64), bias[1])),
+            np.concatenate((STEM_SCALE / np.maximum(1, w.count)[w.text], np.ones(n))),
+        ),
     }
 
 
-def fit_scorer(text: np.ndarray, slot: np.ndarray, value: np.ndarray, target: np.ndarray, presence: bool) -> np.ndarray:
-    """Weights of a logistic scorer by Newton steps on soft labels, both classes weighing alike, with a ridge."""
+def _summed(text: np.ndarray, slot: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each slot of a text once, with the sum of its values, by text."""
+    key, at = np.unique(text << (FEATURE_BITS + 1) | slot, return_inverse=True)
+    return key >> (FEATURE_BITS + 1), key & ((1 << FEATURE_BITS + 1) - 1), np.bincount(at, weights=value, minlength=len(key))
+
+
+def fit_scorer(text: np.ndarray, slot: np.ndarray, value: np.ndarray, target: np.ndarray, words: bool, least_share: float = LEAST_SHARE) -> np.ndarray:
+    """Weights of a logistic scorer by Newton steps on soft labels, both classes weighing alike, with a ridge.
+
+    ``words``: the features stand for words, of which only those with a signal are used.
+    """
     top = (1 << FEATURE_BITS) + 1
     weights = np.zeros(top)
     if not len(target):
         return weights
     seen, share = np.bincount(slot, minlength=top), float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
     signal = np.where(seen > 0, np.inf, 0.0)
-    if presence:
-        excess = np.bincount(slot, weights=target[text], minlength=top) - seen * share
-        signal = np.abs(excess) / np.sqrt(seen * share * (1 - share) + 1e-9)
-        signal[seen < max(LEAST_TEXTS, LEAST_SHARE * len(target))] = 0
+    if words:
+        excess = np.bincount(slot, weights=value * target[text], minlength=top) - np.bincount(slot, weights=value, minlength=top) * share
+        signal = np.abs(excess) / np.sqrt(np.bincount(slot, weights=value * value, minlength=top) * share * (1 - share) + 1e-9)
+        signal[seen < max(LEAST_TEXTS, least_share * len(target))] = 0
         signal[-1] = np.inf
     used = np.flatnonzero(signal >= LEAST_SIGNAL)
     used = used[np.argsort(-signal[used], kind="stable")][:MOST_FEATURES]
@@ -233,8 +256,54 @@ class Scorer:
     weights: dict[str, np.ndarray]
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Scorer:
-    """The label models over all of ``docs`` and the scorers over about ``sample`` of them."""
+def _described(name: str, features: tuple[np.ndarray, np.ndarray, np.ndarray], target: np.ndarray) -> pa.RecordBatch:
+    t, s, v = features
+    order = np.argsort(t, kind="stable")
+    ends = pa.array(np.searchsorted(t[order], np.arange(len(target) + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (s[order].astype(np.int32), v[order].astype(np.float32))]
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(target), pa.string()), pa.array(target), *lists], ["aspect", "target", "slots", "values"])
+
+
+_DESCRIBED = "aspect string, target double, slots array<int>, values array<float>"
+
+
+def _fitted(taken: pa.Table, name: str, words: bool, least_share: float = LEAST_SHARE) -> np.ndarray:
+    own = taken.filter(pa.compute.equal(taken["aspect"], name))
+    lists = own["slots"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
+    return fit_scorer(
+        np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy().astype(np.int64), own["values"].combine_chunks().flatten().to_numpy().astype(np.float64),
+        own["target"].to_numpy(), words, least_share,
+    )
+
+
+def _taught(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int) -> np.ndarray:
+    """Weights of the scorer fitted on about ``sample`` documents whose ``label`` is known."""
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
+    share = min(1.0, sample / max(1, known.count()))
+    mixed = F.pmod(F.xxhash64(F.col("_key"), F.lit("taught")), F.lit(1 << 30))
+    some = known.where(mixed < int(share * (1 << 30))).limit(2 * sample).groupBy("_key").agg(F.max("_label").alias("_label"))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in tx.slices(whole, "text"):
+                target = (batch.column("_label").to_numpy(zero_copy_only=False) > 0).astype(np.float64)
+                yield _described("taught", _summed(*_features(_read(batch, "text"))["taught"]), target)
+
+    chosen = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(some), "_key").select("text", "_label").limit(2 * sample)
+    taken = chosen.mapInArrow(describe, _DESCRIBED).toArrow()
+    target = taken["target"].to_numpy()
+    if not (target > 0).any() or (target > 0).all():
+        return np.zeros((1 << FEATURE_BITS) + 1)
+    return _fitted(taken, "taught", True, 0.0)
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, labels: DataFrame | None = None, label: str = "toxic", taught: int = TAUGHT) -> Scorer:
+    """The label models over all of ``docs`` and the scorers over about ``sample`` of them.
+
+    ``labels`` says of some documents, by ``key``, whether they are abusive (``label``
+    above 0); one more scorer is fitted on about ``taught`` of those.
+    """
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"))
 
@@ -247,46 +316,30 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
 
     # At most 3**8 + 3**3 rows.
     counted = rows.mapInArrow(count, "aspect int, pattern int, n bigint").groupBy("aspect", "pattern").agg(F.sum("n").alias("n")).collect()
-    labels, total = {}, 0
+    models, total = {}, 0
     for aspect, (name, width) in enumerate(zip(ASPECTS, (8, 3))):
         own = sorted((r.pattern, r.n) for r in counted if r.aspect == aspect)
         patterns = np.array([p for p, _ in own], np.int64)
         votes = patterns[:, None] // 3 ** np.arange(width) % 3 - 1
         counts = np.array([n for _, n in own], np.float64)
-        labels[name], total = fit_labels(votes, counts), int(counts.sum())
-    sent = spark.sparkContext.broadcast(labels)
+        models[name], total = fit_labels(votes, counts), int(counts.sum())
+    sent = spark.sparkContext.broadcast(models)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tx.slices(whole, "text"):
                 w = _read(batch, "text")
                 votes, found = _votes(w), _features(w)
-                for aspect, name in enumerate(ASPECTS):
-                    t, s, v = found[name]
-                    order = np.argsort(t, kind="stable")
-                    ends = np.searchsorted(t[order], np.arange(batch.num_rows + 1)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([aspect] * batch.num_rows, pa.int32()), pa.array(sent.value[name].posterior(votes[name])),
-                            pa.ListArray.from_arrays(pa.array(ends), pa.array(s[order].astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(v[order].astype(np.float32))),
-                        ],
-                        ["aspect", "target", "slots", "values"],
-                    )
+                for name in ASPECTS:
+                    yield _described(name, found[name], sent.value[name].posterior(votes[name]))
 
     share = min(1.0, sample / max(1, total))
     mixed = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30))
     chosen = docs.where(mixed < int(share * (1 << 30))).select(F.col(text).alias("text")).limit(2 * sample)
-    taken = chosen.mapInArrow(describe, "aspect int, target double, slots array<int>, values array<float>").toArrow()
-    weights = {}
-    for aspect, name in enumerate(ASPECTS):
-        own = taken.filter(pa.compute.equal(taken["aspect"], aspect))
-        lists = own["slots"].combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
-        weights[name] = fit_scorer(
-            np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy().astype(np.int64), own["values"].combine_chunks().flatten().to_numpy().astype(np.float64),
-            own["target"].to_numpy(), name == "abuse",
-        )
-    return Scorer(labels, weights)
+    taken = chosen.mapInArrow(describe, _DESCRIBED).toArrow()
+    weights = {name: _fitted(taken, name, name == "abuse") for name in ASPECTS}
+    weights["taught"] = np.zeros((1 << FEATURE_BITS) + 1) if labels is None else _taught(docs, labels, key, text, label, taught)
+    return Scorer(models, weights)
 
 
 def with_quality(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -311,6 +364,8 @@ def with_quality(docs: DataFrame, scorer: Scorer, text: str = "text", threshold:
                 for name, (t, s, v) in _features(w).items():
                     z = np.bincount(t, weights=sent.value[name][s] * v, minlength=batch.num_rows)
                     scores.append(np.round(1 / (1 + np.exp(-np.clip(z, -50, 50))), 6))
+                # A scorer that was never taught says nothing.
+                scores[1:] = [np.maximum(*scores[1:]) if sent.value["taught"].any() else scores[1]]
                 scores[0][w.count == 0] = 1.0
                 fit = (scores[0] < threshold) & (scores[1] < threshold)
                 # Without any training text all weights are 0 and say nothing.

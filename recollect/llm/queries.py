@@ -62,7 +62,7 @@ def op7_token_counts(spark, sf_dir):
 
 def op8_quality(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.with_quality(docs, quality.train(docs)).select("doc_id", "junk_score", "abuse_score", "keep")
+    return quality.with_quality(docs, quality.train(docs, labels=_table(spark, sf_dir, "labels"))).select("doc_id", "junk_score", "abuse_score", "keep")
 
 
 def op9_token_files(spark, sf_dir):

@@ -199,3 +199,15 @@ def test_quality_of_odd_rows(spark, docs):
     assert len(rows) == len(TEXTS) + 1 and not any(r.keep for r in rows if not (r.text or "").strip())
     none = docs.where("false")
     assert quality.with_quality(none, quality.train(none)).count() == 0
+
+
+def test_abuse_in_other_languages_is_learnt_from_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("pmod(xxhash64(doc_id, 'held out'), 2) = 0")
+    scorer = quality.train(docs.select("doc_id", "text"), labels=known)
+    judged = quality.with_quality(docs, scorer).join(labels.join(known, "doc_id", "left_anti"), "doc_id").collect()
+    for lang in ("en", "de", "fr", "es"):
+        toxic = [r.keep for r in judged if r.toxic and r.lang == lang]
+        clean = [r.keep for r in judged if not r.toxic and r.quality and r.lang == lang]
+        print(lang, "toxic", len(toxic), "gone", len(toxic) - sum(toxic), "clean", len(clean), "kept", sum(clean))
+        assert 1 - np.mean(toxic) > 0.85 and np.mean(clean) > 0.98
