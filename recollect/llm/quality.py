@@ -11,7 +11,9 @@ Two faults are modelled apart, each with its own heuristics and scorer: ``junk``
 (markup debris, shouting, tables of words, repetition) and ``abuse`` (insults).
 The heuristics for abuse know English words only. Where some documents carry labels,
 a second scorer of abuse, ``taught``, is fitted on a bounded sample of them, in
-whatever language they are; a text's abuse is the larger score of the two.
+whatever language they are; a text's abuse is the larger score of the two. Where a
+text has words of the heuristics that the scorer found too seldom to weigh, the
+label model's posterior counts too, so abuse is found however rare it is.
 """
 
 from __future__ import annotations
@@ -71,6 +73,7 @@ def _among(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 _STOPS, _INSULTS, _CONTEMPT = _hashed(sorted(STOP_WORDS)), _hashed(sorted(INSULTS)), _hashed(sorted(CONTEMPT))
+_ABUSIVE = np.union1d(_INSULTS, _CONTEMPT)
 
 
 def _running(flags: np.ndarray) -> np.ndarray:
@@ -231,6 +234,8 @@ def fit_scorer(text: np.ndarray, slot: np.ndarray, value: np.ndarray, target: np
         signal[seen < max(LEAST_TEXTS, least_share * len(target))] = 0
         signal[-1] = np.inf
     used = np.flatnonzero(signal >= LEAST_SIGNAL)
+    if words and len(used) < 2:  # the bias alone tells no text from another
+        return weights
     used = used[np.argsort(-signal[used], kind="stable")][:MOST_FEATURES]
     column = np.full(top, -1)
     column[used] = np.arange(len(used))
@@ -354,22 +359,35 @@ def with_quality(docs: DataFrame, scorer: Scorer, text: str = "text", threshold:
     added = ("junk_score", "abuse_score", "keep")
     kept = [f for f in docs.schema.fields if f.name not in added or f.name == text]
     names = [f.name for f in kept]
-    sent = spark.sparkContext.broadcast(scorer.weights)
+    sent = spark.sparkContext.broadcast((scorer.weights, scorer.labels["abuse"]))
+
+    def unweighed(w: Words, weights: np.ndarray, model: LabelModel) -> np.ndarray:
+        """The posterior of the texts with words of abuse that have no weight, 0 of others."""
+        words = _ABUSIVE[weights[(_ABUSIVE >> _U(64 - FEATURE_BITS)).astype(np.int64)] == 0]
+        posterior = np.zeros(len(w.count))
+        some = np.flatnonzero(w.shares["abusive"] > 0)
+        if len(words) and len(some):
+            of = w.shares["abusive"][w.text] > 0
+            some = np.unique(w.text[of][_among(words, w.hashes[of])])
+            posterior[some] = np.round(model.posterior(_votes(w)["abuse"][some]), 6)
+        return posterior
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, model = sent.value
         for whole in batches:
             for batch in tx.slices(whole, "_judged"):
                 w = _read(batch, "_judged")
-                scores = []
+                scores = [np.zeros(batch.num_rows), unweighed(w, weights["abuse"], model)]
                 for name, (t, s, v) in _features(w).items():
-                    z = np.bincount(t, weights=sent.value[name][s] * v, minlength=batch.num_rows)
-                    scores.append(np.round(1 / (1 + np.exp(-np.clip(z, -50, 50))), 6))
-                # A scorer that was never taught says nothing.
-                scores[1:] = [np.maximum(*scores[1:]) if sent.value["taught"].any() else scores[1]]
+                    # A scorer that learnt nothing says nothing.
+                    if weights[name].any():
+                        z = np.bincount(t, weights=weights[name][s] * v, minlength=batch.num_rows)
+                        own = scores[name != "junk"]
+                        np.maximum(own, np.round(1 / (1 + np.exp(-np.clip(z, -50, 50))), 6), out=own)
                 scores[0][w.count == 0] = 1.0
                 fit = (scores[0] < threshold) & (scores[1] < threshold)
                 # Without any training text all weights are 0 and say nothing.
-                if not any(x.any() for x in sent.value.values()):
+                if not any(x.any() for x in weights.values()):
                     fit = w.count > 0
                 yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *map(pa.array, scores), pa.array(fit)], [*names, *added])
 

@@ -211,3 +211,15 @@ def test_abuse_in_other_languages_is_learnt_from_labels(spark):
         clean = [r.keep for r in judged if not r.toxic and r.quality and r.lang == lang]
         print(lang, "toxic", len(toxic), "gone", len(toxic) - sum(toxic), "clean", len(clean), "kept", sum(clean))
         assert 1 - np.mean(toxic) > 0.85 and np.mean(clean) > 0.98
+
+
+@pytest.mark.parametrize("toxic", [0, 1, 6, 60])
+def test_rare_abuse_goes_and_clean_texts_stay(spark, toxic):
+    r = np.random.default_rng(1)
+    words = np.array("the house of a river and in is that was to for on with as long green quiet market paper winter garden engine letter".split())
+    insults = sorted(set(quality.INSULTS) | set(quality.CONTEMPT))
+    texts = [" ".join(r.choice(words, 40)) for _ in range(3000)]
+    texts[:toxic] = [f"{t} you {insults[i % len(insults)]} {insults[7 * i % len(insults)]}" for i, t in enumerate(texts[:toxic])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    judged = quality.with_quality(docs, quality.train(docs)).collect()
+    assert {r.doc_id for r in judged if r.abuse_score >= 0.5} == set(range(toxic)) and not any(r.keep for r in judged if r.doc_id < toxic)
