@@ -1,10 +1,13 @@
 """Main text of web pages by two-pass block rules (operator 4).
 
 A page is cut into blocks at block-level tags. The first pass decides what it can:
-blocks in menus, forms, adverts and other marked zones go, blocks of the marked
-article stay, and of the rest long blocks are judged by the share of stop words
-and of characters in links. Short or middling blocks stay undecided. The second
-pass gives each of those the label of its nearest decided neighbour.
+blocks in menus, forms, adverts and other marked zones go, and the others are
+judged by length and by the share of stop words and of characters in links. Short
+or middling blocks stay undecided. A marked article lifts what isn't made of links
+by one step: few stop words leave a block undecided, and a long undecided one stays.
+The second pass gives each undecided block the label of its nearest decided
+neighbour; in an article only neighbours in the same article count, and where none
+of them stays, what isn't made of links or a heading over it does.
 """
 
 from __future__ import annotations
@@ -48,7 +51,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b""", re.I)
 _WORD = re.compile(r"\w+")
-# A block outside any marked zone or article.
+# A block outside any marked zone.
 LONG, SHORT = 200, 70
 MANY_STOP_WORDS, SOME_STOP_WORDS, MANY_LINKS = 0.3, 0.2, 0.33
 _BAD, _OPEN, _GOOD = range(3)
@@ -59,7 +62,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     zone: bool = False
-    article: bool = False
+    article: int = 0  # number of the innermost article, 0 outside
     heading: bool = False
     text: str = ""
     label: int = _OPEN
@@ -85,14 +88,15 @@ def _is_zone(tag: str, source: str, in_article: bool) -> bool:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order; blocks without text are left out."""
     stack: list[tuple[str, bool, bool]] = []  # tag, begins a zone, begins an article
-    zones = articles = links = 0
+    zones = links = 0
+    articles, n_articles = [], 0
     found, now, at = [], Block(), 0
 
     def close() -> None:
         nonlocal now
         now.text = " ".join("".join(now.parts).split())
         if now.text:
-            now.zone, now.article = zones > 0, articles > 0
+            now.zone, now.article = zones > 0, articles[-1] if articles else 0
             now.heading = any(t in _HEADING for t, _, _ in stack[-3:])
             found.append(now)
         now = Block()
@@ -105,9 +109,11 @@ def blocks(page: str) -> list[Block]:
                 now.linked += len("".join(text.split()))
 
     def pop(to: int) -> None:
-        nonlocal zones, articles, links
+        nonlocal zones, links
         for tag, zone, article in stack[to:]:
-            zones, articles, links = zones - zone, articles - article, links - (tag == "a")
+            zones, links = zones - zone, links - (tag == "a")
+            if article:
+                articles.pop()
         del stack[to:]
 
     for m in _TOKEN.finditer(page):
@@ -132,7 +138,7 @@ def blocks(page: str) -> list[Block]:
             continue
         source = m[4]
         is_article = tag in ("article", "main") or 'role="main"' in source
-        zone = _is_zone(tag, source, articles > 0)
+        zone = _is_zone(tag, source, bool(articles))
         if tag in _BLOCK or zone:
             close()
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack:
@@ -148,44 +154,49 @@ def blocks(page: str) -> list[Block]:
         if tag == "hr" or source.endswith("/") and tag not in _BLOCK:
             continue
         stack.append((tag, zone, is_article and not zone))
-        zones, articles, links = zones + zone, articles + (is_article and not zone), links + (tag == "a")
+        zones, links = zones + zone, links + (tag == "a")
+        if is_article and not zone:
+            n_articles += 1
+            articles.append(n_articles)
     say(page[at:])
     close()
     return found
 
 
 def _first_pass(found: list[Block]) -> None:
-    marked = any(b.article and not b.zone for b in found)
+    begun = {0}
     for b in found:
         if b.zone:
             b.label = _BAD
-        elif marked:
-            b.label = _GOOD if b.article else _BAD
+            continue
+        # The headline of an article is often a link to the article.
+        headline = b.heading and b.article not in begun
+        begun.add(b.article)
+        solid = len("".join(b.text.split()))
+        words = [w.lower() for w in _WORD.findall(b.text)]
+        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        if b.linked > MANY_LINKS * solid and not headline:
+            b.label = _BAD
+        elif b.heading or len(b.text) < SHORT:
+            b.label = _OPEN
+        elif stops >= MANY_STOP_WORDS or stops >= SOME_STOP_WORDS and len(b.text) > LONG:
+            b.label = _GOOD
+        elif stops >= SOME_STOP_WORDS or len(b.text) > LONG:
+            b.label = _GOOD if b.article else _OPEN
         else:
-            solid = len("".join(b.text.split()))
-            words = [w.lower() for w in _WORD.findall(b.text)]
-            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if b.linked > MANY_LINKS * solid:
-                b.label = _BAD
-            elif b.heading or len(b.text) < SHORT:
-                b.label = _OPEN
-            elif stops >= MANY_STOP_WORDS or stops >= SOME_STOP_WORDS and len(b.text) > LONG:
-                b.label = _GOOD
-            elif stops >= SOME_STOP_WORDS or len(b.text) > LONG:
-                b.label = _OPEN
-            else:
-                b.label = _BAD
+            b.label = _OPEN if b.article else _BAD
 
 
-def _second_pass(found: list[Block]) -> None:
-    decided = [(i, b.label) for i, b in enumerate(found) if b.label != _OPEN]
+def _inherit(found: list[Block], decided: list[tuple[int, int]], places: list[int], other: int) -> None:
+    """Labels for the undecided blocks at ``places`` from those at ``decided``; ``other`` beyond both ends."""
     k = 0
-    for i, b in enumerate(found):
+    for i in places:
+        b = found[i]
         while k < len(decided) and decided[k][0] < i:
             k += 1
         if b.label == _OPEN:
-            before = decided[k - 1] if k else (-1, _BAD)
-            after = decided[k] if k < len(decided) else (len(found), _BAD)
+            before = decided[k - 1] if k else (-1, other)
+            after = decided[k] if k < len(decided) else (len(found), other)
             if b.heading:  # a heading goes with what it stands over
                 b.label = after[1]
             elif i - before[0] == after[0] - i:
@@ -194,6 +205,26 @@ def _second_pass(found: list[Block]) -> None:
                 b.label = (before if i - before[0] < after[0] - i else after)[1]
 
 
+def _second_pass(found: list[Block]) -> None:
+    of: dict[int, list[int]] = {}
+    for i, b in enumerate(found):
+        of.setdefault(b.article, []).append(i)
+    all_decided = [(i, b.label) for i, b in enumerate(found) if b.label != _OPEN]
+    for article, places in of.items():
+        if article:  # a zone inside says nothing about the text around it
+            own = [(i, found[i].label) for i in places if found[i].label != _OPEN and not found[i].zone]
+            if any(label == _GOOD for _, label in own):  # before the first and after the last these go on
+                _inherit(found, [(-1, own[0][1]), *own, (len(found), own[-1][1])], places, _GOOD)
+            else:
+                for i in places:
+                    if found[i].label == _OPEN and not found[i].heading:
+                        found[i].label = _GOOD
+                own = [(i, found[i].label) for i in places if found[i].label != _OPEN and not found[i].zone]
+                _inherit(found, own, places, _GOOD)
+        else:
+            _inherit(found, all_decided, places, _BAD)
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     _first_pass(found)

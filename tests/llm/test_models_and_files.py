@@ -170,6 +170,17 @@ def test_unclosed_advert_keeps_the_article():
     assert hm.main_text('<div class="ad">buy<article><p>a <p>b</article>') == "a\nb"
 
 
+def test_an_article_is_a_prior_and_density_decides():
+    said = "The cat is on the mat and it was very much what we had wanted from the long day of the year, that is."
+    card = '<article><h3><a href="/o">Another page to read</a></h3><p>Read on.</article>'
+    assert hm.main_text(f"<div><h1>A title</h1><p>{said}</p><p>Short one.</p><p>{said}</p></div>{card}") == f"A title\n{said}\nShort one.\n{said}\nAnother page to read\nRead on."
+    assert hm.main_text('<article><h1><a href="/me">A title</a></h1><p>One line.<p>Two lines.<p><a href="/n">Next page</a></article>') == "A title\nOne line.\nTwo lines."
+    links = "<h4>More</h4><ul>" + "".join(f'<li><a href="/{i}">Page number {i}</a>' for i in range(4)) + "</ul>"
+    assert hm.main_text(f"<article><h1>A title</h1><p>{said}<p>Few dull words</p><p>{said}</p>{links}</article>") == f"A title\n{said}\nFew dull words\n{said}"
+    code = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omega psi chi"
+    assert hm.main_text(f"<article><p>{said}</p><pre>{code}</pre></article>") == f"{said}\n{code}"
+
+
 def test_main_text_column(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, None)], "page_id bigint, url string, html string, text string")
     rows = hm.with_main_text(df).orderBy("page_id").collect()
