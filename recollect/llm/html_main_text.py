@@ -34,7 +34,7 @@ _BLOCK = frozenset(
     header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul""".split()
 )
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-_RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video"
+_RAW, _HELD = "script|style", "noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video"
 _VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 _ZONE_TAGS = frozenset("nav aside footer form button menu dialog head fieldset".split())
 _ZONE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
@@ -44,11 +44,14 @@ _ZONE_NAMES = re.compile(
     comments?|commentlist|replies|reply|respond|disqus|reviews?|discussion|share|sharing|social|related|recommend\w*|teasers?|trending|tags|byline|copyright|legal|login|search)(?=$|[\s_-])""",
     re.I | re.X,
 )
+# Names that mark a zone of a page, but also headlines and parts of an article.
+_MILD_NAMES = re.compile(r"(?:^|(?<=[\s_-]))(?:banner|notices?|alert|header|masthead|topbar|reviews?|discussion|tags|legal)(?=$|[\s_-])", re.I)
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z) | <[!?][^>]*(?:>|\Z) | <({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)
+    rf"""<!--.*?(?:-->|\Z) | <[!?][^>]*(?:>|\Z) | <({_RAW})(?![\w:-])[^>]*>.*?(?:</\1\s*>|\Z) | <(?P<held>{_HELD})(?![\w:-])[^>]*>
     | <(/?)([a-z][a-z0-9:-]*)((?:"[^"<]*"|'[^'<]*'|[^'"><]|["'])*)>""",
     re.I | re.S | re.X,
 )
+_HELD_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z) | <({_RAW})(?![\w:-])[^>]*>.*?(?:</\1\s*>|\Z) | <(/?)({_HELD})(?![\w:-])[^>]*>", re.I | re.S | re.X)
 _ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b""", re.I)
 _WORD = re.compile(r"\w+")
 # A block outside any marked zone.
@@ -81,10 +84,24 @@ def _is_zone(tag: str, source: str, in_article: bool) -> bool:
     style = a.get("style", "").replace(" ", "").lower()
     return (
         "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or a.get("role", "").lower() in _ZONE_ROLES
-        or any(_ZONE_NAMES.search(a[k]) for k in ("class", "id") if k in a)
+        or any(_ZONE_NAMES.search(_MILD_NAMES.sub("", a[k]) if in_article or tag in _HEADING else a[k]) for k in ("class", "id") if k in a)
     )
 
 
+def _held(page: str) -> dict[int, int]:
+    """Where elements without text of the page end, by where they begin; those closed in their own tag or never are left out."""
+    ends, begun = {}, {}
+    for m in _HELD_TOKEN.finditer(page):
+        if m[3]:
+            own = begun.setdefault(m[3].lower(), [])
+            if not m[2]:
+                if m[0][-2] != "/" or m[0].count('"') % 2:
+                    own.append(m.start())
+            elif own:
+                ends[own.pop()] = m.end()
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order; blocks without text are left out."""
     stack: list[tuple[str, bool, bool]] = []  # tag, begins a zone, begins an article
@@ -116,17 +133,18 @@ def blocks(page: str) -> list[Block]:
                 articles.pop()
         del stack[to:]
 
-    for m in _TOKEN.finditer(page):
+    ends = _held(page)
+    while m := _TOKEN.search(page, at):
         say(page[at: m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+        at = ends.get(m.start(), m.end()) if m["held"] else m.end()
+        tag = (m[4] or "").lower()
         if not tag:
-            if m[1]:
+            if m[1] or m["held"]:
                 now.parts.append(" ")
             continue
         if tag == "br":
             now.parts.append(" ")
-        if m[2]:
+        if m[3]:
             where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if tag in _BLOCK:
                 close()
@@ -136,7 +154,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in _VOID and tag != "hr":
             continue
-        source = m[4]
+        source = m[5]
         is_article = tag in ("article", "main") or 'role="main"' in source
         zone = _is_zone(tag, source, bool(articles))
         if tag in _BLOCK or zone:

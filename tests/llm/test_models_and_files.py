@@ -181,6 +181,23 @@ def test_an_article_is_a_prior_and_density_decides():
     assert hm.main_text(f"<article><p>{said}</p><pre>{code}</pre></article>") == f"{said}\n{code}"
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "iframe", "object", "select", "canvas", "audio", "video", "title"])
+def test_elements_without_text_end_where_they_end(tag):
+    for gap in (f'<{tag} a="b"/>', f"<{tag}>", f"<{tag}/>", f"<{tag} a='b' />b <{tag}>gone</{tag}>"):
+        assert hm.main_text(f"<article><p>Before {gap} after.</p><p>The end.</p></article>").replace(" b ", " ") == "Before after.\nThe end."
+    for gap in (f"<{tag}>gone</{tag}>", f"<{tag}>gone<{tag}>gone</{tag}>gone</{tag}>", f'<script>"</{tag}>"</script><{tag}>gone<script>"</{tag}>"</script>gone</{tag}>'):
+        assert hm.main_text(f"<article><p>Before {gap} after.</p><p>The end.</p></article>") == "Before after.\nThe end."
+    assert hm.main_text(f"<{tag}>" * 20_000 + "<article><p>Still here.") == "Still here."
+
+
+def test_names_of_headlines_in_an_article():
+    for head in ('<header class="entry-header"><h1>A title</h1></header>', '<h1 class="page-header">A title</h1>', '<div id="post_header"><h1 class="notice">A title</h1></div>'):
+        page = f'<div class="header">Top</div><article>{head}<p class="legal">It was so.</p><div class="site-header comments">Gone</div><div class="header-ad">Gone</div></article>'
+        assert hm.main_text(page) == "A title\nIt was so."
+    said = "The cat is on the mat and it was very much what we had wanted from the long day of the year, that is."
+    assert hm.main_text(f'<h1 class="page-header">A title</h1><p>{said}</p>') == f"A title\n{said}"
+
+
 def test_main_text_column(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, None)], "page_id bigint, url string, html string, text string")
     rows = hm.with_main_text(df).orderBy("page_id").collect()
