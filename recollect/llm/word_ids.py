@@ -76,11 +76,12 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and for each text the number of ids before it (n + 1 values)."""
-        raw, offsets = tx.text_bytes(texts)
-        data = tx.LOWER[raw]
-        held = data.tobytes()
-        if any(s in held for s in self.special):
+        data, offsets = tx.text_bytes(texts)
+        lower = tx.LOWER[data].tobytes()
+        if any(s in lower for s in self.special):
             return self._whole(texts)
+        # Letters stay as they are: the library composes marks before it lower-cases.
+        held = data.tobytes()
         kind = np.concatenate((_KIND[data], [np.uint8(_SPACE)]))
         begins = _BEGINS[kind[:-1] | np.concatenate(([np.uint8(_SPACE)], kind[:-2])) << 2] if len(data) else np.empty(0, bool)
         begins = np.append(begins, False)
