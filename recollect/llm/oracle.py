@@ -54,3 +54,25 @@ g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM f),
 k AS (SELECT u.doc_id, count(g.q) AS gone, string_agg(CASE WHEN g.q IS NULL THEN word END, ' ' ORDER BY u.q) AS kept
   FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d) u LEFT JOIN g ON u.doc_id = g.doc_id AND u.q = g.q GROUP BY u.doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.gone, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id"""
+
+
+# CRC-32 of the id's digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+# A run is an island of equal five-word windows on one lag, under the least lag that gives the same stretch.
+OP13 = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w, {_CRC} AS h FROM documents),
+a AS (SELECT r, doc_id, w, len(w) AS n, coalesce(h % 10 = 0, false) AND len(w) > 0 AS planted, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM d),
+t AS (SELECT r, doc_id, n, CASE WHEN planted THEN list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE w END AS w FROM a),
+g AS (SELECT r, n, i, md5(array_to_string(list_slice(w, i + 1, i + 5), ' ')) AS k FROM (SELECT r, n, w, unnest(range(0, n - 4)) AS i FROM t)),
+p AS (SELECT x.r, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.r = y.r AND x.k = y.k AND y.i > x.i WHERE 4 * (y.i - x.i) <= x.n),
+s AS (SELECT r, q, min(i) AS start, count(*) + 4 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS part FROM p)
+  GROUP BY r, q, part HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+u AS (SELECT r, start, length, min(q) AS period FROM s GROUP BY r, start, length),
+b AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+  first(start ORDER BY length DESC, start, period) AS start, max(length) AS length, first(period ORDER BY length DESC, start, period) AS period FROM u GROUP BY r),
+c AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM u),
+k AS (SELECT o.r, string_agg(CASE WHEN c.i IS NULL THEN word END, ' ' ORDER BY o.i) AS kept
+  FROM (SELECT r, unnest(w) AS word, unnest(range(0, n)) AS i FROM t) o LEFT JOIN c ON o.r = c.r AND o.i = c.i GROUP BY o.r)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN b ON t.r = b.r LEFT JOIN k ON t.r = k.r"""

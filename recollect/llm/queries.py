@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recollect.llm import decontamination as dc
 from recollect.llm import html_main_text, jaccard_join
 from recollect.llm import metric_search as ms
-from recollect.llm import oracle, piece_sampling, quality, substring_dedup, suffix_dedup
+from recollect.llm import oracle, periodic_runs, piece_sampling, quality, substring_dedup, suffix_dedup
 from recollect.llm import token_counts as tc
 from recollect.llm import token_files as tf
 from recollect.session import work_dir
@@ -75,6 +75,24 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.digests(substring_dedup.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def _with_periods(docs):
+    """A tenth of the documents, by the checksum of their id, repeats a period of its own from some word on."""
+    check = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(check / 10), F.size("w")
+    first = g % F.greatest(n, F.lit(1))
+    period = 1 + F.floor((n - first) / (3 + g % 8))
+    periodic = lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    words = F.when(check % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    planned = docs.select("doc_id", "text", words.alias("w")).withColumn("a", first).withColumn("p", period)
+    text = F.when(F.size("w") > 0, F.array_join(F.transform("w", periodic), " ")).otherwise(F.col("text"))
+    return planned.select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    docs = _with_periods(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.digests(periodic_runs.with_runs(docs))
+
+
 QUERIES = {
     "op1_decontamination": (op1_decontamination, oracle.OP1),
     "op2_jaccard_join": (op2_jaccard_join, oracle.OP2),
@@ -86,4 +104,5 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_token_files": (op9_token_files, None),
     "op10_substring_dedup": (op10_substring_dedup, oracle.OP10),
+    "op13_periodic_runs": (op13_periodic_runs, oracle.OP13),
 }
