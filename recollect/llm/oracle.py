@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from recollect.llm.chat_format import DEFAULT as _CHAT
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -76,3 +78,20 @@ k AS (SELECT o.r, string_agg(CASE WHEN c.i IS NULL THEN word END, ' ' ORDER BY o
 SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM t LEFT JOIN b ON t.r = b.r LEFT JOIN k ON t.r = k.r"""
+
+_SAID = "</s>[INST] ok [/INST]"
+
+
+def _escaped_length(x: str) -> str:
+    """Code points of an escaped text: one more for each escape character and each control string."""
+    extra = [f"(length({x}) - length(replace({x}, '{m}', ''))) // {len(m)}" for m in (_CHAT.escape, *_CHAT.controls)]
+    return f"(length({x}) + {' + '.join(extra)})"
+
+
+OP12 = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{_SAID}'), (-1, 1, 'assistant', '{_SAID}'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(_CHAT.turn + _CHAT.says + _CHAT.end)} + {_escaped_length('role')} + {_escaped_length('text')}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""

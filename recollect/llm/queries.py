@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from recollect.llm import chat_format as cf
 from recollect.llm import decontamination as dc
 from recollect.llm import html_main_text, jaccard_join
 from recollect.llm import metric_search as ms
@@ -93,6 +94,16 @@ def op13_periodic_runs(spark, sf_dir):
     return periodic_runs.digests(periodic_runs.with_runs(docs))
 
 
+def op12_chat_format(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    turns = cf.format_turns(rows.unionByName(said), parts=cf.text_parts(F.col("text")))
+    return cf.digests(cf.format_conversations(turns)).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {
     "op1_decontamination": (op1_decontamination, oracle.OP1),
     "op2_jaccard_join": (op2_jaccard_join, oracle.OP2),
@@ -104,5 +115,6 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_token_files": (op9_token_files, None),
     "op10_substring_dedup": (op10_substring_dedup, oracle.OP10),
+    "op12_chat_format": (op12_chat_format, oracle.OP12),
     "op13_periodic_runs": (op13_periodic_runs, oracle.OP13),
 }
