@@ -95,3 +95,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum({len(_CHAT.turn + _CHAT.says + _CHAT.end)} + {_escaped_length('role')} + {_escaped_length('text')}) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""
+
+OP11 = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM
+  (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, k AS size, a FROM f WHERE k > 1),
+h AS (SELECT lang, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase, max(a) AS longer FROM
+  (SELECT lang, w, n, a, unnest(range(1, size - n + 2)) AS i FROM c, (SELECT unnest(range(2, 5)) AS n) WHERE n < size) GROUP BY ALL),
+k AS (SELECT c.* FROM c LEFT JOIN h ON c.lang = h.lang AND c.phrase = h.phrase WHERE longer IS NULL OR 100 * longer < 100 * a),
+s AS (SELECT lang, phrase, a, cut, array_to_string(list_slice(w, 1, cut), ' ') AS x, array_to_string(list_slice(w, cut + 1, size), ' ') AS y FROM
+  (SELECT *, unnest(range(1, size)) AS cut FROM k)),
+v AS (SELECT s.lang, s.phrase, s.a, cut, x.a AS l, y.a AS r, t.n, (1000::HUGEINT * s.a * t.n) // (x.a::HUGEINT * y.a) AS score FROM s
+  JOIN f x ON x.lang = s.lang AND x.phrase = s.x JOIN f y ON y.lang = s.lang AND y.phrase = s.y JOIN t ON t.lang = s.lang),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM b QUALIFY rank <= 2000"""

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from recollect.llm import chat_format as cf
+from recollect.llm import collocations
 from recollect.llm import decontamination as dc
 from recollect.llm import html_main_text, jaccard_join
 from recollect.llm import metric_search as ms
@@ -94,6 +95,10 @@ def op13_periodic_runs(spark, sf_dir):
     return periodic_runs.digests(periodic_runs.with_runs(docs))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_chat_format(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = spark.range(2).select(
@@ -115,6 +120,7 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_token_files": (op9_token_files, None),
     "op10_substring_dedup": (op10_substring_dedup, oracle.OP10),
+    "op11_collocations": (op11_collocations, oracle.OP11),
     "op12_chat_format": (op12_chat_format, oracle.OP12),
     "op13_periodic_runs": (op13_periodic_runs, oracle.OP13),
 }
