@@ -20,6 +20,7 @@ from recollect.functions.vectors import dot, dot_const, embed, sparse
 from recollect.operators.chunks import scope, stored_body
 from recollect.operators.common import top_n
 from recollect.operators.embed import with_vectors
+from recollect.session import work_dir
 from recollect.settings import DEFAULTS, Settings
 
 # The block's wording.
@@ -37,6 +38,12 @@ def _best_first(*scores: str) -> list[Column]:
     return [F.col(s).desc() for s in scores] + [F.col("seq")]
 
 
+def selection_sizes(top_k: int, hybrid: bool) -> tuple[int, int]:
+    """How many of the best by cosine may earn the bonus, and how many of the best without it can still win."""
+    head = max(0, 4 * int(top_k)) if hybrid else 0
+    return head, head + max(1, int(top_k))
+
+
 def semantic_search(
     index: DataFrame,
     query: str,
@@ -47,47 +54,58 @@ def semantic_search(
     hybrid: bool = True,
     settings: Settings = DEFAULTS,
     query_vector: Sequence[float] | None = None,
+    bodies: DataFrame | None = None,
 ) -> DataFrame:
     """The ``top_k`` best chunks of ``index`` (see ``with_vectors``) for a query.
 
     One pass scores every chunk: the query vector is a constant in the plan, so
-    no join is involved. The keyword bonus goes only to the ``4 * top_k`` best by
-    cosine, which makes two top-n selections over the same scores. Each Arrow
-    batch of narrow score rows is first cut to what either selection can still
-    want; the rest passes one exchange that both selections reuse. The second
-    takes enough rows that those of the first cannot crowd out a winner, so the
-    result is exact. An index of another embedder needs its ``query_vector``.
+    no join is involved, and no text is read. The keyword bonus goes only to the
+    ``4 * top_k`` best by cosine, which makes two top-n selections over the same
+    scores. Each Arrow batch of narrow score rows is first cut to what either
+    selection can still want; the rest passes one exchange that both selections
+    reuse. The second takes enough rows that those of the first cannot crowd out a
+    winner, so the result is exact.
+
+    The selected rows, nine times ``top_k`` at most, come to the driver; the texts
+    of the first selection are then read by their ``seq``, from ``bodies`` (the note
+    columns) if the index itself is not a table. An index of another embedder needs
+    its ``query_vector``.
     """
     conf = settings.semantic
     weights = sparse(embed(query, conf.dim) if query_vector is None else np.asarray(query_vector, float))
-    needle = _strip(query).lower()
-    scored = score_chunks(scope(index, tags, project_id, agent_id), weights, needle if hybrid else "")
-    best = max(1, int(top_k))
-    weight = settings.trust.weight
-
-    head_size = 4 * int(top_k) if hybrid else 0
+    best, weight = max(1, int(top_k)), settings.trust.weight
+    head_size, tail_size = selection_sizes(top_k, hybrid)
+    scored = score_chunks(scope(index, tags, project_id, agent_id), weights)
+    scored = scored.withColumn("low", damped(F.col("cosine"), F.col("trust"), weight))
     if head_size <= 0:
         # No chunk can earn the bonus: a single selection.
-        plain = scored.withColumn("keyword_hit", F.lit(False)).withColumn("hybrid", F.col("cosine"))
-        ranked = plain.withColumn("score", damped(F.col("hybrid"), F.col("trust"), weight))
-        return ranked.orderBy(*_best_first("score", "hybrid", "cosine")).limit(best)
+        plain = scored.select("*", F.lit(False).alias("keyword_hit"), F.col("cosine").alias("hybrid")).withColumnRenamed("low", "score")
+        return plain.orderBy(*_best_first("score", "hybrid", "cosine")).limit(best)
 
-    scored = scored.withColumn("low", damped(F.col("cosine"), F.col("trust"), weight))
-    scored = _contenders(scored, head_size, head_size + best).repartition("seq")
+    scored = _contenders(scored, head_size, tail_size).repartition("seq")
     head = scored.orderBy(*_best_first("cosine")).limit(head_size)
-    tail = scored.orderBy(*_best_first("low", "cosine")).limit(head_size + best)
+    tail = scored.orderBy(*_best_first("low", "cosine")).limit(tail_size)
     both = head.withColumn("in_head", F.lit(True)).unionByName(tail.withColumn("in_head", F.lit(False)))
+    rows = both.groupBy(*scored.columns).agg(F.max("in_head").alias("in_head")).drop("low").collect()
+    hits = keyword_hits(index if bodies is None else bodies, [r.seq for r in rows if r.in_head], _strip(query).lower())
+    schema = T.StructType([f for f in scored.schema.fields if f.name != "low"]).add("keyword_hit", T.BooleanType())
+    found = index.sparkSession.createDataFrame([(*r[:-1], r.seq in hits) for r in rows], schema)
     return (
-        both.groupBy(*scored.columns).agg(F.max("in_head").alias("in_head"))
-        .withColumn("keyword_hit", F.col("keyword_hit") & F.col("in_head"))
-        .withColumn("hybrid", with_bonus(conf.keyword_bonus))
+        found.withColumn("hybrid", with_bonus(conf.keyword_bonus))
         .withColumn("score", damped(F.col("hybrid"), F.col("trust"), weight))
-        .drop("in_head", "low")
         .orderBy(*_best_first("score", "hybrid", "cosine"))
         .limit(best)
     )
 
 
+def keyword_hits(notes: DataFrame, places: Sequence[int], needle: str) -> set[int]:
+    """Those of a few places whose text holds the needle."""
+    if not needle or not places:
+        return set()
+    named = notes.where(F.col("seq").isin(list(places)))
+    return {r.seq for r in named.where(F.contains(F.lower(stored_body(named)), F.lit(needle))).select("seq").collect()}
+
+
 def _contenders(scored: DataFrame, n_cosine: int, n_low: int) -> DataFrame:
     """Cuts every Arrow batch to its first rows in either order."""
 
@@ -109,17 +127,12 @@ def _strip(text: str) -> str:
     return text.strip(tx.BLANKS)
 
 
-def score_chunks(index: DataFrame, weights: dict[int, float], needle: str) -> DataFrame:
+def score_chunks(index: DataFrame, weights: dict[int, float]) -> DataFrame:
     """Narrow score rows of the chunks with a positive cosine."""
-    hit = F.contains(F.lower(stored_body(index)), F.lit(needle)) if needle else F.lit(False)
     return (
         index.withColumn("_cos", dot_const(F.col("vec"), weights))
         .where(F.col("_cos") > 0)
-        .select(
-            "seq", "chunk_id", "project_id", "tags", "trust",
-            round4(F.col("_cos")).alias("cosine"),
-            hit.alias("keyword_hit"),
-        )
+        .select("seq", "chunk_id", "project_id", "tags", "trust", round4(F.col("_cos")).alias("cosine"))
     )
 
 
@@ -151,11 +164,15 @@ def context_prompt(
     max_chunks: int | None = None,
     max_chars: int | None = None,
     settings: Settings = DEFAULTS,
+    hits: DataFrame | None = None,
 ) -> DataFrame:
-    """One row ``text, chunks, chars``: a ready block of the best chunks in a character budget."""
+    """One row ``text, chunks, chars``: a ready block of the best chunks in a character budget.
+
+    ``hits`` are the chunks if a search has found them already.
+    """
     n_chunks = settings.semantic.prompt_chunks if max_chunks is None else max_chunks
     limit = settings.semantic.prompt_chars if max_chars is None else int(max_chars)
-    hits = semantic_search(index, query, n_chunks, tags, project_id, agent_id, True, settings)
+    hits = semantic_search(index, query, n_chunks, tags, project_id, agent_id, True, settings) if hits is None else hits
     header = PROMPT_HEADER.format(query=_strip(query))
     header += (PROMPT_PROJECT.format(project=project_id) if project_id else "") + "\n"
     empty = header + PROMPT_EMPTY
@@ -201,102 +218,128 @@ def context_prompt(
 
 # --- many queries at once -------------------------------------------------
 
-# Bounds of one block of queries, whose vectors and texts are broadcast.
-_BATCH_QUERIES = 2000
-_BATCH_CHARS = 16_000_000
+#: Rows of one block of a matrix product, on either side.
+BLOCK_VECTORS = 1024
+#: Bytes of packed queries up to which every task gets all of them.
+_BROADCAST_BYTES = 64 << 20
+
+
+def _packed_queries(queries: DataFrame, query_id: str, query_text: str, dim: int) -> DataFrame:
+    """``block, ids, matrix``: the queries' vectors in numbered blocks, embedded where they are."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = queries.schema[query_id].dataType
+    arrow = pa.list_(to_arrow_type(kind))
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_VECTORS):
+                part = batch.slice(at, BLOCK_VECTORS)
+                matrix = np.stack([embed(text or "", dim) for text in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], arrow), pa.array([matrix.tobytes()], pa.binary())], ["ids", "matrix"])
+
+    schema = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("matrix", T.BinaryType())])
+    packed = queries.select(query_id, query_text).mapInArrow(pack, schema)
+    return packed.select(F.monotonically_increasing_id().alias("query_block"), F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
+
+
+def _packed_index(index: DataFrame) -> DataFrame:
+    """``block`` and its rows' places, ids, trust and matrix."""
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_VECTORS):
+                part = batch.slice(at, BLOCK_VECTORS)
+                matrix = part.column("vec").flatten().to_numpy(zero_copy_only=False).tobytes()
+                columns = [pa.array([part.column(c).to_pylist()]) for c in ("seq", "chunk_id", "trust")]
+                yield pa.RecordBatch.from_arrays([*[c.cast(t) for c, t in zip(columns, kinds)], pa.array([matrix], pa.binary())], ["seqs", "chunk_ids", "trusts", "matrix"])
+
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.float64())]
+    packed = index.select("seq", "chunk_id", "trust", "vec").mapInArrow(pack, "seqs array<bigint>, chunk_ids array<string>, trusts array<double>, matrix binary")
+    return packed.withColumn("block", F.monotonically_increasing_id())
 
 
 def semantic_search_batch(
     index: DataFrame, queries: DataFrame, query_id: str, query_text: str,
-    top_k: int = 5, settings: Settings = DEFAULTS,
+    top_k: int = 5, settings: Settings = DEFAULTS, bodies: DataFrame | None = None,
 ) -> DataFrame:
     """``semantic_search`` for every row of ``queries``: (query_id, rank, chunk_id, score, ...).
 
-    Queries travel to the data in blocks of bounded size; each block is one pass
-    over the index, so any number of queries works. Within a task a batch of
-    chunk vectors meets the block as one matrix product, and only the rows that
-    can still be among a query's head or winners leave the task.
+    Both sides are packed into numbered blocks of vectors where they lie; each
+    pair of blocks is one matrix product, and of each query only the rows that can
+    still be among its head or winners leave the pair. These partial results are
+    merged by query in two steps, as a selection of n rows is cut on the map side first.
+    The query blocks go to every task if they are small, else block meets block in
+    a Cartesian product of the two packed tables. Texts are read for the heads only. Nothing
+    passes through the driver. ``query_id`` tells the queries apart; a NULL or empty text finds nothing.
     """
-    rows = queries.select(query_id, query_text)
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(query_text)), F.lit(0)).alias("chars")).first()
-    n_blocks = max(1, -(-size.n // _BATCH_QUERIES), -(-size.chars // _BATCH_CHARS))
-    if n_blocks == 1:
-        blocks = [rows]
-    else:
-        numbered = rows.withColumn("_b", F.pmod(F.xxhash64(query_id), F.lit(n_blocks)))
-        blocks = [numbered.where(F.col("_b") == b).drop("_b") for b in range(n_blocks)]
-    out = None
-    for block in blocks:
-        part = _search_block(index, block.collect(), queries.schema[query_id], top_k, settings)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _search_block(index: DataFrame, block, id_field: T.StructField, top_k: int, settings: Settings) -> DataFrame:
-    conf = settings.semantic
-    ids = [row[0] for row in block]
-    needles = [_strip(row[1]).lower() for row in block]
-    matrix = np.stack([embed(row[1], conf.dim) for row in block], axis=1) if block else np.zeros((conf.dim, 0))
-    spark = index.sparkSession
-    shared = spark.sparkContext.broadcast((ids, needles, matrix))
-    head_size, best = 4 * top_k, max(1, top_k)
-    default_trust, weight = settings.trust.default, settings.trust.weight
+    conf, best, weight = settings.semantic, max(1, int(top_k)), settings.trust.weight
+    head_size, tail_size = selection_sizes(top_k, True)
+    packed = _kept(_packed_queries(queries, query_id, query_text, conf.dim), "query-blocks")
+    n_queries = packed.agg(F.coalesce(F.sum(F.size("query_ids")), F.lit(0))).first()[0]
+    if n_queries * conf.dim * 8 <= _BROADCAST_BYTES:
+        packed = F.broadcast(packed)
+    kind = queries.schema[query_id].dataType
     schema = T.StructType([
-        T.StructField("query_id", id_field.dataType), T.StructField("seq", T.LongType()),
-        T.StructField("chunk_id", T.StringType()), T.StructField("trust", T.DoubleType()),
-        T.StructField("cosine", T.DoubleType()), T.StructField("keyword_hit", T.BooleanType()),
+        T.StructField("query_id", kind), T.StructField("seq", T.LongType()), T.StructField("chunk_id", T.StringType()),
+        T.StructField("trust", T.DoubleType()), T.StructField("cosine", T.DoubleType()),
     ])
+    default_trust, dim = settings.trust.default, conf.dim
 
-    def candidates(batches):
-        ids, needles, matrix = shared.value
+    def products(batches):
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            seq = batch["seq"].to_numpy(zero_copy_only=False)
-            vecs = batch["vec"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            trust = np.nan_to_num(batch["trust"].to_numpy(zero_copy_only=False).astype(float), nan=default_trust)
-            scores = vecs @ matrix
-            cosine = round4_array(scores)
-            low = round4_array(cosine * ((1.0 - weight) + weight * trust)[:, None])
-            chunk_ids, bodies = batch["chunk_id"].to_pylist(), None
-            cols: dict[str, list] = {f.name: [] for f in schema}
-            for q, (qid, needle) in enumerate(zip(ids, needles)):
-                positive = np.flatnonzero(scores[:, q] > 0)
-                kept = np.union1d(
-                    _leading(positive, head_size, cosine[:, q], seq),
-                    _leading(positive, head_size + best, low[:, q], seq, cosine[:, q]),
+            for i in range(batch.num_rows):
+                get = lambda c: batch.column(c)[i]
+                left, right = (np.frombuffer(get(c).as_buffer(), np.float64).reshape(-1, dim) for c in ("matrix", "query_matrix"))
+                seq = get("seqs").values.to_numpy()
+                trust = np.nan_to_num(get("trusts").values.to_numpy(zero_copy_only=False).astype(float), nan=default_trust)
+                scores = left @ right.T
+                cosine = round4_array(scores)
+                low = round4_array(cosine * ((1.0 - weight) + weight * trust)[:, None])
+                rows, owners = [], []
+                for q in range(right.shape[0]):
+                    positive = np.flatnonzero(scores[:, q] > 0)
+                    rows.append(np.union1d(_leading(positive, head_size, cosine[:, q], seq), _leading(positive, tail_size, low[:, q], seq, cosine[:, q])))
+                    owners.append(np.full(len(rows[-1]), q))
+                row, owner = np.concatenate(rows).astype(np.int64), np.concatenate(owners).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [get("query_ids").values.take(pa.array(owner)), pa.array(seq[row]), get("chunk_ids").values.take(pa.array(row)), pa.array(trust[row]), pa.array(cosine[row, owner])],
+                    schema.names,
                 )
-                if kept.size and needle and bodies is None:
-                    bodies = [body.lower() for body in batch["body"].to_pylist()]
-                cols["query_id"] += [qid] * kept.size
-                cols["seq"] += seq[kept].tolist()
-                cols["chunk_id"] += [chunk_ids[i] for i in kept]
-                cols["trust"] += trust[kept].tolist()
-                cols["cosine"] += cosine[kept, q].tolist()
-                cols["keyword_hit"] += [bool(needle) and needle in bodies[i] for i in kept]
-            yield pa.RecordBatch.from_pydict(cols, schema=pa_schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    pa_schema = to_arrow_schema(schema)
-    scored = index.select("seq", "chunk_id", "trust", stored_body(index).alias("body"), "vec").mapInArrow(candidates, schema)
+
+    scored = _kept(_packed_index(index).crossJoin(packed).mapInArrow(products, schema), "partial-results")
     low = damped(F.col("cosine"), F.col("trust"), weight)
     # Both selections group by query; each is cut to its size on the map side.
-    tail = top_n(scored, ["query_id"], [low.desc(), *_best_first("cosine")], head_size + best, "_r")
-    both = tail.withColumn("in_head", F.lit(False))
+    tail = top_n(scored, ["query_id"], [low.desc(), *_best_first("cosine")], tail_size, "_r").withColumn("keyword_hit", F.lit(False))
+    both = tail
     if head_size > 0:
         head = top_n(scored, ["query_id"], _best_first("cosine"), head_size, "_r")
-        both = both.unionByName(head.withColumn("in_head", F.lit(True)))
+        wanted = head.select("query_id", "seq")
+        texts = index if bodies is None else bodies
+        texts = texts.select("seq", F.lower(stored_body(texts)).alias("_body"))
+        needles = queries.select(F.col(query_id).alias("query_id"), F.lower(tx.strip(F.col(query_text))).alias("_needle")).where("_needle <> ''")
+        if n_queries * head_size <= _BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        met = texts.join(wanted, "seq").join(needles, "query_id").where(F.contains("_body", F.col("_needle")))
+        met = met.select("query_id", "seq", F.lit(True).alias("_met")).distinct()
+        both = both.unionByName(head.join(met, ["query_id", "seq"], "left").withColumn("keyword_hit", F.coalesce("_met", F.lit(False))).drop("_met"))
     final = (
-        both.groupBy(*scored.columns).agg(F.max("in_head").alias("in_head"))
-        .withColumn("keyword_hit", F.col("keyword_hit") & F.col("in_head"))
+        both.groupBy(*scored.columns).agg(F.max("keyword_hit").alias("keyword_hit"))
         .withColumn("hybrid", with_bonus(conf.keyword_bonus))
         .withColumn("score", damped(F.col("hybrid"), F.col("trust"), weight))
-        .drop("in_head")
     )
     return top_n(final, ["query_id"], _best_first("score", "hybrid", "cosine"), best, "rank")
 
 
+_BROADCAST_ROWS = 1 << 20
+
+
+def _kept(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as written to the shared work folder."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _leading(among: np.ndarray, n: int, value: np.ndarray, seq: np.ndarray,
              second: np.ndarray | None = None) -> np.ndarray:
     """The first ``n`` positions by value descending, second descending, seq ascending."""
@@ -313,4 +356,4 @@ def _leading(among: np.ndarray, n: int, value: np.ndarray, seq: np.ndarray,
 def search_inline(chunks: DataFrame, query: str, tags=None, project_id=None, agent_id=None, **options) -> DataFrame:
     """Search without a stored index: filters first, then embedding, then ranking."""
     scoped = scope(chunks, tags, project_id, agent_id)
-    return semantic_search(with_vectors(scoped), query, **options)
+    return semantic_search(with_vectors(scoped), query, bodies=scoped, **options)

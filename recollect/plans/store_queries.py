@@ -10,6 +10,7 @@ from recollect.operators import chunking as cg
 from recollect.operators import chunks as ck
 from recollect.operators import embed as em
 from recollect.operators import search as se
+from recollect.operators.index import VectorIndex
 from recollect.plans import fixtures as fx
 from recollect.plans import oracle as o
 from recollect.session import work_dir
@@ -24,13 +25,16 @@ def _chunks(spark, sf, columns=ck.NOTE_COLUMNS):
     return ck.deduplicate(fx.notes(spark, sf), columns)
 
 
-def _index(spark, sf):
-    return em.with_vectors(_chunks(spark, sf))
+_KEPT: dict[tuple[str, str], VectorIndex] = {}
 
 
-def _stored_index(spark, sf):
-    """The index as a table in the shared folder, for operators that read it more than once."""
-    return em.write_index(_index(spark, sf), work_dir(spark, "index"))
+def _kept_index(spark, sf) -> VectorIndex:
+    """The index of this application's notes: made once, then brought up to date by each query."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _KEPT:
+        _KEPT[key] = VectorIndex(spark, work_dir(spark, "index"))
+    _KEPT[key].sync(fx.notes(spark, sf))
+    return _KEPT[key]
 
 
 def chunk_dedup(spark, sf):
@@ -108,6 +112,50 @@ SELECT count(*) FILTER (coalesce(usable, false) AND here OR here AND NOT coalesc
   coalesce(bool_or(known AND NOT usable), false) AS rebuilt FROM j"""
 
 
+def _synced_index(spark, sf):
+    """Three syncs: labelled documents by an older embedder; those of good quality by today's; then all but the toxic ones."""
+    notes, labels = fx.notes(spark, sf), fx.table(spark, sf, "labels")
+    path = work_dir(spark, "index")
+    flagged = notes.join(labels.select(F.col("doc_id").alias("seq"), "quality", "toxic"), "seq", "left")
+    states = ("quality is not null", "quality = 1", "coalesce(toxic, 0) = 0")
+    log = []
+    for name, state in zip(("older", EMBEDDER, EMBEDDER), states):
+        index = VectorIndex(spark, path, name=name)
+        log.append(index.sync(flagged.where(state)))
+    return index, log
+
+
+def index_sync(spark, sf):
+    """The index after added, removed and re-embedded notes."""
+    rows = _synced_index(spark, sf)[0].rows()
+    slots = F.filter(F.transform("vec", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+    return rows.select(
+        "chunk_id", "seq", "embedder", "project_id", F.size(slots).cast("bigint").alias("slots"),
+        F.aggregate(slots, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("slot_sum"))
+
+
+_SYNC_STATES = ("quality IS NOT NULL", "quality = 1", "coalesce(toxic, 0) = 0")
+_FLAGGED = f"{o.NOTES}, flagged AS (SELECT n.*, quality, toxic FROM notes n LEFT JOIN labels l ON l.doc_id = n.seq)"
+INDEX_SYNC = f"""WITH {_FLAGGED}, kept AS (SELECT * FROM flagged WHERE {_SYNC_STATES[2]} QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY seq) = 1),
+{o.weights('kept', 'chunk_id', 'content', 'w')}
+SELECT chunk_id, seq, '{EMBEDDER}' AS embedder, project_id, count(*) AS slots, sum(idx)::BIGINT AS slot_sum FROM kept JOIN w USING (chunk_id) WHERE w <> 0 GROUP BY ALL"""
+
+
+def index_sync_log(spark, sf):
+    """What each of the three syncs did."""
+    log = _synced_index(spark, sf)[1]
+    rows = [(i, s.total, s.added, s.removed, s.rebuilt) for i, s in enumerate(log)]
+    return spark.createDataFrame(rows, "sync bigint, total bigint, added bigint, removed bigint, rebuilt boolean")
+
+
+_STATE = ", ".join(f"""s{i} AS (SELECT chunk_id, min(seq) AS seq FROM flagged WHERE {state} AND regexp_matches(lower(content), '[а-яёa-z0-9]') GROUP BY 1)""" for i, state in enumerate(_SYNC_STATES))
+_SIZE = "(SELECT count(*) FROM s{})"
+INDEX_SYNC_LOG = f"""WITH {_FLAGGED}, {_STATE}
+SELECT 0 AS sync, {_SIZE.format(0)} AS total, {_SIZE.format(0)} AS added, 0 AS removed, false AS rebuilt
+UNION ALL SELECT 1, {_SIZE.format(1)}, {_SIZE.format(1)}, 0, true
+UNION ALL SELECT 2, {_SIZE.format(2)}, (SELECT count(*) FROM s2 ANTI JOIN s1 USING (chunk_id, seq)), (SELECT count(*) FROM s1 ANTI JOIN s2 USING (chunk_id, seq)), false"""
+
+
 def index_version(spark, sf):
     return em.index_version(_chunks(spark, sf, []))
 
@@ -124,16 +172,17 @@ _HITS = "SELECT seq, chunk_id, project_id, cosine, keyword_hit, score FROM hits"
 
 
 def semantic_search(spark, sf):
-    return _hits(se.semantic_search(_index(spark, sf), QUERY, TOP))
+    return _hits(_kept_index(spark, sf).search(QUERY, TOP))
 
 
 def semantic_search_vector(spark, sf):
-    return _hits(se.semantic_search(_index(spark, sf), QUERY, TOP, hybrid=False))
+    return _hits(_kept_index(spark, sf).search(QUERY, TOP, hybrid=False))
 
 
 def semantic_search_hybrid(spark, sf):
     """Bonus without damping."""
-    return _hits(se.semantic_search(_index(spark, sf), QUERY, TOP, settings=DEFAULTS.overlay({"trust": {"weight": 0.0}})))
+    index = _kept_index(spark, sf)
+    return _hits(VectorIndex(spark, index.path, DEFAULTS.overlay({"trust": {"weight": 0.0}})).search(QUERY, TOP))
 
 
 def semantic_search_scoped(spark, sf):
@@ -146,7 +195,7 @@ SCOPED = o.ranking(QUERY, 3, where="list_contains(tags, '#lang_en') AND project_
 
 def related_chunks(spark, sf):
     """Neighbours of the first stored note."""
-    index = _stored_index(spark, sf)
+    index = _kept_index(spark, sf).rows()
     first = fx.notes(spark, sf).agg(F.min_by("chunk_id", "seq")).first()[0]
     return se.related(index, first, TOP).select("seq", "chunk_id", "score")
 
@@ -168,7 +217,7 @@ RELATED_EMB = f"""SELECT e.vec_id, e.label, {o.round4('c')} AS score FROM (
 
 
 def context_prompt(spark, sf):
-    block = se.context_prompt(_stored_index(spark, sf), QUERY)
+    block = _kept_index(spark, sf).context_prompt(QUERY)
     return block.select("text", F.array_join("chunks", ",").alias("chunks"), F.col("chars").cast("bigint").alias("chars"))
 
 
@@ -182,7 +231,7 @@ SELECT {o.cut('text', 1800, 1800)} AS text, chunks, length({o.cut('text', 1800,
 
 
 def semantic_search_batch(spark, sf):
-    hits = se.semantic_search_batch(_stored_index(spark, sf), fx.table(spark, sf, "benchmark"), "item_id", "text", 5)
+    hits = se.semantic_search_batch(_kept_index(spark, sf).rows(), fx.table(spark, sf, "benchmark"), "item_id", "text", 5)
     return hits.select(F.col("query_id").alias("item_id"), F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score")
 
 
@@ -331,6 +380,8 @@ QUERIES = {
     "keyword_search_header": (keyword_search_header, _FILTER + f"contains(lower({o.rendered()}), 'notes/1') AND (agent_id = 'agent_3' OR project_id IS NOT NULL) ORDER BY seq"),
     "keyword_search_empty": (keyword_search_empty, _FILTER + "list_contains(tags, '#lang_fr') ORDER BY seq"),
     "index_sync_stats": (index_sync_stats, SYNC),
+    "index_sync": (index_sync, INDEX_SYNC),
+    "index_sync_log": (index_sync_log, INDEX_SYNC_LOG),
     "index_version": (index_version, VERSION),
     "semantic_search": (semantic_search, f"WITH {o.ranking(QUERY, TOP)} {_HITS}"),
     "semantic_search_vector": (semantic_search_vector, f"WITH {o.ranking(QUERY, TOP, hybrid=False)} {_HITS}"),
