@@ -1,14 +1,14 @@
 """Phrases of words that occur together more than by chance (operator 11).
 
 1. Words are counted exactly; a phrase is frequent only if all its words are.
-2. Each task keeps a Misra-Gries summary of the n-grams whose words are frequent:
-   counters for ``capacity`` of them; beyond that the least counts are taken off all. A
+2. Each task keeps a Misra-Gries summary of the pairs of frequent words, and in a second
+   scan of the longer n-grams all of whose pairs have survived: counters for ``capacity`` of them; beyond that the least counts are taken off all. A
    summary is cut into hash partitions, and those of one partition are merged in
    the same way. What has been taken off is carried along. Its sum stays below the
    threshold, as capacities exceed the mass divided by it, and no cut is made that would
    reach it. So every frequent n-gram has a counter left, and its count and
    what was taken off together reach the threshold.
-3. A second pass over the texts counts the survivors exactly, by their words.
+3. Another pass over the texts counts the survivors exactly, by their words.
 
 Names of n-grams are hashes in the second step only, where a collision adds counts
 and loses nothing; all results are by the words themselves.
@@ -17,9 +17,12 @@ and loses nothing; all results are by the words themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ LONGEST, THRESHOLD, BEST = 5, 100, 2000
 #: A language that is not given.
 UNKNOWN = "und"
 #: N-grams that a task gathers before it sorts them, and counters of one summary before it is handed on.
-GATHERED, COUNTERS = 1 << 21, 1 << 21
+GATHERED, COUNTERS = 1 << 20, 1 << 20
 #: Entries of a tally of strings in one task.
 TALLIED = 1 << 19
 #: A partition's capacity, whatever its mass.
@@ -113,6 +116,49 @@ class _Tally:
         self.parts, self.size = [], 0
 
 
+def _dealt(tallies: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Tallies as one row per language and hash partition of the phrases."""
+    for batch in tallies:
+        data, offsets = tx.text_bytes(batch.column("phrase"))
+        part = tx.span_hashes(data, offsets[:-1], offsets[1:]) % _U(parts)
+        table = pa.Table.from_batches([batch]).append_column("part", pa.array(part.astype(np.int32)))
+        rows = table.group_by(["lang", "part"]).aggregate([("phrase", "list"), ("n", "list")])
+        yield from rows.select(["lang", "part", "phrase_list", "n_list"]).rename_columns(["lang", "part", "phrases", "ns"]).to_batches()
+
+
+def _summed(threshold: int):
+    """Over rows sorted by language and part: the phrases with ``threshold`` occurrences in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, size = [], None, 0
+
+        def merged_() -> pa.Table:
+            return pa.concat_tables(held).group_by(["phrase"]).aggregate([("n", "sum")]).select(["phrase", "n_sum"]).rename_columns(["phrase", "n"])
+
+        def left(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            table = table.filter(pc.greater_equal(table["n"], threshold))
+            for batch in table.to_batches():
+                langs = pa.array([key[0]] * batch.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays([langs, batch.column("phrase"), batch.column("n")], ["lang", "phrase", "n"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = (batch.column("lang")[i].as_py(), batch.column("part")[i].as_py())
+                if found != key and held:
+                    yield from left(merged_())
+                    held, size = [], 0
+                key = found
+                held.append(pa.table([batch.column("phrases")[i].values, batch.column("ns")[i].values], ["phrase", "n"]))
+                size += held[-1].num_rows
+                if size > 2 * TALLIED:
+                    held = [merged_()]
+                    size = 0
+        if held:
+            yield from left(merged_())
+
+    return run
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tally = _Tally()
     for s in _slices(batches):
@@ -168,7 +214,34 @@ def _named(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> _U(64 - bits) << _U(_NAME_BITS)) | (keys & _U((1 << _NAME_BITS) - 1))
 
 
-def _summaries(rows: DataFrame, frequent, longest: int, bits: int, capacity: int, most: int) -> DataFrame:
+@dataclass(frozen=True)
+class _Survivors:
+    """Which n-grams of some lengths may be frequent: a filter of names of so many partition bits."""
+
+    filter: Broadcast
+    bits: int
+
+    def holds(self, grams: np.ndarray) -> np.ndarray:
+        return held_in(self.filter.value, tx.mix(_named(grams, self.bits)))
+
+
+def _gathered(s: _Slice, frequent: Broadcast, pairs: _Survivors | None, longest: int) -> Iterator[np.ndarray]:
+    """Names of the pairs of frequent words, or of the longer n-grams whose pairs have all survived."""
+    if pairs is None:
+        rare = ~held_in(frequent.value, s.windows(1)[1])
+        at, grams = s.windows(2)
+        yield grams[~(rare[at] | rare[at + 1])]
+        return
+    at, grams = s.windows(2)
+    lost = np.ones(len(s.starts) + 1, np.int64)
+    lost[at] = ~pairs.holds(grams)
+    lost = np.concatenate(([0], np.cumsum(lost)))
+    for n in range(3, longest + 1):
+        at, grams = s.windows(n)
+        yield grams[lost[at + n - 1] == lost[at]]
+
+
+def _summaries(rows: DataFrame, frequent: Broadcast, pairs: _Survivors | None, longest: int, bits: int, capacity: int, most: int) -> DataFrame:
     """``part, names, counts, off``: the tasks' summaries by partition."""
 
     def packed(keys, counts, off):
@@ -194,12 +267,8 @@ def _summaries(rows: DataFrame, frequent, longest: int, bits: int, capacity: int
             off, gathered, size = off + less, [], 0
 
         for s in _slices(batches):
-            _, names = s.windows(1)
-            rare = np.concatenate(([0], np.cumsum(~held_in(frequent.value, names))))
-            for n in range(2, longest + 1):
-                at, grams = s.windows(n)
-                grams = _named(grams[rare[at + n] == rare[at]], bits)
-                gathered.append(grams)
+            for grams in _gathered(s, frequent, pairs, longest):
+                gathered.append(_named(grams, bits))
                 size += len(grams)
             if size > GATHERED:
                 take_in()
@@ -215,7 +284,7 @@ def _summaries(rows: DataFrame, frequent, longest: int, bits: int, capacity: int
 
 
 def _survivors(summaries: DataFrame, threshold: int, capacity: int) -> DataFrame:
-    """``name``: every n-gram that may reach the threshold, and some others."""
+    """``name, most``: every n-gram that may reach the threshold, and some others; no one has more than ``most`` occurrences."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, keys, counts, size, off, own = None, [], [], 0, 0, 0
@@ -229,8 +298,9 @@ def _survivors(summaries: DataFrame, threshold: int, capacity: int) -> DataFrame
 
         def left() -> pa.RecordBatch:
             reduce()
-            names = keys[0][counts[0] + off >= threshold] | _U(part << _NAME_BITS)
-            return pa.RecordBatch.from_arrays([pa.array(tx.mix(names).view(np.int64))], ["name"])
+            stay = counts[0] + off >= threshold
+            names = tx.mix(keys[0][stay] | _U(part << _NAME_BITS))
+            return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts[0][stay] + off)], ["name", "most"])
 
         limit = 0
         for batch in batches:
@@ -250,13 +320,26 @@ def _survivors(summaries: DataFrame, threshold: int, capacity: int) -> DataFrame
         if part is not None:
             yield left()
 
-    return summaries.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "name bigint")
+    return summaries.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "name bigint, most bigint")
+
+
+def _surviving(rows: DataFrame, frequent: Broadcast, pairs: _Survivors | None, longest: int, mass: int, threshold: int) -> tuple[_Survivors, int]:
+    """The survivors of one scan over n-grams of ``mass`` occurrences at most, and how many occurrences they have at most."""
+    bits = min(15, max(6, int(mass >> 22).bit_length()))
+    # Half of the threshold may go within the tasks, and as much by the merges.
+    summaries = _summaries(rows, frequent, pairs, longest, bits, 2 * mass // threshold + 1, (threshold - 1) // 2)
+    names = work_table(_survivors(summaries, threshold, max(LEAST_CAPACITY, 4 * mass // (threshold << bits) + 1)), "survivors")
+    most = names.agg(F.sum("most")).first()[0] or 0
+    return _Survivors(rows.sparkSession.sparkContext.broadcast(bloom(names.select("name"))), bits), most
 
 
-def _counted(rows: DataFrame, surviving, longest: int, bits: int) -> DataFrame:
-    """``lang, phrase, n``: occurrences of the survivors, by task."""
+def _counted(rows: DataFrame, pairs: _Survivors, longer: _Survivors | None, longest: int, parts: int) -> DataFrame:
+    """``lang, part, phrases, ns``: occurrences of the survivors, by task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _dealt(_tallies(batches), parts)
+
+    def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
         for s in _slices(batches):
             if not len(s.starts):
@@ -265,8 +348,7 @@ def _counted(rows: DataFrame, surviving, longest: int, bits: int) -> DataFrame:
             places, phrases, numbers = [], [], []
             for n in range(2, longest + 1):
                 at, grams = s.windows(n)
-                named = tx.mix(_named(grams, bits))
-                keep = held_in(surviving.value, named)
+                keep = (pairs if n == 2 else longer).holds(grams)
                 at, grams = at[keep], grams[keep]
                 _, first, inverse = np.unique(grams, return_index=True, return_inverse=True)
                 lead = at[first][inverse]
@@ -284,7 +366,7 @@ def _counted(rows: DataFrame, surviving, longest: int, bits: int) -> DataFrame:
             yield from tally.add(langs, pa.array(phrases, pa.string()), np.concatenate(numbers))
         yield from tally.all()
 
-    return rows.mapInArrow(count, _TALLY)
+    return rows.mapInArrow(count, "lang string, part int, phrases array<string>, ns array<bigint>")
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -297,17 +379,14 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", lo
     words = work_table(word_counts(docs, text, lang, threshold), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     single = words.where("phrase is not null")
-    # At most so many n-grams consist of frequent words.
-    mass = (longest - 1) * (single.agg(F.sum("n")).first()[0] or 0)
-    bits = min(15, max(6, int(mass >> 22).bit_length()))
     names = single.select("phrase", F.xxhash64("lang").alias("lang_key")).mapInArrow(_word_names, "name bigint")
     frequent = spark.sparkContext.broadcast(bloom(names))
-    # Half of the threshold may go within the tasks, and a quarter by the merges of an even partition.
-    capacity = 2 * mass // threshold + 1
-    summaries = _summaries(rows, frequent, longest, bits, capacity, (threshold - 1) // 2)
-    names = work_table(_survivors(summaries, threshold, max(LEAST_CAPACITY, 4 * mass // (threshold << bits) + 1)), "survivors")
-    surviving = spark.sparkContext.broadcast(bloom(names))
-    counted = _counted(rows, surviving, longest, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold)
+    # No more pairs or longer n-grams than first words.
+    mass = single.agg(F.sum("n")).first()[0] or 0
+    pairs, mass = _surviving(rows, frequent, None, longest, mass, threshold)
+    longer, more = (None, 0) if longest < 3 else _surviving(rows, frequent, pairs, longest, (longest - 2) * mass, threshold)
+    parts = max(64, (mass + more) // (threshold * TALLIED))
+    counted = _counted(rows, pairs, longer, longest, parts).repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(_summed(threshold), _TALLY)
     phrases = work_table(single.select("lang", "phrase", "n").unionByName(counted), "phrases")
     return phrases, totals
 

@@ -170,6 +170,7 @@ def test_best_of_each_language_and_empty_table(spark):
     rows = speech()
     df = spark.createDataFrame(rows, "text string, lang string")
     assert sorted(tuple(r) for r in co.collocations(df, threshold=5, best=3).collect()) == plain_collocations(rows, 5, best=3)
+    assert sorted(tuple(r) for r in co.collocations(df, longest=2, threshold=5).collect()) == plain_collocations(rows, 5, longest=2)
     assert co.collocations(df.where("false")).count() == 0
 
 
@@ -212,13 +213,15 @@ def test_equal_hashes_of_other_phrases_are_told_apart(spark, monkeypatch):
         value = held
 
     made = []
+
     class Rows:
         def mapInArrow(self, function, schema):
             made.extend(function(iter([data])))
 
-    co._counted(Rows(), Sent, 5, 6)
+    alike = co._Survivors(Sent, 6)
+    co._counted(Rows(), alike, alike, 5, 3)
     got = collections.Counter()
-    for batch in made:
+    for batch in co._summed(1)(iter(made)):
         for lang, phrase, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrase", "n"))):
             got[phrase] += n
     words = rows[0][0].split()
