@@ -115,7 +115,8 @@ def test_batch_equals_single(spark, index):
 
 
 def test_batch_splits_queries_into_blocks(spark, index, monkeypatch):
-    monkeypatch.setattr(se, "_BATCH_QUERIES", 2)
+    monkeypatch.setattr(se, "BLOCK_VECTORS", 2)
+    monkeypatch.setattr(se, "_BROADCAST_BYTES", 0)
     queries = spark.createDataFrame([(i, "vacuum tuning") for i in range(5)], "q bigint, text string")
     rows = se.semantic_search_batch(index, queries, "q", "text", 1).collect()
     assert sorted(r.query_id for r in rows) == list(range(5))
