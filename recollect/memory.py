@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from recollect.functions.items import session_items
 from recollect.operators import chunks as ck
 from recollect.operators import digest as dg
-from recollect.operators import embed as em
 from recollect.operators import search as se
 from recollect.operators import sessions as ss
 from recollect.operators import tasks as tk
+from recollect.operators.index import VectorIndex
+from recollect.operators.keyword_index import KeywordIndex
 from recollect.settings import DEFAULTS, Settings
 from recollect.streaming import ingest as ig
 
@@ -36,7 +37,6 @@ SCHEMAS = {
     "decisions": "project_id string, seq bigint, decision string, by_agents array<string>, reason string, recorded_at string",
     "task_events": "task_id string, agent_id string, project_id string, seq bigint, at string, action string, description string",
 }
-INDEX_SCHEMA = ig.STORE_SCHEMA + ", embedder string, dim int, vec array<double>"
 STATUS = ("archived", "summarized", "collapsed")
 BY = ["agent_id", "session_ts"]
 
@@ -87,37 +87,33 @@ class Memory:
                                archive_dir, poll_seconds, self.settings)
 
     def keyword_search(self, query: str, **scope: Any) -> DataFrame:
-        return ck.keyword_search(self.table("notes"), query, **scope).orderBy("seq")
+        """Notes that hold a text, by the keyword index, brought up to date first."""
+        index = KeywordIndex(self.spark, self.path("index/keywords"), self.settings)
+        index.sync(self.table("notes"))
+        return index.search(query, **scope).orderBy("seq")
 
-    def index(self) -> DataFrame:
+    def index(self) -> VectorIndex:
         """The vector index, brought up to date first.
 
         Store and index are compared by id and place only: notes that the index
         lacks are embedded, and rows whose note is gone or was written anew
-        elsewhere are left out. Each embedder and dimension has an index of its
-        own, so changing either starts a new one.
+        elsewhere are left out. Another embedder or dimension starts it anew.
         """
-        dim = self.settings.semantic.dim
-        path = self.path(f"index/{em.EMBEDDER}-{dim}")
-        ig.create_table(self.spark, path, INDEX_SCHEMA)
-        notes, known = self.table("notes"), ig.read_table(self.spark, path, INDEX_SCHEMA)
-        at = ["chunk_id", "seq"]
-        fresh = notes.join(known.select(*at), at, "left_anti")
-        fresh = fresh.where(em.has_feature(fresh))
-        if not fresh.isEmpty():
-            em.with_vectors(fresh, dim).write.mode("append").partitionBy(*ig.PARTITIONS).parquet(path)
-            known = ig.read_table(self.spark, path, INDEX_SCHEMA)
-        gone = known.select(*at).join(notes.select(*at), at, "left_anti")
-        return known if gone.isEmpty() else known.join(gone, at, "left_anti")
+        index = VectorIndex(self.spark, self.path("index/vectors"), self.settings)
+        index.sync(self.table("notes"))
+        return index
 
     def semantic_search(self, query: str, top_k: int = 5, hybrid: bool = True, **scope: Any) -> DataFrame:
-        return se.semantic_search(self.index(), query, top_k, hybrid=hybrid, settings=self.settings, **scope)
+        return self.index().search(query, top_k, hybrid=hybrid, **scope)
+
+    def semantic_search_batch(self, queries: DataFrame, query_id: str, query_text: str, top_k: int = 5) -> DataFrame:
+        return se.semantic_search_batch(self.index().rows(), queries, query_id, query_text, top_k, self.settings)
 
     def related(self, chunk_id: str, top_k: int = 5) -> DataFrame:
-        return se.related(self.index(), chunk_id, top_k)
+        return se.related(self.index().rows(), chunk_id, top_k)
 
     def context_prompt(self, query: str, **options: Any) -> DataFrame:
-        return se.context_prompt(self.index(), query, settings=self.settings, **options)
+        return self.index().context_prompt(query, **options)
 
     # --- sessions ---------------------------------------------------------
 

@@ -76,27 +76,6 @@ def has_feature(chunks: DataFrame) -> Column:
     return F.lower(stored_body(chunks)).rlike(tx.TOKEN)
 
 
-def write_index(index: DataFrame, path: str) -> DataFrame:
-    """Keep an index as a table. Searches read from it only the columns they use."""
-    index.write.mode("overwrite").parquet(path)
-    return index.sparkSession.read.schema(index.schema).parquet(path)
-
-
-def index_changes(index: DataFrame, chunks: DataFrame, dim: int = DEFAULTS.semantic.dim) -> dict[str, DataFrame]:
-    """What brings an index in step with the store.
-
-    Rows of another embedder or dimension do not count as indexed, which makes
-    the change a rebuild. Only ids are compared; vectors stay where they are.
-    """
-    usable = index.where((F.col("embedder") == EMBEDDER) & (F.col("dim") == dim))
-    ids = chunks.select("chunk_id")
-    return {
-        "keep": usable.join(ids, "chunk_id", "left_semi"),
-        "remove": usable.join(ids, "chunk_id", "left_anti"),
-        "add": with_vectors(chunks.join(usable.select("chunk_id"), "chunk_id", "left_anti"), dim),
-    }
-
-
 def sync_stats(index: DataFrame, chunks: DataFrame, dim: int = DEFAULTS.semantic.dim) -> DataFrame:
     """One row ``total, added, removed, rebuilt`` for the pending sync."""
     usable = (F.col("embedder") == EMBEDDER) & (F.col("dim") == dim)

@@ -1,74 +1,27 @@
-"""The vector index as a maintained table: base and delta files, tombstones, block bounds.
-
-Below one folder:
-
-``rows-N``    notes with their vectors that version N added, sorted by ``seq`` in ranges; every
-              ``BLOCK_ROWS`` consecutive rows are a block
-``bounds-N``  for each slot and block the largest and the least weight, sorted by slot; slot -1
-              has the block's largest trust
-``gone-N``    tombstones: ids and places that version N took out
-``manifest``  one row per live folder and version; the newest version is the index
-
-A version is there once its manifest is, so a sync that fails leaves the last one as it
-was and only files that nothing names. One writer at a time is assumed.
-"""
+"""The vector index of the notes: their vectors, and bounds of each block's weights."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions.vectors import EMBEDDER, embed, sparse
 from recollect.operators import embed as em
 from recollect.operators import search as se
-from recollect.operators.chunks import NOTE_COLUMNS, scope
-from recollect.session import ship
+from recollect.operators.chunks import scope
+from recollect.operators.note_index import NOTE, NoteIndex
 from recollect.settings import DEFAULTS, Settings
 
-BLOCK_BITS = 8
-BLOCK_ROWS = 1 << BLOCK_BITS
-#: A block's number begins with its version.
-VERSION_BITS = 44
-#: Rows up to which the small side of a join is broadcast.
-BROADCAST_ROWS = 1 << 20
-#: Deltas, and the share of rows in deltas or under tombstones, from which a sync rewrites the base.
-MOST_DELTAS, DELTA_SHARE = 8, 0.25
 #: Blocks of the first wave of a search, and blocks that a scan is told by name.
 FIRST_BLOCKS, NAMED_BLOCKS = 8, 2048
-_NOTE = (
-    "chunk_id string, seq bigint, content string, tags array<string>, project_id string, agent_id string, source string, trust double, created_at string"
-)
-ROWS = _NOTE + ", embedder string, dim int, vec array<double>, block bigint"
 BOUNDS = "slot int, block bigint, hi double, lo double"
-#: ``before``: tombstones take out rows of earlier blocks only, so a note may come back.
-GONE = "chunk_id string, seq bigint, before bigint"
-MANIFEST = "version bigint, kind string, folder string, rows bigint, embedder string, dim int"
-KEY = ["chunk_id", "seq"]
 TRUST_SLOT = -1
 
 
-@dataclass(frozen=True)
-class Synced:
-    """What a sync did; ``total`` counts the rows of the index after it."""
-
-    total: int
-    added: int
-    removed: int
-    rebuilt: bool
-    compacted: bool
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, whose number of rows is known, marked for a broadcast if it is small."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The largest and least weight by slot of each run of rows of one block."""
     for batch in batches:
@@ -93,129 +46,35 @@ def block_bounds(rows: DataFrame) -> DataFrame:
     return weights.agg(F.greatest(F.max("hi"), F.lit(0.0)).alias("hi"), F.least(F.min("lo"), F.lit(0.0)).alias("lo")).unionByName(own)
 
 
-class VectorIndex:
-    """An index of the notes below ``path``; another embedder brings its ``name``, ``dim`` and ``vectorize``."""
+class VectorIndex(NoteIndex):
+    """An index of the notes below ``path``; another embedder brings its ``name``, ``dim`` and ``vectorize``.
+
+    Notes without a feature have no row. Beside the rows, ``bounds-N`` holds for each slot and block
+    the largest and the least weight, sorted by slot; slot -1 has the block's largest trust.
+    """
+
+    schema = NOTE + ", embedder string, dim int, vec array<double>, block bigint"
 
     def __init__(
         self, spark: SparkSession, path: str, settings: Settings = DEFAULTS, name: str = EMBEDDER, vectorize: Callable[[Column], Column] | None = None,
     ):
-        self.spark, self.path, self.settings, self.name, self.vectorize = ship(spark), path.rstrip("/"), settings, name, vectorize
-        self.dim = settings.semantic.dim
-        self._load()
-
-    # --- versions -----------------------------------------------------------
-
-    def _load(self) -> None:
-        try:
-            table = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
-            newest = table.agg(F.max("version")).first()[0]
-        except AnalysisException:
-            newest = None
-        # A few rows: compaction bounds the folders of a version.
-        self.live = [] if newest is None else table.where(F.col("version") == newest).collect()
-        self.version = -1 if newest is None else newest
-
-    def _commit(self, version: int, live: list[tuple[str, str, int]]) -> None:
-        rows = [(version, kind, folder, n, self.name, self.dim) for kind, folder, n in live] or [(version, "rows", "", 0, self.name, self.dim)]
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-        self._load()
-
-    def _folders(self, kind: str) -> list:
-        return [r for r in self.live if r.kind == kind and r.folder]
+        self.name, self.vectorize, self.dim = name, vectorize, settings.semantic.dim
+        self.label = f"{name}/{self.dim}"
+        super().__init__(spark, path, settings)
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        folders = [f"{self.path}/{r.folder}" for r in self._folders(kind)]
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*folders)
+    def indexable(self, notes: DataFrame) -> DataFrame:
+        return notes.where(em.has_feature(notes))
 
-    def count(self, kind: str) -> int:
-        return sum(r.rows for r in self._folders(kind))
+    def derived(self, notes: DataFrame) -> DataFrame:
+        return em.with_vectors(notes, self.dim, self.vectorize, self.name)
 
-    def usable(self) -> bool:
-        """Whether the version's rows are of this embedder and dimension."""
-        return all(r.embedder == self.name and r.dim == self.dim for r in self.live)
-
-    # --- reading ------------------------------------------------------------
-
-    def _standing(self, rows: DataFrame) -> DataFrame:
-        gone = self.count("gone")
-        if not gone:
-            return rows
-        taken = small(self._read("gone", GONE), gone)
-        return rows.join(taken, [*[rows[k] == taken[k] for k in KEY], rows["block"] < taken["before"]], "left_anti")
-
-    def rows(self) -> DataFrame:
-        """All notes of the index with their vectors."""
-        return self._standing(self._read("rows", ROWS))
+    def beside(self, version: int, rows: DataFrame) -> list[tuple[str, str, int]]:
+        bounds = self._write("bounds", version, block_bounds(rows).repartitionByRange("slot", "block").sortWithinPartitions("slot", "block"))
+        return [("bounds", f"bounds-{version}", bounds.count())]
 
     def bounds(self) -> DataFrame:
         return self._read("bounds", BOUNDS)
 
-    # --- maintenance --------------------------------------------------------
-
-    def sync(self, notes: DataFrame) -> Synced:
-        """Bring the index in step with the notes (``chunk_id, seq`` and the note columns; copies may be there).
-
-        Only ids and places are compared. Of a content's copies the first counts; a
-        note at another place is taken out and added. Notes without a feature have no vector.
-        Another embedder or dimension drops all rows and starts anew.
-        """
-        rebuilt = bool(self._folders("rows")) and not self.usable()
-        version = self.version + 1
-        wanted = notes.groupBy("chunk_id").agg(F.min("seq").alias("seq"))
-        held = self._read("rows", ROWS).select(*KEY, "block")
-        held = held.where("false") if rebuilt else self._standing(held)
-        both = wanted.withColumn("wanted", F.lit(True)).join(held.select(*KEY).withColumn("held", F.lit(True)), KEY, "full_outer")
-        changes = self._write("changes", version, both.where("wanted is null or held is null").select(*KEY, F.col("wanted").isNotNull().alias("add")))
-        n_add, n_gone = changes.agg(F.count_if("add"), F.count_if(~F.col("add"))).first()
-        live = [] if rebuilt else [(r.kind, r.folder, r.rows) for r in self.live if r.folder]
-        added = 0
-        if n_add:
-            fresh = notes.select(*KEY, *[c for c in NOTE_COLUMNS if c not in KEY]).join(small(changes.where("add").select(*KEY), n_add), KEY, "left_semi")
-            added, folders = self._add(version, fresh.where(em.has_feature(fresh)))
-            live += folders
-        if n_gone:
-            self._write("gone", version, changes.where("not add").select(*KEY, F.lit(version << VERSION_BITS).alias("before")))
-            live.append(("gone", f"gone-{version}", n_gone))
-        if added or n_gone or rebuilt or self.version < 0:
-            self._commit(version, live)
-        compacted = self._compact_if_due()
-        return Synced(self.count("rows") - self.count("gone"), added, n_gone if not rebuilt else 0, rebuilt, compacted)
-
-    def _write(self, kind: str, version: int, df: DataFrame) -> DataFrame:
-        folder = f"{self.path}/{kind}-{version}"
-        df.write.mode("overwrite").parquet(folder)
-        return self.spark.read.schema(df.schema).parquet(folder)
-
-    def _add(self, version: int, notes: DataFrame) -> tuple[int, list[tuple[str, str, int]]]:
-        placed = notes.repartitionByRange("seq").sortWithinPartitions("seq", "chunk_id")
-        return self._write_rows(version, em.with_vectors(placed, self.dim, self.vectorize, self.name))
-
-    def _write_rows(self, version: int, sorted_rows: DataFrame) -> tuple[int, list[tuple[str, str, int]]]:
-        block = F.lit(version << VERSION_BITS) + F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
-        rows = self._write("rows", version, sorted_rows.withColumn("block", block).select(*[c.split()[0] for c in ROWS.split(", ")]))
-        n = rows.count()
-        bounds = self._write("bounds", version, block_bounds(rows).repartitionByRange("slot", "block").sortWithinPartitions("slot", "block"))
-        return n, [("rows", f"rows-{version}", n), ("bounds", f"bounds-{version}", bounds.count())]
-
-    def _compact_if_due(self) -> bool:
-        deltas = sorted(self._folders("rows"), key=lambda r: -r.rows)[1:]
-        total, loose = self.count("rows"), sum(r.rows for r in deltas) + self.count("gone")
-        if len(deltas) <= MOST_DELTAS and loose <= DELTA_SHARE * total or not total:
-            return False
-        self.compact()
-        return True
-
-    def compact(self) -> None:
-        """Rewrite all standing rows as one base without tombstones; vectors are not computed again."""
-        version = self.version + 1
-        rows = self.rows().drop("block").repartitionByRange("seq").sortWithinPartitions("seq", "chunk_id")
-        _, folders = self._write_rows(version, rows)
-        self._commit(version, folders)
-
-    # --- search -------------------------------------------------------------
-
     def search(
         self, query: str, top_k: int = 5, tags: Sequence[str] | None = None, project_id: str | None = None, agent_id: str | None = None,
         hybrid: bool = True, query_vector: Sequence[float] | None = None,
@@ -275,7 +134,7 @@ class VectorIndex:
 
     def _of_blocks(self, blocks: list[int] | None) -> DataFrame:
         """Rows of the named blocks; their ranges prune the files' row groups."""
-        rows = self._read("rows", ROWS)
+        rows = self.all_rows()
         if blocks is not None:
             rows = rows.where(F.col("block").isin(blocks)) if blocks else rows.where("false")
-        return self._standing(rows)
+        return self.standing(rows)

@@ -82,11 +82,7 @@ def semantic_search(
         plain = scored.select("*", F.lit(False).alias("keyword_hit"), F.col("cosine").alias("hybrid")).withColumnRenamed("low", "score")
         return plain.orderBy(*_best_first("score", "hybrid", "cosine")).limit(best)
 
-    scored = _contenders(scored, head_size, tail_size).repartition("seq")
-    head = scored.orderBy(*_best_first("cosine")).limit(head_size)
-    tail = scored.orderBy(*_best_first("low", "cosine")).limit(tail_size)
-    both = head.withColumn("in_head", F.lit(True)).unionByName(tail.withColumn("in_head", F.lit(False)))
-    rows = both.groupBy(*scored.columns).agg(F.max("in_head").alias("in_head")).drop("low").collect()
+    rows = selected(scored, head_size, tail_size).drop("low").collect()
     hits = keyword_hits(index if bodies is None else bodies, [r.seq for r in rows if r.in_head], _strip(query).lower())
     schema = T.StructType([f for f in scored.schema.fields if f.name != "low"]).add("keyword_hit", T.BooleanType())
     found = index.sparkSession.createDataFrame([(*r[:-1], r.seq in hits) for r in rows], schema)
@@ -106,6 +102,15 @@ def keyword_hits(notes: DataFrame, places: Sequence[int], needle: str) -> set[in
     return {r.seq for r in named.where(F.contains(F.lower(stored_body(named)), F.lit(needle))).select("seq").collect()}
 
 
+def selected(scored: DataFrame, head_size: int, tail_size: int) -> DataFrame:
+    """The best rows by ``cosine`` (``in_head``) and the best by ``low``, over one exchange of what each batch has."""
+    scored = _contenders(scored, head_size, tail_size).repartition("seq")
+    head = scored.orderBy(*_best_first("cosine")).limit(head_size)
+    tail = scored.orderBy(*_best_first("low", "cosine")).limit(tail_size)
+    both = head.withColumn("in_head", F.lit(True)).unionByName(tail.withColumn("in_head", F.lit(False)))
+    return both.groupBy(*scored.columns).agg(F.max("in_head").alias("in_head"))
+
+
 def _contenders(scored: DataFrame, n_cosine: int, n_low: int) -> DataFrame:
     """Cuts every Arrow batch to its first rows in either order."""
 

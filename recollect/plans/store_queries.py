@@ -11,6 +11,8 @@ from recollect.operators import chunks as ck
 from recollect.operators import embed as em
 from recollect.operators import search as se
 from recollect.operators.index import VectorIndex
+from recollect.operators.keyword_index import KeywordIndex
+from recollect.operators.note_index import NoteIndex
 from recollect.plans import fixtures as fx
 from recollect.plans import oracle as o
 from recollect.session import work_dir
@@ -25,18 +27,22 @@ def _chunks(spark, sf, columns=ck.NOTE_COLUMNS):
     return ck.deduplicate(fx.notes(spark, sf), columns)
 
 
-_KEPT: dict[tuple[str, str], VectorIndex] = {}
+_KEPT: dict[tuple, NoteIndex] = {}
 
 
-def _kept_index(spark, sf) -> VectorIndex:
-    """The index of this application's notes: made once, then brought up to date by each query."""
-    key = (spark.sparkContext.applicationId, sf)
+def _kept(spark, sf, kind):
+    """An index of this application's notes: made once, then brought up to date by each query."""
+    key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _KEPT:
-        _KEPT[key] = VectorIndex(spark, work_dir(spark, "index"))
+        _KEPT[key] = kind(spark, work_dir(spark, "index"))
     _KEPT[key].sync(fx.notes(spark, sf))
     return _KEPT[key]
 
 
+def _kept_index(spark, sf) -> VectorIndex:
+    return _kept(spark, sf, VectorIndex)
+
+
 def chunk_dedup(spark, sf):
     kept = _chunks(spark, sf, ["project_id", "agent_id", "source", "trust", "created_at"])
     return kept.select("chunk_id", "seq", "project_id", "agent_id", "source", "trust", "created_at")
@@ -77,16 +83,33 @@ _FILTER = f"WITH {o.CHUNKS} SELECT seq, chunk_id, project_id, agent_id FROM chun
 
 
 def keyword_search(spark, sf):
+    return _listed(_kept(spark, sf, KeywordIndex).search("Er The")).orderBy("seq")
+
+
+def keyword_search_scan(spark, sf):
+    """The same without an index: one scan."""
     return _listed(ck.keyword_search(_chunks(spark, sf), "Er The")).orderBy("seq")
 
 
+def keyword_candidates(spark, sf):
+    """How many notes of each language the postings leave to be tested for a needle, and how many have it."""
+    index = _kept(spark, sf, KeywordIndex)
+    lang = F.element_at("tags", -1)
+    tested = index.rows().join(index.candidates("er the"), "seq", "left_semi")
+    found = F.contains(F.lower(ck.rendered(tested)), F.lit("er the"))
+    return tested.groupBy(lang.alias("lang")).agg(F.count("*").alias("tested"), F.count_if(found).alias("found"))
+
+
+_GRAMS = ("er ", "r t", " th", "the")
+
+
 def keyword_search_header(spark, sf):
     """A term that only front matter holds, within an agent's view."""
-    return _listed(ck.keyword_search(_chunks(spark, sf), "NOTES/1", agent_id="agent_3")).orderBy("seq")
+    return _listed(_kept(spark, sf, KeywordIndex).search("NOTES/1", agent_id="agent_3")).orderBy("seq")
 
 
 def keyword_search_empty(spark, sf):
-    return _listed(ck.keyword_search(_chunks(spark, sf), "", tags=["#lang_fr"])).orderBy("seq")
+    return _listed(_kept(spark, sf, KeywordIndex).search("", tags=["#lang_fr"])).orderBy("seq")
 
 
 def index_sync_stats(spark, sf):
@@ -377,6 +400,9 @@ QUERIES = {
     "filter_project": (filter_project, _FILTER + "project_id = 'src7'"),
     "filter_agent_visibility": (filter_agent_visibility, _FILTER + "agent_id = 'agent_2' OR project_id IS NOT NULL"),
     "keyword_search": (keyword_search, _FILTER + f"contains(lower({o.rendered()}), 'er the') ORDER BY seq"),
+    "keyword_search_scan": (keyword_search_scan, _FILTER + f"contains(lower({o.rendered()}), 'er the') ORDER BY seq"),
+    "keyword_candidates": (keyword_candidates, f"""WITH {o.CHUNKS}, t AS (SELECT tags[-1] AS lang, lower({o.rendered()}) AS t FROM chunks)
+SELECT lang, count(*) AS tested, count(*) FILTER (contains(t, 'er the')) AS found FROM t WHERE {' AND '.join(f"contains(t, '{g}')" for g in _GRAMS)} GROUP BY lang"""),
     "keyword_search_header": (keyword_search_header, _FILTER + f"contains(lower({o.rendered()}), 'notes/1') AND (agent_id = 'agent_3' OR project_id IS NOT NULL) ORDER BY seq"),
     "keyword_search_empty": (keyword_search_empty, _FILTER + "list_contains(tags, '#lang_fr') ORDER BY seq"),
     "index_sync_stats": (index_sync_stats, SYNC),

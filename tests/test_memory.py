@@ -32,7 +32,7 @@ def test_notes_roundtrip(memory):
     assert [r.chunk_id for r in memory.semantic_search("vacuum", 3).collect()] == [first]
     memory.add_note("Vacuum the cats", [])
     assert len(memory.semantic_search("vacuum cats", 5).collect()) == 3
-    assert memory.index().count() == 3 and memory.related(first).count() >= 1
+    assert memory.index().rows().count() == 3 and memory.related(first).count() >= 1
     assert "[1] score=" in memory.context_prompt("vacuum").first().text
 
 
@@ -59,7 +59,7 @@ def test_writers_never_overwrite_each_other(spark, memory, tmp_path):
     ig.insert_notes(again, memory.path("notes"), by_hand[0].batch_id)
     left = sorted(r.content for r in memory.table("notes").collect())
     assert left == sorted(["delta words", *expected[1:]])
-    assert sorted(r.chunk_id for r in memory.index().collect()) == sorted(r.chunk_id for r in memory.table("notes").collect())
+    assert sorted(r.chunk_id for r in memory.index().rows().collect()) == sorted(r.chunk_id for r in memory.table("notes").collect())
 
 
 def test_session_life(memory):
