@@ -36,6 +36,8 @@ ASPECTS = ("junk", "abuse")
 #: Documents, about, on which the scorers are trained; they are those with the smallest hashed ids.
 SAMPLE = 8192
 FEATURE_BITS = 18
+#: Bytes of text that are described at once; the arrays over them take many times as much.
+SLICE = 1 << 18
 #: A word must be in so many sampled texts, and this share of them, to have a weight ...
 LEAST_TEXTS, LEAST_SHARE = 4, 0.004
 #: ... and so many standard deviations more or less often in unfit texts than by chance.
@@ -291,7 +293,7 @@ def _taught(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in tx.slices(whole, "text"):
+            for batch in tx.slices(whole, "text", SLICE):
                 target = (batch.column("_label").to_numpy(zero_copy_only=False) > 0).astype(np.float64)
                 yield _described("taught", _summed(*_features(_read(batch, "text"))["taught"]), target)
 
@@ -314,7 +316,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in tx.slices(whole, "text"):
+            for batch in tx.slices(whole, "text", SLICE):
                 for aspect, votes in enumerate(_votes(_read(batch, "text")).values()):
                     pattern, n = np.unique(_pattern(votes), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([aspect] * len(n), pa.int32()), pa.array(pattern, pa.int32()), pa.array(n, pa.int64())], ["aspect", "pattern", "n"])
@@ -332,7 +334,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in tx.slices(whole, "text"):
+            for batch in tx.slices(whole, "text", SLICE):
                 w = _read(batch, "text")
                 votes, found = _votes(w), _features(w)
                 for name in ASPECTS:
@@ -375,7 +377,7 @@ def with_quality(docs: DataFrame, scorer: Scorer, text: str = "text", threshold:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, model = sent.value
         for whole in batches:
-            for batch in tx.slices(whole, "_judged"):
+            for batch in tx.slices(whole, "_judged", SLICE):
                 w = _read(batch, "_judged")
                 scores = [np.zeros(batch.num_rows), unweighed(w, weights["abuse"], model)]
                 for name, (t, s, v) in _features(w).items():
