@@ -32,6 +32,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 _SHIPPED: set[str] = set()
+#: Spark's own bound on an Arrow batch, and ours: a Python worker holds a batch and what it makes of it.
+_ARROW_DEFAULT, _ARROW_BYTES = 64 << 20, 8 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -49,6 +51,9 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(archive))
         # Sessions merge in each task before the shuffle, which spares hot users.
         spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+        limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if spark.conf.get(limit).rstrip("bB") == str(_ARROW_DEFAULT):
+            spark.conf.set(limit, str(_ARROW_BYTES))
         _SHIPPED.add(app)
     return spark
 
