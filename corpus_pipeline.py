@@ -20,11 +20,26 @@ ORACLE_SQL = None
 _LAST_ID = (1 << 63) - 1
 
 
+class _Carried:
+    """Documents as ``doc_id``, ``text`` and one column of all others, so that no name of an operator's can clash with one of theirs."""
+
+    def __init__(self, docs: DataFrame):
+        self.columns = docs.columns
+        self.others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        self.docs = docs.select("doc_id", "text", (F.struct(*[F.col(f"`{c}`") for c in self.others]) if self.others else F.lit(True)).alias("_carried"))
+
+    def back(self, df: DataFrame, **changed) -> DataFrame:
+        """The documents' columns, some of them by a new expression."""
+        kept = {c: F.col(c) for c in ("doc_id", "text")} | {c: F.col("_carried")[c] for c in self.others}
+        return df.select(*[(changed[c](kept[c]) if c in changed else kept[c]).alias(c) for c in self.columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier rejects go; those without words too."""
+    """Documents that the weak-label classifier rejects go; those without words too. All columns pass."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.with_quality(docs, quality.train(docs, labels=labels)).where("keep").select(*docs.columns)
+    carried = _Carried(docs)
+    return carried.back(quality.with_quality(carried.docs, quality.train(carried.docs, labels=labels)).where("keep"))
 
 
 def _keyed(df: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -35,31 +50,40 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked documents the one with the smallest id stays (a NULL id is the largest).
 
     Documents without words are linked with nothing and stay; of rows that repeat
-    both id and text one stays.
+    both id and text one stays. All columns pass.
     """
     ship(spark)
-    found = _keyed(jaccard_join.near_duplicates(docs))
+    carried = _Carried(docs)
+    found = _keyed(jaccard_join.near_duplicates(carried.docs))
     groups = found.where("n_shingles > 0").groupBy("group_id").agg(F.min(F.struct("_key", "tag")).alias("first")).select("first.*")
     stay = groups.unionByName(found.where("n_shingles = 0").select("_key", "tag")).distinct()
-    kept = _keyed(docs).withColumn("tag", F.hash("text")).join(stay, ["_key", "tag"], "left_semi")
-    return kept.dropDuplicates(["_key", "tag"]).select(*docs.columns)
+    kept = _keyed(carried.docs).withColumn("tag", F.hash("text")).join(stay, ["_key", "tag"], "left_semi")
+    return carried.back(kept.dropDuplicates(["_key", "tag"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Word windows that earlier documents have are cut out; untouched texts stay as they are."""
+    """Word windows that earlier documents have are cut out; untouched texts stay as they are.
+
+    All columns pass; ``n_chars``, if there, is that of the new text.
+    """
     ship(spark)
-    cut = substring_dedup.without_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    carried = _Carried(docs)
+    cut = substring_dedup.without_repeats(carried.docs)
+    touched = F.col("n_removed") > 0
+    return carried.back(
+        cut, text=lambda old: F.when(touched, F.col("kept")).otherwise(old),
+        n_chars=lambda old: F.when(touched, F.char_length("kept")).otherwise(old),
+    )
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with at least a twentieth of their words in benchmark windows go."""
+    """Documents with at least a twentieth of their words in benchmark windows go. All columns pass."""
     ship(spark)
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    carried = _Carried(docs)
+    found = decontamination.contamination(carried.docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = _keyed(found.where("n_hit > 0 and 20 * n_hit >= n_words")).select("_key", "tag").distinct()
-    marked = _keyed(docs).withColumn("tag", F.xxhash64("text"))
-    return marked.join(bad, ["_key", "tag"], "left_anti").select(*docs.columns)
+    marked = _keyed(carried.docs).withColumn("tag", F.xxhash64("text"))
+    return carried.back(marked.join(bad, ["_key", "tag"], "left_anti"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
