@@ -79,3 +79,15 @@ def test_empty_table(spark):
     for _, stage in cp.STAGES:
         docs = cp.work_table(stage(spark, docs, SF), "empty-stage")
         assert docs.count() == 0
+
+
+def test_foreign_columns_pass(spark):
+    """Columns called like an operator's own keep their values, and no column is asked for but ids and texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    own = {c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in ("tag", "n_words", "keep", "_key", "kept", "n_removed", "junk_score", "starts")}
+    docs = docs.withColumns(own)
+    for _, stage in cp.STAGES[:-1]:
+        docs = cp.work_table(stage(spark, docs, SF), "foreign-stage")
+        assert docs.columns == ["doc_id", "text", *own]
+    rows = docs.collect()
+    assert rows and all(r[c] == f"{c} {r.doc_id}" for r in rows for c in own)
