@@ -25,6 +25,7 @@ from recollect.operators import tasks as tk
 from recollect.operators.index import VectorIndex
 from recollect.operators.keyword_index import KeywordIndex
 from recollect.settings import DEFAULTS, Settings
+from recollect.streaming import archives as ar
 from recollect.streaming import ingest as ig
 
 SCHEMAS = {
@@ -203,6 +204,31 @@ class Memory:
             self._close(readable, latest=False)
         return {"checked": checked, "closed": closed, "errors": stale - closed}
 
+    def watch_sessions(self, timeout_min: int | None = None, poll_seconds: int | None = None):
+        """Close archived sessions that nobody summarizes in time, from the store's own tables; returns the streaming query.
+
+        Event time is when a row was written. With ``poll_seconds`` the query goes on, and a clock
+        moves time along while nothing is written; without, it takes what is there and ends.
+        """
+        def stream(name: str, kind: str) -> DataFrame:
+            rows = self.spark.readStream.schema(SCHEMAS[name]).parquet(self.path(name))
+            optional = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("project_id", "file")]
+            return rows.select(*BY, F.lit(kind).alias("kind"), F.timestamp_micros("seq").alias("at"), *optional)
+
+        events = stream("archives", "archive").unionByName(stream("summaries", "summary"))
+        if poll_seconds is not None:
+            none = [F.lit(None).cast("string").alias(c) for c in ("project_id", "file")]
+            ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+            events = events.unionByName(ticks.select(F.lit("clock").alias("agent_id"), F.lit("").alias("session_ts"), F.lit("tick").alias("kind"), F.col("timestamp").alias("at"), *none))
+
+        def close(due: DataFrame, batch_id: int) -> None:
+            open_ = self.sessions().where(F.col("status") == "archived").join(due.select(*BY), BY, "left_semi")
+            readable = open_.where(session_items("data").isNotNull())
+            if not readable.isEmpty():
+                self._close(readable, latest=False)
+
+        return ar.start_autoclose(events, close, self.path("checkpoints/watch-sessions"), timeout_min or self.settings.summaries.autoclose_minutes, poll_seconds=poll_seconds)
+
     def _latest_summaries(self) -> DataFrame:
         """The newest regular summary of each agent, else the first one made for a named session."""
         s = self.table("summaries")

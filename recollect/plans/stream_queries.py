@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recollect.plans import fixtures as fx
 from recollect.plans import oracle as o
 from recollect.session import work_dir
+from recollect.streaming import archives as ar
 from recollect.streaming import autoclose as ac
 from recollect.streaming import ingest as ig
 
@@ -94,6 +95,48 @@ def stream_autoclose(spark, sf):
 STREAM_CLOSE = f"WITH {_GAPS} {_CLOSED} WHERE last_seen + INTERVAL 360 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 
+def _archive_events(spark, sf):
+    """Archives, some repeated half an hour later; of some sessions a summary: early, at the very end of the timeout, or a minute after it."""
+    sessions = fx.sessions(spark, sf)
+    no = F.col("session_no")
+    base = (F.floor(no / 2) * 14).cast("int")
+    after = F.when(no % 5 == 1, 100).when(no % 5 == 2, 360).when(no % 5 == 4, 361)
+    kinds = F.array(
+        F.struct(F.lit("archive").alias("kind"), base.alias("minute")), F.struct(F.lit("archive").alias("kind"), F.when(no % 7 == 0, base + 30).alias("minute")),
+        F.struct(F.lit("summary").alias("kind"), (base + after).alias("minute")))
+    events = sessions.select("agent_id", "session_ts", "project_id", "file", F.explode(kinds).alias("e")).where("e.minute is not null")
+    at = (F.expr(f"TIMESTAMP_NTZ '{fx.EPOCH}'") + F.make_interval(mins=F.col("e.minute"))).cast("timestamp")
+    return events.select("agent_id", "session_ts", "e.kind", at.alias("at"), "project_id", "file", "e.minute")
+
+
+def stream_autoclose_archives(spark, sf):
+    """Archives that nobody summarized in time: four files, one a micro-batch, with a restart after the second."""
+    events = _archive_events(spark, sf)
+    last = events.agg(F.max("minute")).first()[0]
+    raw, out, checkpoint = (work_dir(spark, name) for name in ("archive-events", "due", "checkpoint"))
+
+    def close(due, batch_id):
+        due.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    for half in (0, 1):
+        for quarter in (2 * half, 2 * half + 1):
+            part = events.where(F.floor(F.col("minute") * 4 / (last + 1)) == quarter).drop("minute")
+            part.coalesce(1).write.mode("append").parquet(raw)
+        stream = spark.readStream.schema(ar.EVENT).option("maxFilesPerTrigger", 1).parquet(raw)
+        _finish(ar.start_autoclose(stream, close, checkpoint))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
+    found = spark.read.schema(ar.DUE).option("recursiveFileLookup", "true").parquet(out)
+    return found.select("agent_id", "session_ts", "project_id", "file", stamp("archived_at"), stamp("due_at"))
+
+
+STREAM_ARCHIVES = f"""WITH {o.sessions()}, a AS (SELECT *, (session_no // 2) * 14 AS m, CASE session_no % 5 WHEN 1 THEN 100 WHEN 2 THEN 360 WHEN 4 THEN 361 END AS later FROM sessions),
+k AS (SELECT agent_id, session_ts, min(project_id) AS project_id, min(file) AS file, min(m) AS m, min(later) AS later FROM a GROUP BY agent_id, session_ts),
+last AS (SELECT max(greatest(m + coalesce(later, 0), m + CASE WHEN session_no % 7 = 0 THEN 30 ELSE 0 END)) AS m FROM a)
+SELECT agent_id, session_ts, project_id, file, strftime(TIMESTAMP '2024-01-01' + to_minutes(k.m), '%Y-%m-%d %H:%M') AS archived_at,
+  strftime(TIMESTAMP '2024-01-01' + to_minutes(k.m + 360), '%Y-%m-%d %H:%M') AS due_at
+FROM k, last WHERE (later IS NULL OR later > 360) AND k.m + 360 <= last.m - 10"""
+
+
 def running_totals(spark, sf):
     """A day of events is a scan; an error event is a failed file."""
     e = fx.table(spark, sf, "events")
@@ -112,5 +155,6 @@ QUERIES = {
     "stream_dedup": (stream_dedup, STREAM_DEDUP),
     "session_gap_close": (session_gap_close, f"WITH {_GAPS} {_CLOSED}"),
     "stream_autoclose": (stream_autoclose, STREAM_CLOSE),
+    "stream_autoclose_archives": (stream_autoclose_archives, STREAM_ARCHIVES),
     "running_totals": (running_totals, TOTALS),
 }

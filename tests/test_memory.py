@@ -90,6 +90,20 @@ def test_auto_close(memory):
     assert {(r.agent_id, r.status) for r in memory.sessions().collect()} == {("a", "summarized"), ("b", "archived")}
 
 
+def test_watched_sessions(memory):
+    memory.archive_session("a", {"done": ["x"]})
+    memory.archive_session("b", {"done": ["y"]})
+    memory.watch_sessions(60).awaitTermination()
+    assert {r.status for r in memory.sessions().collect()} == {"archived"}
+    memory.summarize("b")
+    memory.later(hours=2)
+    memory.archive_session("c", ["fresh"])
+    for _ in range(2):
+        memory.watch_sessions(60).awaitTermination()
+        assert {(r.agent_id, r.status) for r in memory.sessions().collect()} == {("a", "summarized"), ("b", "summarized"), ("c", "archived")}
+        assert memory.table("summaries").count() == 2
+
+
 def test_tasks_and_ingest(memory, tmp_path):
     memory.start_task("t1", "a", "p", "do it")
     memory.start_task("t2", "a", "p")
