@@ -36,7 +36,7 @@ SCHEMAS = {
     "summaries": "agent_id string, session_ts string, body string, latest boolean, seq bigint",
     "collapsed": "agent_id string, section int, sort_key string, line string, run bigint",
     "decisions": "project_id string, seq bigint, decision string, by_agents array<string>, reason string, recorded_at string",
-    "task_events": "task_id string, agent_id string, project_id string, seq bigint, at string, action string, description string",
+    "task_events": tk.EVENT,
 }
 STATUS = ("archived", "summarized", "collapsed")
 BY = ["agent_id", "session_ts"]
@@ -261,33 +261,55 @@ class Memory:
 
     # --- tasks ------------------------------------------------------------
 
-    def start_task(self, task_id: str, agent_id: str, project_id: str, description: str = "") -> None:
-        self._task(task_id, agent_id, project_id, "start", description)
+    def start_task(self, task_id: str, agent_id: str, project_id: str, description: str = "", model: str | None = None,
+                   variant: str | None = None, tags: Sequence[str] = ()) -> None:
+        """Begin a task, or begin it anew; the agent's context for the project is noted with it."""
+        lines = self.context(agent_id, project_id).orderBy("block", "section", "agent_id", "rank", "part").select("line").limit(tk.PREVIEW).collect()
+        context = "\n".join(r.line for r in lines)[: tk.PREVIEW]
+        self._task(task_id, "start", agent_id, project_id, description, model, variant, list(tags), context)
 
-    def end_task(self, task_id: str, agent_id: str | None = None, session_data: Any = None, project_id: str | None = None) -> bool:
-        """End a known task; agent and project are the task's unless given. False, and nothing done, for an unknown one."""
+    def end_task(self, task_id: str, agent_id: str | None = None, session_data: Any = None, project_id: str | None = None,
+                 collapse_after: bool = False, keep_last: int = 1) -> bool:
+        """End a known task; agent and project are the task's unless given. False, and nothing done, for an unknown one.
+
+        With session data the session is ended as well, and the task's result names its archive and how much each bucket holds.
+        """
         task = self.tasks().where(F.col("task_id") == task_id).first()
         if task is None:
             return False
         agent_id, project_id = agent_id or task.agent_id, project_id or task.project_id
-        self._task(task_id, agent_id, project_id, "end")
+        archive, stats = None, None
         if session_data:
-            self.end_session(agent_id, session_data, project_id)
+            done = self.end_session(agent_id, session_data, project_id, collapse_after, keep_last)
+            if done["status"] == "ok":
+                one = self.sessions().where((F.col("agent_id") == agent_id) & (F.col("session_ts") == done["session_ts"]))
+                row = self._with_buckets(one).select("file", *[F.size(b).alias(b) for b in ss.BUCKETS]).first()
+                archive, stats = row.file, {b: row[b] for b in ss.BUCKETS}
+        self._task(task_id, "end", agent_id, project_id, archive=archive, stats=stats)
         return True
 
     def cancel_task(self, task_id: str) -> bool:
         """Cancel a known task; False for an unknown one."""
         if self.tasks().where(F.col("task_id") == task_id).isEmpty():
             return False
-        self._task(task_id, None, None, "cancel")
+        self._task(task_id, "cancel")
         return True
 
-    def _task(self, task_id, agent_id, project_id, action, description=None) -> None:
+    def clear_tasks(self) -> int:
+        """Forget all tasks and agents; returns how many tasks there were."""
+        n = self.tasks().count()
+        self._task(None, "clear")
+        return n
+
+    def _task(self, task_id, action, agent_id=None, project_id=None, description=None, model=None, variant=None, tags=None, context=None, archive=None, stats=None) -> None:
         tick = self._tick()
-        self._append("task_events", [(task_id, agent_id, project_id, tick, self.clock().isoformat(), action, description)])
+        self._append("task_events", [(task_id, agent_id, project_id, tick, self.clock().isoformat(), action, description, model, variant, tags, context, archive, stats)])
 
     def tasks(self, **filters: Any) -> DataFrame:
-        return tk.filter_tasks(tk.task_status(self.table("task_events")), **filters)
+        return tk.filter_tasks(tk.task_log(self.table("task_events")), **filters)
+
+    def task_statistics(self) -> DataFrame:
+        return tk.task_statistics(self.table("task_events"))
 
     def status(self) -> DataFrame:
         return tk.store_status(self.table("notes"), self.sessions().withColumn("session_no", F.col("seq")))

@@ -305,12 +305,12 @@ def compact_arrays(sessions: DataFrame, conf: Compression = DEFAULTS.compression
     return sessions
 
 
-def _compact_text(buckets: dict[str, Column], level: int) -> Column:
+def _compact_text(buckets: dict[str, Column], level: Column) -> Column:
     agent = F.col("agent_id")
     who = F.when(F.coalesce(agent, F.lit("")) != "", F.concat(F.lit(" ("), agent, F.lit(")"))).otherwise(F.lit(""))
     head = [
         F.concat(_word("compact_title"), who),
-        F.concat(_word("compact_time"), F.coalesce("session_ts", F.lit("?")), F.lit(f"{WORDING['compact_level']}{level}")),
+        F.concat(_word("compact_time"), F.coalesce("session_ts", F.lit("?")), F.lit(WORDING["compact_level"]), level.cast("string")),
     ]
     return _document(head, [(t, buckets[b]) for b, t in COMPACT_SECTIONS], WORDING["compact_empty"])
 
@@ -326,18 +326,30 @@ def upgrade_prompt() -> Column:
 
 def compress(sessions: DataFrame, max_chars: int | None = None, conf: Compression = DEFAULTS.compression,
              item_chars: int = DEFAULTS.summaries.max_item_chars,
-             rewrite: Callable[[Column], Column] | None = None) -> DataFrame:
+             rewrite: Callable[[Column], Column] | None = None,
+             rewriter: Callable[[Column], Column] | None = None, level: int | None = None) -> DataFrame:
     """Compact document of each session row, with size statistics.
 
     The document shrinks until it fits: without dialog, then with shorter items,
     then cut. ``in_chars`` is the length of the session's JSON. ``rewrite`` (for
-    instance a pandas UDF) makes level 2: it turns the prompt into free text.
+    instance a pandas UDF) makes level 2: it turns the prompt into free text. A
+    ``rewriter`` (see :mod:`recollect.functions.rewriting`) may fail on single rows, which
+    then stay at level 1. Columns ``level``, ``llm``, ``llm_status`` (``ok``, ``error``;
+    ``skipped`` where level 2 is asked for and nothing can make it) and ``llm_error`` tell.
     """
     limit = max_chars or conf.max_chars
-    level = 1 if rewrite is None else 2
     compact = compact_arrays(sessions, conf)
-    if rewrite is not None:
-        compact = compact.withColumn("llm", tx.strip(rewrite(upgrade_prompt())))
+    none = F.lit(None).cast("string")
+    if rewriter is not None:
+        compact = compact.withColumn("_llm", rewriter(upgrade_prompt()))
+        ok = F.col("_llm.error").isNull()
+        told = {"llm": tx.strip(F.col("_llm.text")), "llm_status": F.when(ok, "ok").otherwise("error"), "llm_error": F.col("_llm.error"), "level": F.when(ok, 2).otherwise(1)}
+        compact = compact.select("*", *[c.alias(name) for name, c in told.items()]).drop("_llm")
+    elif rewrite is not None:
+        compact = compact.withColumns({"llm": tx.strip(rewrite(upgrade_prompt())), "llm_status": F.lit("ok"), "llm_error": none, "level": F.lit(2)})
+    else:
+        compact = compact.withColumns({"llm": none, "llm_status": F.lit("skipped" if (level or 1) >= 2 else None).cast("string"), "llm_error": none, "level": F.lit(1)})
+    level = F.col("level")
     arrays = {b: F.col(b) for b in BUCKETS}
     no_dialog = {**arrays, "dialog": F.array().cast("array<string>")}
     short = max(40, int(item_chars * 0.6))

@@ -121,6 +121,22 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def task_log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task events with all fields, some tasks started again by another agent, and one ``clear`` early on."""
+    e, no = task_events(spark, sf_dir), F.col("seq")
+    again = (no % 3 == 2) & (no % 15 == 2)
+    action = F.when(no == 302, "clear").when(again, "start").otherwise(F.col("action"))
+    context = F.when(no % 4 != 0, F.concat(F.lit("context of "), F.repeat(F.concat("agent_id", F.lit(" ")), (no % 40).cast("int"))))
+    ended = (F.col("action") == "end") & (no % 2 == 0)
+    return e.select(
+        "task_id", F.when(again, F.concat(F.lit("agent_"), (no % 8).cast("string"))).otherwise(F.col("agent_id")).alias("agent_id"), "project_id", "seq", "at", action.alias("action"),
+        "description", F.concat(F.lit("model_"), (no % 3).cast("string")).alias("model"), F.when(no % 5 == 0, "deep").alias("variant"),
+        F.when(no % 6 != 0, F.array(F.col("description"), F.lit("#task"))).alias("tags"), context.alias("context"),
+        F.when(ended, F.concat(F.lit("archive/"), no.cast("string"), F.lit(".json"))).alias("archive"),
+        F.when(ended, F.create_map(F.lit("done"), no % 10, F.lit("next"), no % 7)).alias("stats"),
+    )
+
+
 DOCS_PER_FILE = 50
 
 

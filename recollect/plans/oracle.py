@@ -192,3 +192,22 @@ tasks AS (
   LEFT JOIN (SELECT * FROM tev WHERE action IN ('end', 'cancel')
     QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) = 1) c
     ON c.task_id = s.task_id AND c.seq > s.seq)"""
+
+TASK_LOG = """tlog AS (
+  SELECT 'task_' || (event_id // 3) AS task_id, CASE WHEN event_id % 15 = 2 THEN 'agent_' || (event_id % 8) ELSE 'agent_' || ((event_id // 3) % 8) END AS agent_id,
+    'proj_' || ((event_id // 3) % 10) AS project_id, event_id AS seq, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS at,
+    CASE WHEN event_id = 302 THEN 'clear' WHEN event_id % 15 = 2 OR event_id % 3 = 0 THEN 'start' WHEN event_type = 'purchase' THEN 'end'
+      WHEN event_type = 'error' THEN 'cancel' ELSE 'note' END AS action, event_type AS description, 'model_' || (event_id % 3) AS model,
+    CASE WHEN event_id % 5 = 0 THEN 'deep' END AS variant, CASE WHEN event_id % 6 <> 0 THEN event_type || ',#task' ELSE '' END AS tags,
+    CASE WHEN event_id % 4 <> 0 THEN 'context of ' || repeat('agent_' || ((event_id // 3) % 8) || ' ', (event_id % 40)::INTEGER) END AS context,
+    CASE WHEN event_id % 3 <> 0 AND event_type = 'purchase' AND event_id % 2 = 0 THEN event_id END AS archive
+  FROM events),
+after AS (SELECT * FROM tlog WHERE seq > coalesce((SELECT max(seq) FROM tlog WHERE action = 'clear'), -1)),
+begun AS (SELECT * FROM after WHERE action = 'start' QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) = 1),
+closed AS (SELECT * FROM after WHERE action IN ('end', 'cancel') QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) = 1),
+result AS (SELECT task_id, max(seq) AS seq FROM after WHERE action = 'end' AND archive IS NOT NULL GROUP BY task_id),
+log AS (
+  SELECT b.task_id, b.agent_id, b.project_id, b.description, b.model, b.variant, b.tags,
+    CASE c.action WHEN 'end' THEN 'completed' WHEN 'cancel' THEN 'cancelled' ELSE 'running' END AS status, b.at AS started_at, c.at AS ended_at,
+    'archive/' || r.seq || '.json' AS archive, r.seq % 10 AS done, r.seq % 7 AS next, b.context IS NOT NULL AS context_loaded, substr(b.context, 1, 200) AS context_preview
+  FROM begun b LEFT JOIN closed c ON c.task_id = b.task_id AND c.seq > b.seq LEFT JOIN result r ON r.task_id = b.task_id AND r.seq > b.seq)"""

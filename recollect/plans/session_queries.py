@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
+from recollect.functions.rewriting import rewriter
 from recollect.operators import chunks as ck
 from recollect.operators import digest as dg
 from recollect.operators import sessions as ss
@@ -141,6 +144,34 @@ SELECT session_no, markdown, in_chars::BIGINT AS in_chars, length(markdown)::BIG
   ((in_chars * 20 + length(markdown)) // (2 * length(markdown))) / 10.0::DOUBLE AS ratio FROM fit JOIN size USING (session_no)"""
 
 
+def _digest_of(prompts):
+    """Stands in for a model: the prompt's digest, with a failure on some."""
+    out = []
+    for prompt in prompts:
+        digest = hashlib.md5(prompt.encode()).hexdigest()
+        if digest[0] in "0123":
+            raise ValueError(digest[:6])
+        out.append(digest.upper())
+    return out
+
+
+def compress_rewritten(spark, sf):
+    """Level 2 by a rewriter that fails on some sessions, which stay at level 1."""
+    full = _full(spark, sf, WIDE).withColumn("in_chars", F.lit(0).cast("bigint"))
+    done = ss.compress(full, 100_000, rewriter=rewriter(_digest_of, 4))
+    return done.select(BY, "level", "llm", "llm_status", "llm_error", "markdown")
+
+
+def _rewritten_sql():
+    caps = (("Сделано", "done_l[1:8]"), ("Решения", "decisions_l[1:6]"), ("Дальше", "next_l[1:6]"), ("Прочее", "other_l[1:4]"))
+    parts = " || ".join(f"CASE WHEN len({c}) > 0 THEN chr(10) || chr(10) || '{t}: ' || array_to_string({c}, '; ') ELSE '' END" for t, c in caps)
+    intro = " || chr(10) || ".join("'" + line + "'" for line in "\n".join(ss.PROMPT_INTRO).split("\n"))
+    return f"""WITH {_WIDE}, {o.arrays()}, p AS (SELECT *, md5({intro} || {parts}) AS d FROM full_),
+l AS (SELECT *, CASE WHEN d[1] IN ('0', '1', '2', '3') THEN 1 ELSE 2 END AS lv FROM p)
+SELECT session_no, lv AS level, CASE WHEN lv = 2 THEN upper(d) END AS llm, CASE WHEN lv = 2 THEN 'ok' ELSE 'error' END AS llm_status,
+  CASE WHEN lv = 1 THEN 'ValueError: ' || d[1:6] END AS llm_error, replace({_compact_sql([*caps, ('Диалог', 'dialog_l[1:6]')])}, 'сжатия:** 1', 'сжатия:** ' || lv) AS markdown FROM l"""
+
+
 def end_session(spark, sf):
     """The end-of-session composition: stamp, summary, counts for every session."""
     s = fx.sessions(spark, sf, WIDE).drop("session_ts", "status").withColumn("minute", F.lit("20240301_1200"))
@@ -327,6 +358,27 @@ def task_status(spark, sf):
     return _tasks(spark, sf)
 
 
+def task_log(spark, sf):
+    """Every field of each task after the log was cleared."""
+    log = tk.task_log(fx.task_log_events(spark, sf))
+    return log.select(
+        "task_id", "agent_id", "project_id", "description", "model", "variant", F.array_join("tags", ",").alias("tags"), "status", "started_at", "ended_at",
+        F.col("result.archive").alias("archive"), F.col("result.stats")["done"].alias("done"), F.col("result.stats")["next"].alias("next"), "context_loaded", "context_preview")
+
+
+def task_statistics(spark, sf):
+    return tk.task_statistics(fx.task_log_events(spark, sf))
+
+
+_LOG_COUNTS = "count(*) AS total_tasks, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("running", "completed", "cancelled"))
+TASK_STATISTICS = f"""WITH {o.TASK_LOG}, starts AS (SELECT * FROM after WHERE action = 'start'),
+last AS (SELECT * FROM starts QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY seq DESC) = 1)
+SELECT 'total' AS level, NULL AS name, {_LOG_COUNTS}, (SELECT count(DISTINCT agent_id) FROM starts) AS agents, count(DISTINCT project_id) AS projects, NULL AS last_task, NULL AS last_project FROM log
+UNION ALL SELECT 'project', project_id, {_LOG_COUNTS}, count(DISTINCT agent_id), NULL, NULL, NULL FROM log GROUP BY project_id
+UNION ALL SELECT 'agent', l.agent_id, count(g.task_id), {", ".join(f"count(*) FILTER (status = '{s}')" for s in ("running", "completed", "cancelled"))}, NULL, NULL, l.task_id, l.project_id
+  FROM last l LEFT JOIN log g ON g.agent_id = l.agent_id GROUP BY l.agent_id, l.task_id, l.project_id"""
+
+
 def tasks_filtered(spark, sf):
     return tk.filter_tasks(_tasks(spark, sf), "agent_3", "proj_5", "running").select("task_id", "description", "started_at")
 
@@ -377,6 +429,7 @@ QUERIES = {
     "collapse_history": (collapse_history, COLLAPSE),
     "collapse_report": (collapse_report, COLLAPSE_REPORT),
     "compress_session": (compress_session, _compress_sql("2400")),
+    "compress_rewritten": (compress_rewritten, _rewritten_sql()),
     "compress_tight": (compress_tight, _compress_sql("CASE WHEN session_no % 2 = 0 THEN 6200 ELSE 4500 END")),
     "end_session": (end_session, END_SESSION),
     "stale_sessions": (stale_sessions, STALE),
@@ -389,6 +442,8 @@ QUERIES = {
     "project_digest": (project_digest, f"WITH {_digest_ctes(PROJECT)}, {_STATS} {_digest_lines(PROJECT)}"),
     "project_digest_empty": (project_digest_empty, f"WITH {_digest_ctes('nowhere')}, {_STATS} {_digest_lines('nowhere')}"),
     "agent_context": (agent_context, _context_sql()),
+    "task_log": (task_log, f"WITH {o.TASK_LOG} SELECT * FROM log"),
+    "task_statistics": (task_statistics, TASK_STATISTICS),
     "task_status": (task_status, f"WITH {o.TASKS} SELECT * FROM tasks"),
     "tasks_filtered": (tasks_filtered, f"WITH {o.TASKS} SELECT task_id, description, started_at FROM tasks WHERE agent_id = 'agent_3' AND project_id = 'proj_5' AND status = 'running'"),
     "task_stats": (task_stats, f"WITH {o.TASKS} SELECT {_TASK_COUNTS}, count(DISTINCT agent_id) AS agents, count(DISTINCT project_id) AS projects FROM tasks"),

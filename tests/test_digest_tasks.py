@@ -94,3 +94,33 @@ def test_task_lifecycle(spark):
     assert sorted(map(tuple, tk.project_stats(tasks).collect())) == [("p", 1, 1), ("q", 2, 2)]
     assert sorted(map(tuple, tk.project_agents(tasks).collect())) == [("p", "a"), ("q", "a"), ("q", "c")]
     assert tk.filter_tasks(tasks, agent_id="a", status="cancelled").count() == 1
+
+
+def test_task_log_fields(spark):
+    def event(task, action, agent=None, project=None, context=None, archive=None, stats=None, tags=None):
+        return (task, agent, project, None, "at", action, f"{action} it", "m", "v", tags, context, archive, stats)
+
+    log = [
+        event("old", "start", "x", "gone"), event(None, "clear"), event("t1", "start", "a", "p", "c" * 300, tags=["#x"]), event("t1", "end", archive="f1", stats={"done": 1}),
+        event("t2", "start", "a", "p", ""), event("t2", "end", archive="f2", stats={"done": 2}), event("t2", "start", "b", "q", None), event("t2", "cancel"),
+        event("t3", "start", "b", "q", "short"), event("t3", "end", archive="f3", stats={"done": 3}), event("t3", "end"), event("t3", "note"), event("old", "end"),
+    ]
+    events = spark.createDataFrame([(*e[:3], i, f"at{i}", *e[5:]) for i, e in enumerate(log)], tk.EVENT)
+    got = {r.task_id: r for r in tk.task_log(events.repartition(3)).collect()}
+    assert set(got) == {"t1", "t2", "t3"}
+    t1, t2, t3 = (got[k] for k in ("t1", "t2", "t3"))
+    assert (t1.context_loaded, t1.context_preview, t1.tags, t1.model, t1.variant) == (True, "c" * 200, ["#x"], "m", "v")
+    assert (t1.status, t1.result.archive, t1.result.stats) == ("completed", "f1", {"done": 1})
+    # Begun anew by another agent: the first result is forgotten.
+    assert (t2.agent_id, t2.status, t2.result, t2.context_loaded, t2.context_preview, t2.tags) == ("b", "cancelled", None, False, None, [])
+    assert (t3.status, t3.ended_at, t3.result.archive) == ("completed", "at10", "f3")
+    stats = {(r.level, r.name): tuple(r)[2:] for r in tk.task_statistics(events).collect()}
+    assert stats == {
+        ("total", None): (3, 0, 2, 1, 2, 2, None, None), ("agent", "a"): (1, 0, 1, 0, None, None, "t2", "p"), ("agent", "b"): (2, 0, 1, 1, None, None, "t3", "q"),
+        ("project", "p"): (1, 0, 1, 0, 1, None, None, None), ("project", "q"): (2, 0, 1, 1, 1, None, None, None),
+    }
+    none = tk.task_statistics(events.where("false")).collect()
+    assert [tuple(r)[:3] for r in none] == [("total", None, 0)]
+    # A log without the newer columns.
+    short = tk.task_log(events.select("task_id", "agent_id", "project_id", "seq", "at", "action", "description")).where("task_id = 't1'").first()
+    assert (short.status, short.result, short.tags, short.context_loaded) == ("completed", None, [], False)

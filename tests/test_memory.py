@@ -132,4 +132,11 @@ def test_unknown_tasks_are_refused(memory):
     memory.start_task("t1", "me", "proj", "do it")
     assert memory.end_task("t1", session_data={"actions": ["did it"]})
     assert [(r.agent_id, r.project_id) for r in memory.sessions().collect()] == [("me", "proj")]
-    assert memory.tasks().first().status == "completed"
+    done = memory.tasks().first()
+    assert done.status == "completed" and done.result.stats["done"] == 1 and done.result.archive.endswith(".json") and not done.context_loaded
+    memory.start_task("t2", "me", "proj", "more", model="m", variant="v", tags=["#x"])
+    again = memory.tasks(status="running").first()
+    assert again.context_loaded and "did it" in memory.context("me", "proj").where("block = 0").agg({"line": "max"}).first()[0] + again.context_preview
+    assert (again.model, again.variant, again.tags) == ("m", "v", ["#x"])
+    assert {(r.level, r.name, r.total_tasks) for r in memory.task_statistics().collect()} == {("total", None, 2), ("agent", "me", 2), ("project", "proj", 2)}
+    assert memory.clear_tasks() == 2 and memory.tasks().count() == 0

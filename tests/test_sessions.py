@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from recollect.functions import rewriting
 from recollect.functions.items import session_items
 from recollect.operators import sessions as ss
 from recollect.settings import Summaries
@@ -116,6 +117,36 @@ def test_compress_shrinks_in_steps(archive):
             assert r.ratio == pytest.approx(r.in_chars / r.out_chars, abs=0.051)
     upper = ss.compress(full, 5000, rewrite=lambda prompt: F.upper(prompt)).first()
     assert upper.llm.startswith("СОЖМИ") and "**Уровень сжатия:** 2" in upper.markdown
+    plain = ss.compress(full, 5000).first()
+    assert (plain.level, plain.llm, plain.llm_status) == (1, None, None) and ss.compress(full, 5000, level=2).first().llm_status == "skipped"
+
+
+def test_a_failing_rewriter_leaves_level_one(archive):
+    data, sessions, items = archive
+    full = ss.with_buckets(sessions, ss.bucket_rows(items, ["session_no"]), ["session_no"]).withColumn("in_chars", F.length("data").cast("bigint"))
+
+    def model(prompts):
+        if any(len(p) % 2 for p in prompts):
+            raise RuntimeError("odd")
+        return [f"  {len(p)} " for p in prompts]
+
+    rows = ss.compress(full, 5000, rewriter=rewriting.rewriter(model, 3)).collect()
+    plain = {r.session_no: r.markdown for r in ss.compress(full, 5000).collect()}
+    assert {r.llm_status for r in rows} == {"ok", "error"} and len(rows) == len(plain)
+    for r in rows:
+        if r.llm_status == "ok":
+            assert r.level == 2 and int(r.llm) % 2 == 0 and "**Уровень сжатия:** 2" in r.markdown and r.llm_error is None
+        else:
+            assert r.level == 1 and r.llm is None and r.llm_error == "RuntimeError: odd" and r.markdown == plain[r.session_no]
+
+
+def test_rewriter_of_odd_answers(spark):
+    def model(prompts):
+        return [None] if len(prompts) == 1 else []  # the wrong number, then nothing
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", rewriting.rewriter(model)(F.col("t")).alias("x")).collect()}
+    assert got[1].text == got[3].text == "" and got[1].error is None and got[2] is None
 
 
 def test_archive_stamps_number_clashes(spark):
