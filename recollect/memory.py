@@ -24,6 +24,7 @@ from recollect.operators import sessions as ss
 from recollect.operators import tasks as tk
 from recollect.operators.index import VectorIndex
 from recollect.operators.keyword_index import KeywordIndex
+from recollect.operators.result_cache import ResultCache
 from recollect.settings import DEFAULTS, Settings
 from recollect.streaming import archives as ar
 from recollect.streaming import ingest as ig
@@ -108,7 +109,9 @@ class Memory:
         return self.index().search(query, top_k, hybrid=hybrid, **scope)
 
     def semantic_search_batch(self, queries: DataFrame, query_id: str, query_text: str, top_k: int = 5) -> DataFrame:
-        return se.semantic_search_batch(self.index().rows(), queries, query_id, query_text, top_k, self.settings)
+        """Many searches at once; answers are kept and used again while the index stays as it is."""
+        cache = ResultCache(self.spark, self.path("results"), self.settings.semantic.cache_entries)
+        return cache.search_batch(self.index(), queries, query_id, query_text, top_k)
 
     def related(self, chunk_id: str, top_k: int = 5) -> DataFrame:
         return se.related(self.index().rows(), chunk_id, top_k)

@@ -52,6 +52,7 @@ class Semantic:
     keyword_bonus: float = 0.25
     prompt_chunks: int = 5
     prompt_chars: int = 1800
+    cache_entries: int = 128
 
 
 # Hosts, labels and zones that count as authoritative.

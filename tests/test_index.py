@@ -12,6 +12,7 @@ from recollect.operators import keyword_index as ki
 from recollect.operators import note_index as ni
 from recollect.operators import search as se
 from recollect.operators.chunks import NOTE_COLUMNS, scope
+from recollect.operators.result_cache import ResultCache
 from recollect.settings import DEFAULTS
 
 SCHEMA = "seq bigint, content string, tags array<string>, project_id string, agent_id string, source string, trust double, created_at string"
@@ -150,6 +151,27 @@ def test_batch_and_prompt_over_the_index(spark, kept):
     assert kept.context_prompt("term3 vacuum").first() == se.context_prompt(kept.rows(), "term3 vacuum").first()
 
 
+def test_results_are_kept(spark, kept, tmp_path, monkeypatch):
+    texts = ["term3", "vacuum of", "?", "term3", "", None]
+    queries = spark.createDataFrame(list(enumerate(texts)), "q int, text string")
+    cache = ResultCache(spark, str(tmp_path / "results"), 3)
+    plain = sorted((r.query_id, r["rank"], r.seq, r.score, r.hybrid) for r in se.semantic_search_batch(kept.rows(), queries, "q", "text", 3).collect())
+    rows = lambda df: sorted((r.query_id, r["rank"], r.seq, r.score, r.hybrid) for r in df.collect())
+    first = cache.search_batch(kept, queries.where("q < 3"), "q", "text", 3)
+    assert cache.computed == 3 and {r.cached for r in first.collect()} == {False}
+    second = cache.search_batch(kept, queries, "q", "text", 3)
+    assert cache.computed == 1 and rows(second) == plain and {r.cached for r in second.collect()} == {True}  # NULL is '', which finds nothing
+    assert cache.computed == 1
+    # Other options are other entries; of five entries the three newest are looked up.
+    cache.search_batch(kept, queries.where("q = 1"), "q", "text", 2)
+    assert cache.computed == 1
+    again = cache.search_batch(kept, queries, "q", "text", 3)
+    assert 1 <= cache.computed <= 3 and rows(again) == plain
+    monkeypatch.setattr(kept, "version", kept.version + 1)
+    cache.search_batch(kept, queries, "q", "text", 3)
+    assert cache.computed == 4
+
+
 def test_columns_of_the_index(kept):
     assert set(NOTE_COLUMNS) < set(kept.rows().columns)
 
