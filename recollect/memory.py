@@ -28,6 +28,7 @@ from recollect.operators.result_cache import ResultCache
 from recollect.settings import DEFAULTS, Settings
 from recollect.streaming import archives as ar
 from recollect.streaming import ingest as ig
+from recollect.streaming import progress as pg
 
 SCHEMAS = {
     "notes": ig.STORE_SCHEMA,
@@ -84,9 +85,20 @@ class Memory:
 
     def ingest(self, raw_dir: str, poll_seconds: int | None = None, archive_dir: str | None = None):
         """Take in the files of a folder; with ``poll_seconds`` keep watching. Returns the streaming query."""
-        folder = hashlib.md5(raw_dir.rstrip("/").encode()).hexdigest()[:16]
-        return ig.start_ingest(self.spark, raw_dir, self.path("notes"), self.path("ingest_log"), self.path(f"checkpoints/ingest-{folder}"),
-                               archive_dir, poll_seconds, self.settings)
+        name = self._watcher(raw_dir)
+        return ig.start_ingest(self.spark, raw_dir, self.path("notes"), self.path("ingest_log"), self.path(f"checkpoints/{name}"),
+                               archive_dir, poll_seconds, self.settings, name=name)
+
+    def _watcher(self, raw_dir: str) -> str:
+        return "ingest-" + hashlib.md5(raw_dir.rstrip("/").encode()).hexdigest()[:16]
+
+    def scan_log(self, *raw_dirs: str) -> pg.ScanLog:
+        """While it is attached (``with``), every scan of these folders' watchers is written down, empty and failed ones too."""
+        return pg.ScanLog(self.spark, self.path("scans"), *map(self._watcher, raw_dirs))
+
+    def scan_totals(self) -> DataFrame:
+        """Counters of the watchers over their whole life."""
+        return pg.scan_totals(ig.read_table(self.spark, ig.create_table(self.spark, self.path("scans"), pg.SCANS), pg.SCANS))
 
     def keyword_search(self, query: str, **scope: Any) -> DataFrame:
         """Notes that hold a text, by the keyword index, brought up to date first."""

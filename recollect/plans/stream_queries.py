@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from recollect.plans import fixtures as fx
@@ -10,6 +11,7 @@ from recollect.session import work_dir
 from recollect.streaming import archives as ar
 from recollect.streaming import autoclose as ac
 from recollect.streaming import ingest as ig
+from recollect.streaming import progress as pg
 
 _NL = "chr(10)"
 
@@ -149,7 +151,45 @@ def running_totals(spark, sf):
 TOTALS = """SELECT batch_id, row_number() OVER (ORDER BY batch_id) AS scan_count, (sum(i) OVER (ORDER BY batch_id))::BIGINT AS total_ingested, (sum(e) OVER (ORDER BY batch_id))::BIGINT AS total_errors
 FROM (SELECT strftime(ts, '%Y-%m-%d') AS batch_id, count(*) FILTER (event_type NOT IN ('error', 'view')) AS i, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY 1)"""
 
+def stream_scan_totals(spark, sf):
+    """Five scans of the events by a watcher: two with work, one that finds nothing, one that fails, and its repetition."""
+    e = fx.table(spark, sf, "events")
+    raw, checkpoint, scans = (work_dir(spark, name) for name in ("events", "checkpoint", "scans"))
+    name = "watch-" + scans[-8:]
+
+    def put(third):
+        e.where(F.col("event_id") % 3 == third).coalesce(1).write.mode("append").parquet(raw)
+
+    def scan(fail):
+        def each(batch, batch_id):
+            if fail:
+                raise ValueError("no room")
+            batch.count()
+
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(raw).writeStream.queryName(name).option("checkpointLocation", checkpoint)
+        query = stream.foreachBatch(each).trigger(availableNow=True).start()
+        try:
+            _finish(query)
+        except StreamingQueryException:
+            if not fail:
+                raise
+        log.wait(query)
+
+    with pg.ScanLog(spark, scans, name) as log:
+        put(0)
+        put(1)
+        scan(False)
+        scan(False)
+        put(2)
+        scan(True)
+        scan(False)
+    return pg.scan_totals(pg.scans_of(spark, scans)).drop("query")
+
+
+SCAN_TOTALS = "SELECT 5 AS scan_count, 3 AS batches, 1 AS empty_scans, 1 AS failed_scans, count(*) AS rows, 'ValueError: no room' AS last_error FROM events"
+
 QUERIES = {
+    "stream_scan_totals": (stream_scan_totals, SCAN_TOTALS),
     "stream_ingest": (stream_ingest, STREAM_INGEST),
     "stream_ingest_used_store": (stream_ingest_used_store, STREAM_USED),
     "stream_dedup": (stream_dedup, STREAM_DEDUP),

@@ -43,7 +43,7 @@ def create_table(spark: SparkSession, path: str, schema: str) -> str:
         spark.read.schema(schema).parquet(path)
     except AnalysisException:
         empty = spark.createDataFrame([], schema).write.mode("append")
-        (empty.partitionBy(*PARTITIONS) if "batch_id" in schema else empty).parquet(path)
+        (empty.partitionBy(*PARTITIONS) if "writer string, batch_id" in schema else empty).parquet(path)
     return path
 
 
@@ -93,11 +93,13 @@ def _ingest_batch(root: str, store_dir: str, log_dir: str, writer: str, settings
 def start_ingest(
     spark: SparkSession, raw_dir: str, store_dir: str, log_dir: str, checkpoint: str,
     archive_dir: str | None = None, poll_seconds: int | None = None, settings: Settings = DEFAULTS, files_per_batch: int | None = None,
+    name: str | None = None,
 ) -> StreamingQuery:
     """Watch ``raw_dir``; each folder needs a checkpoint of its own. Without ``poll_seconds`` the query takes what is there and ends.
 
     The returned query is the watcher's handle: ``stop()``, ``status``,
-    ``lastProgress``. Files move to ``archive_dir`` after their batch if given.
+    ``lastProgress``. Files move to ``archive_dir`` after their batch if given. Under
+    its ``name`` a :class:`recollect.streaming.progress.ScanLog` counts its scans.
     """
     create_table(spark, store_dir, STORE_SCHEMA)
     create_table(spark, log_dir, LOG_SCHEMA)
@@ -111,6 +113,7 @@ def start_ingest(
         .foreachBatch(_ingest_batch(raw_dir, store_dir, log_dir, writer_of(checkpoint), settings))
     )
     trigger = {"availableNow": True} if poll_seconds is None else {"processingTime": f"{poll_seconds} seconds"}
+    writer = writer.queryName(name) if name else writer
     return writer.trigger(**trigger).start()
 
 

@@ -117,6 +117,24 @@ def test_tasks_and_ingest(memory, tmp_path):
     assert kinds == {("project", "general"): 1, ("author", "-"): 1, ("sessions", "a"): 1}
 
 
+def test_scans_are_counted(memory, tmp_path):
+    raw = tmp_path / "watched"
+    raw.mkdir()
+    assert memory.scan_totals().count() == 0
+    with memory.scan_log(str(raw)) as log:
+        for text in ("one", None):
+            if text:
+                (raw / "a.txt").write_text(text)
+            query = memory.ingest(str(raw))
+            query.awaitTermination()
+            log.wait(query)
+    total = memory.scan_totals().first()
+    assert (total.scan_count, total.batches, total.empty_scans, total.failed_scans, total.rows, total.last_error) == (2, 1, 1, 0, 1, None)
+    (raw / "b.txt").write_text("two")
+    memory.ingest(str(raw)).awaitTermination()  # nobody listens
+    assert memory.scan_totals().first().scan_count == 2
+
+
 def test_a_broken_session_is_reported(memory):
     memory.archive_session("me", {"actions": ["built it"]}, "p")
     row = memory.table("archives").first().asDict()
