@@ -207,12 +207,6 @@ def decisions_list(decisions: DataFrame, project_id: str, block_rows: int = 1_00
     )
 
 
-def last_session_ts(sessions: DataFrame, agent_id: str, order: str) -> str | None:
-    """Stamp of the session an agent archived last: one value, looked up."""
-    row = sessions.where(F.col("agent_id") == agent_id).agg(F.max_by("session_ts", order)).first()
-    return row[0]
-
-
 def agent_context(agent_id: str, project_id: str | None, summaries: DataFrame, collapsed: DataFrame,
                   sessions: DataFrame, items: DataFrame, decisions: DataFrame, chunks: DataFrame, by: str,
                   order: str) -> DataFrame:
@@ -222,25 +216,27 @@ def agent_context(agent_id: str, project_id: str | None, summaries: DataFrame, c
     the project's decisions; block 2 the digest since the agent's own last
     session. A ``---`` line separates the blocks that are present.
     """
-    mine = summaries.where(F.col("agent_id") == agent_id)
+    own = F.col("agent_id") == agent_id
+    mine, old = summaries.where(own), collapsed.where(own)
+    told = shared_decisions(decisions, project_id) if project_id else None
+    # One row tells which blocks there are and since when to tell; the digest opens with its title if it has any.
+    known = sessions.where(own).agg(F.max_by("session_ts", order).alias("since"))
+    for name, block in (("summary", mine), ("history", old), ("shared", told)):
+        if block is not None:
+            known = known.crossJoin(block.limit(1).agg((F.count("*") > 0).alias(name)))
+    known = known.first()
     none, zero = F.lit(""), F.lit(0)
-    # Blocks 0 and 1 are probed for a first row; the digest opens with its title if it has any.
-    has_summary = not mine.isEmpty()
-    if has_summary:
+    if known.summary:
         first = _block(0, mine, zero, none, F.lit(-1), zero, F.col("body"))
     else:
-        old = collapsed.where(F.col("agent_id") == agent_id)
-        has_summary = not old.isEmpty()
         first = _block(0, old, F.col("section"), F.col("sort_key"), F.lit(-1), zero, F.col("line"))
     if not project_id:
         return first
-    told = shared_decisions(decisions, project_id)
-    has_shared = not told.isEmpty()
+    has_summary, has_shared = known.summary or known.history, known.shared
     title = F.lit(f"{WORDING['shared']}{project_id})")
     shared = _block(1, told.limit(1), zero, none, F.lit(-1), zero, title).unionAll(
         _block(1, told, zero, none, F.col("seq"), F.col("part"), F.col("line")))
-    digest = project_digest(sessions, items, decisions, chunks, by, project_id,
-                            last_session_ts(sessions, agent_id, order), empty_notice=False)
+    digest = project_digest(sessions, items, decisions, chunks, by, project_id, known.since, empty_notice=False)
     last = _block(2, digest, F.col("section"), F.col("agent_id"), F.col("rank"), F.col("part"), F.col("line"))
     opens = (F.col("rank") == -1) | ((F.col("block") == 2) & (F.col("section") == 0) & (F.col("part") == 0))
     if has_summary:

@@ -12,7 +12,6 @@ from recollect.operators import embed as em
 from recollect.operators import search as se
 from recollect.operators.index import VectorIndex
 from recollect.operators.keyword_index import KeywordIndex
-from recollect.operators.note_index import NoteIndex
 from recollect.operators.result_cache import ResultCache
 from recollect.plans import fixtures as fx
 from recollect.plans import oracle as o
@@ -28,16 +27,15 @@ def _chunks(spark, sf, columns=ck.NOTE_COLUMNS):
     return ck.deduplicate(fx.notes(spark, sf), columns)
 
 
-_KEPT: dict[tuple, NoteIndex] = {}
+_KEPT: dict[tuple, str] = {}
 
 
 def _kept(spark, sf, kind):
-    """An index of this application's notes: made once, then brought up to date by each query."""
+    """An index of this application's notes: made once, then opened and brought up to date by each query."""
     key = (spark.sparkContext.applicationId, sf, kind)
-    if key not in _KEPT:
-        _KEPT[key] = kind(spark, work_dir(spark, "index"))
-    _KEPT[key].sync(fx.notes(spark, sf))
-    return _KEPT[key]
+    index = kind(spark, _KEPT.setdefault(key, work_dir(spark, "index")))
+    index.sync(fx.notes(spark, sf))
+    return index
 
 
 def _kept_index(spark, sf) -> VectorIndex:

@@ -20,6 +20,7 @@ from recollect.settings import DEFAULTS
 #: One session's archive, or a summary of it.
 EVENT = "agent_id string, session_ts string, kind string, at timestamp, project_id string, file string"
 DUE = "agent_id string, session_ts string, project_id string, file string, archived_at timestamp, due_at timestamp"
+STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _MINUTE = 60_000
 
@@ -91,8 +92,8 @@ def due_archives(
     at the very end of the timeout still counts. Rows that repeat change nothing, also
     after the session's end, until ``forget_min`` (four timeouts, unless given) have passed.
     Rows of another kind are ignored; events later than the watermark are dropped by Spark.
+    The query must be started with ``ROCKSDB`` as the session's state store, as ``start_autoclose`` does.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     processor = ArchiveTimers(timeout_min, 4 * timeout_min if forget_min is None else forget_min)
     keyed = events.withWatermark("at", delay).groupBy("agent_id", "session_ts")
     return keyed.transformWithStateInPandas(statefulProcessor=processor, outputStructType=DUE, outputMode="append", timeMode="eventtime")
@@ -108,5 +109,11 @@ def start_autoclose(
     with the next start from the same checkpoint.
     """
     trigger = {"availableNow": True} if poll_seconds is None else {"processingTime": f"{poll_seconds} seconds"}
-    due = due_archives(events, timeout_min, delay)
-    return due.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(close).trigger(**trigger).start()
+    writer = due_archives(events, timeout_min, delay).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    conf = events.sparkSession.conf
+    before = conf.get(STORE)
+    conf.set(STORE, ROCKSDB)
+    try:  # a query takes the session's settings as it starts
+        return writer.foreachBatch(close).trigger(**trigger).start()
+    finally:
+        conf.set(STORE, before)
