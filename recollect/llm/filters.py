@@ -51,6 +51,7 @@ def bloom(keys: DataFrame) -> np.ndarray:
     dealt = keys.repartition(F.shiftrightunsigned(name, 56))
     for row in dealt.mapInArrow(build, "block int, bits binary").collect():  # at most 256 rows of 64 KB
         out[row.block] = np.frombuffer(row.bits, np.uint8)
+    tx.give_back()
     return out.reshape(-1)
 
 
