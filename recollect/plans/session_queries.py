@@ -11,7 +11,6 @@ from recollect.operators import chunks as ck
 from recollect.operators import digest as dg
 from recollect.operators import sessions as ss
 from recollect.operators import tasks as tk
-from recollect.operators.common import number_in_group
 from recollect.plans import fixtures as fx
 from recollect.plans import oracle as o
 
