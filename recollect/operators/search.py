@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.functions import text as tx
-from recollect.functions.numbers import round4, round4_array
+from recollect.functions.numbers import fixed3, round4, round4_array
 from recollect.functions.vectors import dot, dot_const, embed, sparse
 from recollect.operators.chunks import scope, stored_body
 from recollect.operators.common import top_n
@@ -194,7 +194,7 @@ def context_prompt(
 
     def entry(hit: Column, i: Column) -> Column:
         title = F.concat(
-            F.lit("["), (i + 1).cast("string"), F.lit("] score="), F.format_string("%.3f", hit["score"]),
+            F.lit("["), (i + 1).cast("string"), F.lit("] score="), fixed3(hit["score"]),
             F.lit(" | project: "), F.coalesce(F.nullif(hit["project_id"], F.lit("")), F.lit("general")),
             F.lit(" | tags: "), F.coalesce(F.nullif(F.array_join(hit["tags"], ", "), F.lit("")), F.lit("-")),
             F.lit("\n"),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.functions.numbers import round4, round4_array
+from recollect.functions.numbers import fixed3, round4, round4_array
 from recollect.functions.vectors import embed, sparse
 from recollect.operators import chunks as ck
 from recollect.operators import embed as em
@@ -68,6 +68,18 @@ def test_round4_is_exact(spark):
     assert [r.r for r in df.select("i", round4(F.col("v")).alias("r")).orderBy("i").collect()] == want
 
 
+def test_three_decimals_follow_the_value(spark):
+    """0.0045 lies below its decimal form, and is shown as 0.004."""
+    values = [i / 10000 for i in range(12501)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    assert [r.t for r in df.select("i", fixed3(F.col("v")).alias("t")).orderBy("i").collect()] == [f"{v:.3f}" for v in values]
+
+
+def test_prompt_shows_the_score_by_value(index):
+    hit = index.where("seq = 0").select("seq", "chunk_id", "project_id", "tags", "trust", *[F.lit(0.0045).alias(c) for c in ("cosine", "hybrid", "score")])
+    assert "[1] score=0.004 | " in se.context_prompt(index, "vacuum", hits=hit).first().text
+
+
 def ranked(df):
     return [(r.seq, r.score) for r in df.collect()]
 
