@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stream of the table's files, be it one file or a folder of them; as a plain path the source takes folders only."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def _stamp(minutes):
     ts = F.expr(f"TIMESTAMP_NTZ '{EPOCH}'") + F.make_interval(mins=minutes.cast("int"))
     return ts

@@ -50,9 +50,7 @@ STREAM_USED = STREAM_INGEST + " UNION ALL SELECT DISTINCT md5(url), length(url):
 
 
 def stream_dedup(spark, sf):
-    schema = fx.table(spark, sf, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    notes = docs.select(
+    notes = fx.table_stream(spark, sf, "documents").select(
         F.col("doc_id").alias("ord"), F.col("text").alias("content"), F.array(F.lit("#doc")).alias("tags"),
         F.col("source").alias("project_id"), F.lit(None).cast("string").alias("agent_id"),
         F.lit(None).cast("string").alias("source"), F.lit("2024-01-01").alias("created_at"))
@@ -81,8 +79,7 @@ _CLOSED = "SELECT user_id, strftime(started, '%Y-%m-%d %H:%M:%S.%f') AS started,
 
 def stream_autoclose(spark, sf):
     """The same sessions from a stream: those the watermark has closed."""
-    schema = fx.table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = fx.table_stream(spark, sf, "events")
     # Event time on a stream needs a zoned timestamp; the session zone is fixed for both ways.
     timed = events.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "10 minutes")
     out = work_dir(spark, "closed")

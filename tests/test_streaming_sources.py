@@ -1,9 +1,12 @@
+import hashlib
 import json
 import random
 
 from pyspark.sql import functions as F
 
 from recollect.operators.common import first_by, number_in_group
+from recollect.plans import fixtures as fx
+from recollect.plans import stream_queries as sq
 from recollect.plans.packaging import _docx, _epub
 from recollect.session import work_dir
 from recollect.settings import DEFAULTS, Settings, typed_value
@@ -45,6 +48,17 @@ def test_stream_ingest_is_incremental(spark, tmp_path):
     assert run()[0].count() == 5  # nothing new
 
 
+def test_streams_of_tables_in_one_file_or_several(spark, tmp_path):
+    docs = [(i, f"text {i % 30}", "en", f"s{i}") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.chunk_id, r.project_id, r.trust) for r in sq.stream_dedup(spark, str(tmp_path)).collect())
+    assert got == sorted((hashlib.md5(f"text {i}".encode()).hexdigest(), f"s{i}", 0.5) for i in range(30))
+    put(tmp_path / "one/t.parquet", next((tmp_path / "documents.parquet").glob("part-*.parquet")).read_bytes())
+    for sf, name, n in ((tmp_path, "documents", 40), (tmp_path / "one", "t", 10)):
+        fx.table_stream(spark, str(sf), name).writeStream.format("parquet").option("path", f"{sf}/out").option("checkpointLocation", f"{sf}/check").trigger(availableNow=True).start().awaitTermination()
+        assert spark.read.parquet(f"{sf}/out").count() == n
+
+
 def test_watcher_lifecycle(spark, tmp_path):
     raw, store, log, check = (str(tmp_path / d) for d in ("raw", "store", "log", "check"))
     put(tmp_path / "raw/a.txt", "one")
