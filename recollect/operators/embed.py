@@ -1,52 +1,38 @@
-"""Embedding of texts: a relational long form and an Arrow dense form."""
+"""Embedding of texts: a long form and a dense form."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recollect.functions import text as tx
-from recollect.functions.vectors import DIGITS, EMBEDDER, embedder
+from recollect.functions.vectors import DIGITS, EMBEDDER, embedded, embedder
 from recollect.operators.chunks import stored_body
 from recollect.settings import DEFAULTS
 
 
-def feature_counts(texts: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, feature, tf). ``key`` must identify a text."""
-    toks = texts.select(key, tx.tokens(F.col(content)).alias("_t"))
-    return (
-        toks.select(key, F.explode(tx.token_features(F.col("_t"))).alias("feature"))
-        .groupBy(key, "feature")
-        .agg(F.count("*").alias("tf"))
-    )
-
-
 def embedding_weights(texts: DataFrame, key: str = "chunk_id", content: str = "content",
-                      dim: int = DEFAULTS.semantic.dim, partitioned: bool = False) -> DataFrame:
-    """(key, idx, w) with the non-zero slots of the unit vector, unrounded.
+                      dim: int = DEFAULTS.semantic.dim) -> DataFrame:
+    """(key, idx, w) with the non-zero slots of the unit vector, unrounded. ``key`` must identify a text.
 
-    Partitioned once by ``key``: that distribution also serves the aggregates by
-    (key, feature) and (key, idx) and the norm's window (at most ``dim`` rows per
-    key), so the exploded features never cross the network. ``partitioned`` says
-    the input has that distribution already, as :func:`deduplicate` leaves it.
+    Narrow: a text's features are counted where it lies, so neither they nor the
+    texts are sorted, spilled or shuffled.
     """
-    feature = F.col("feature")
     base = texts.select(key, content)
-    slots = (
-        feature_counts(base if partitioned else base.repartition(key), key, content)
-        .select(
-            key,
-            tx.feature_slot(feature, dim).alias("idx"),
-            (tx.feature_sign(feature) * (1.0 + F.ln("tf"))).alias("v"),
-        )
-        .groupBy(key, "idx")
-        .agg(F.sum("v").alias("v"))
-        .where(F.col("v") != 0)
-    )
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
-    return slots.select(key, "idx", (F.col("v") / norm).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, vecs in embedded(batch.column(1), dim):
+                row, slot = np.nonzero(vecs)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(start + row)), pa.array(slot, pa.int32()), pa.array(vecs[row, slot])], schema.names)
+
+    schema = T.StructType([base.schema[key], T.StructField("idx", T.IntegerType()), T.StructField("w", T.DoubleType())])
+    return base.mapInArrow(run, schema)
 
 
 def rounded_weights(weights: DataFrame) -> DataFrame:

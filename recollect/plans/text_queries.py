@@ -294,7 +294,7 @@ SELECT feature, ('0x' || substr(md5(feature), 1, 8))::BIGINT % 512 AS idx,
 
 def embed(spark, sf):
     chunks = ck.deduplicate(fx.notes(spark, sf), ["content"])
-    return em.rounded_weights(em.embedding_weights(chunks, partitioned=True))
+    return em.rounded_weights(em.embedding_weights(chunks))
 
 
 def embed_dense(spark, sf):

@@ -1,11 +1,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from recollect.functions import vectors
 from recollect.functions.numbers import fixed3, round4, round4_array
-from recollect.functions.vectors import embed, sparse
+from recollect.functions.vectors import embed, embed_all, sparse
 from recollect.operators import chunks as ck
 from recollect.operators import embed as em
 from recollect.operators import search as se
@@ -93,6 +95,24 @@ def test_embedding_forms_agree(chunks):
     assert len(sparse) == sum(sum(1 for x in v if x) for v in dense.values())
 
 
+def test_texts_embedded_together(monkeypatch):
+    """The same vectors as one by one, whatever the lengths of words and pairs (up to 55 bytes fit one block of the digest)."""
+    odd = ["", None, "?", "a", "a b a b a", "x" * 54 + " y", "x" * 55 + " " + "z" * 55, "x" * 56, "q" * 300 + " w", "ё" * 27 + " ёж", "я" * 28, "Привет МИР мир",
+           "a" * 27 + " " + "b" * 27, "a" * 27 + " " + "b" * 28, "ſ İ K", *[" ".join(f"w{j * i % 97}" for j in range(i)) for i in range(0, 300, 7)]]
+    for dim in (512, 7):
+        want = np.stack([embed(x or "", dim) for x in odd])
+        assert np.abs(embed_all(odd, dim) - want).max() < 1e-14
+        monkeypatch.setattr(vectors, "_CHARS", 40)
+        parts = list(vectors.embedded(pa.array(odd), dim))
+        assert len(parts) > 20 and np.abs(np.concatenate([m for _, m in parts]) - want).max() < 1e-14
+
+
+def test_long_form_is_narrow(chunks):
+    """Features are counted where their text lies: nothing is sorted or shuffled."""
+    plan = em.embedding_weights(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Sort", "Aggregate", "Window"))
+
+
 @pytest.mark.parametrize("query", ["vacuum tuning", " VACUUM ", "postgres вакуума", "cat", "guide for large"])
 @pytest.mark.parametrize("top_k", [0, 1, 2, 5])
 def test_search_matches_brute_force(index, query, top_k):
