@@ -1,6 +1,6 @@
 """Keyword search through an inverted index of three-letter pieces.
 
-Beside the notes, ``postings-N`` has one row per gram (three code points of the lower-cased
+Beside the notes, ``postings-N``, dealt by gram and sorted by it, has one row per gram (three code points of the lower-cased
 stored text) and block of ``1 << PLACE_BITS`` places: a container of the places
 that have the gram, an ordered list or a bitmap, whichever is smaller. A needle's rarest
 grams are intersected block by block; what is left is a candidate and is tested with the
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.functions.arrow import give_back
 from recollect.operators import chunks as ck
 from recollect.operators.note_index import NoteIndex
 
@@ -24,8 +25,8 @@ from recollect.operators.note_index import NoteIndex
 PLACE_BITS = 12
 _PLACES = 1 << PLACE_BITS
 _BITMAP = _PLACES // 8
-#: Pairs of gram and place that a task gathers, code points that it looks at at once.
-GATHERED, PIECE = 1 << 21, 1 << 18
+#: Pairs of gram and place that a task gathers, code points that it looks at at once, rows that leave it at once.
+GATHERED, PIECE, ROWS = 1 << 20, 1 << 18, 1 << 15
 #: Grams of a needle that are looked up, and candidates that a scan is told by name.
 RAREST, NAMED = 8, 2048
 POSTINGS = "gram bigint, block bigint, n int, places binary"
@@ -64,28 +65,37 @@ def members(held: bytes) -> np.ndarray:
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams, places, size = [], [], 0
 
-    def flush() -> pa.RecordBatch:
-        gram, seq = np.concatenate(grams), np.concatenate(places)
+    def flush() -> Iterator[pa.RecordBatch]:
+        gram = np.concatenate(grams)
+        seq = np.repeat(np.array(places, np.int64), [len(g) for g in grams])
+        grams.clear()
+        places.clear()
         order = np.lexsort((seq, gram))
         gram, seq = gram[order], seq[order]
+        del order
         block = seq >> PLACE_BITS
         first = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (block[1:] != block[:-1]))))
         n = np.diff(np.append(first, len(gram)))
-        low = seq & (_PLACES - 1)
-        held = [container(low[a: a + k]) for a, k in zip(first.tolist(), n.tolist())]
-        return pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(block[first]), pa.array(n, pa.int32()), pa.array(held, pa.binary())], ["gram", "block", "n", "places"])
+        gram, block, low = gram[first], block[first], (seq & (_PLACES - 1)).astype("<u2")
+        del seq
+        for at in range(0, len(first), ROWS):
+            part = slice(at, at + ROWS)
+            held = [container(low[a: a + k]) for a, k in zip(first[part].tolist(), n[part].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(gram[part]), pa.array(block[part]), pa.array(n[part], pa.int32()), pa.array(held, pa.binary())], ["gram", "block", "n", "places"])
 
     for batch in batches:
-        for seq, text in zip(batch.column("seq").to_pylist(), batch.column("text").to_pylist()):
-            found = grams_of(text)
+        for row in range(batch.num_rows):
+            found = grams_of(batch.column("text")[row].as_py())
             grams.append(found)
-            places.append(np.full(len(found), seq, np.int64))
+            places.append(batch.column("seq")[row].as_py())
             size += len(found)
             if size > GATHERED:
-                yield flush()
-                grams, places, size = [], [], 0
+                yield from flush()
+                size = 0
+                give_back()
     if size:
-        yield flush()
+        yield from flush()
+        give_back()
 
 
 def _met(wanted: int):
@@ -114,7 +124,8 @@ class KeywordIndex(NoteIndex):
 
     def beside(self, version: int, rows: DataFrame) -> list[tuple[str, str, int]]:
         texts = rows.select("seq", F.lower(ck.rendered(rows)).alias("text"))
-        found = texts.mapInArrow(_postings, POSTINGS).repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")
+        # By hash, as ranges would take a pass of their own over all texts to sample them.
+        found = texts.mapInArrow(_postings, POSTINGS).repartition("gram").sortWithinPartitions("gram", "block")
         return [("postings", f"postings-{version}", self._write("postings", version, found).count())]
 
     def postings(self) -> DataFrame:

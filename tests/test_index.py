@@ -1,6 +1,7 @@
 """The maintained index: versions, tombstones, bounds, and searches that skip blocks."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,16 @@ def test_versions(spark, path):
     assert index.sync(more.where("false")).total == 0 and held(index) == []
 
 
+def test_sync_of_some_of_the_notes(spark, path):
+    """A choice is made over ids and places; of a content's copies the first chosen one counts."""
+    index = ix.VectorIndex(spark, path)
+    table = notes(spark, ["one cat", "two", "one cat", "three", "?!"])
+    chosen = table.select("chunk_id", "seq")
+    assert index.sync(table, chosen.where("seq in (2, 3, 4)")) == ni.Synced(2, 2, 0, False, False)
+    assert held(index) == [(2, "one cat"), (3, "three")]
+    assert index.sync(table, chosen.where("seq < 3")).removed == 2 and held(index) == [(0, "one cat"), (1, "two")]
+
+
 def test_another_embedder_starts_anew(spark, path):
     one = notes(spark, ["one", "two"])
     ix.VectorIndex(spark, path, name="older").sync(one)
@@ -193,6 +204,19 @@ def test_grams_and_containers(monkeypatch):
         assert np.flatnonzero(ki.members(held)).tolist() == places.tolist() and len(held) <= 512
 
 
+def test_postings_leave_in_small_batches(monkeypatch):
+    texts = [f"text {i % 7} of {i}" for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4080, 4140)), pa.array(texts)], ["seq", "text"])
+    want = {(g, seq) for seq, text in enumerate(texts, 4080) for g in ki.grams_of(text).tolist()}
+    for gathered, rows in ((100, 8), (1 << 20, 16)):
+        monkeypatch.setattr(ki, "GATHERED", gathered)
+        monkeypatch.setattr(ki, "ROWS", rows)
+        parts = list(ki._postings(iter([batch])))
+        assert len(parts) > 3 and max(p.num_rows for p in parts) <= rows
+        got = [(r["gram"], (r["block"] << ki.PLACE_BITS) + p) for part in parts for r in part.to_pylist() for p in np.flatnonzero(ki.members(r["places"])).tolist()]
+        assert len(got) == len(want) and set(got) == want
+
+
 @pytest.fixture(scope="module")
 def words(spark, tmp_path_factory):
     contents = [f"Note {i} of {'alpha' if i % 3 == 0 else 'beta'} needle{i % 400}" for i in range(9_000)] + ["", "ab", "ABC", "the é ß Ünder", "x" * 5_000 + "End"]
