@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import md5
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -121,13 +122,13 @@ def _hashed(words: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np
 
 def embed_all(texts: list[str | None], dim: int) -> np.ndarray:
     """:func:`embed` of each text as a row; every feature of the texts is hashed once."""
-    index: dict[str, int] = {}
+    index: dict[str, int] = defaultdict(count().__next__)
     ids: list[int] = []
     sizes = []
     for text in texts:
         words = _token.findall((text or "").lower())
         sizes.append(len(words))
-        ids += [index.setdefault(w, len(index)) for w in words]
+        ids.extend(map(index.__getitem__, words))
     if not ids:
         return np.zeros((len(texts), dim))
     word, known = np.array(ids, np.int64), len(index)
