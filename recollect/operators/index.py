@@ -62,9 +62,6 @@ class VectorIndex(NoteIndex):
         self.label = f"{name}/{self.dim}"
         super().__init__(spark, path, settings)
 
-    def indexable(self, notes: DataFrame) -> DataFrame:
-        return notes.where(em.has_feature(notes))
-
     def derived(self, notes: DataFrame) -> DataFrame:
         return em.with_vectors(notes, self.dim, self.vectorize, self.name)
 

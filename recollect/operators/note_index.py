@@ -71,12 +71,8 @@ class NoteIndex:
 
     # --- what a kind of index adds --------------------------------------------
 
-    def indexable(self, notes: DataFrame) -> DataFrame:
-        """The notes that get a row."""
-        return notes
-
     def derived(self, notes: DataFrame) -> DataFrame:
-        """Notes with the columns that their rows have besides; nothing may be shuffled."""
+        """The notes that get a row, with the columns that it has besides; nothing may be shuffled."""
         return notes
 
     def beside(self, version: int, rows: DataFrame) -> list[tuple[str, str, int]]:
@@ -141,25 +137,28 @@ class NoteIndex:
 
     # --- maintenance --------------------------------------------------------
 
-    def sync(self, notes: DataFrame) -> Synced:
+    def sync(self, notes: DataFrame, wanted: DataFrame | None = None) -> Synced:
         """Bring the index in step with the notes (``chunk_id, seq`` and the note columns; copies may be there).
 
-        Only ids and places are compared. Of a content's copies the first counts; a
+        ``wanted`` has the ids and places of those that count, if not all do: a choice made
+        over these moves no text. Only ids and places are compared. Of a content's copies the first counts; a
         note at another place is taken out and added. Another kind drops all rows and starts anew.
         """
         rebuilt = bool(self._folders("rows")) and not self.usable()
         version = self.version + 1
-        wanted = notes.groupBy("chunk_id").agg(F.min("seq").alias("seq"))
-        held = self.all_rows().select(*KEY, "block")
-        held = held.where("false") if rebuilt else self.standing(held)
-        both = wanted.withColumn("wanted", F.lit(True)).join(held.select(*KEY).withColumn("held", F.lit(True)), KEY, "full_outer")
+        wanted = (notes if wanted is None else wanted).groupBy("chunk_id").agg(F.min("seq").alias("seq")).withColumn("wanted", F.lit(True))
+        if rebuilt or not self.count("rows"):
+            both = wanted.withColumn("held", F.lit(None).cast("boolean"))
+        else:
+            held = self.standing(self.all_rows().select(*KEY, "block")).select(*KEY)
+            both = wanted.join(held.withColumn("held", F.lit(True)), KEY, "full_outer")
         changes = self._write("changes", version, both.where("wanted is null or held is null").select(*KEY, F.col("wanted").isNotNull().alias("add")))
         n_add, n_gone = changes.agg(F.count_if("add"), F.count_if(~F.col("add"))).first()
         live = [] if rebuilt else [(r.kind, r.folder, r.rows) for r in self.live if r.folder]
         added = 0
         if n_add:
             fresh = notes.select(*KEY, *[c for c in NOTE_COLUMNS if c not in KEY]).join(small(changes.where("add").select(*KEY), n_add), KEY, "left_semi")
-            placed = self.indexable(fresh).repartitionByRange("seq").sortWithinPartitions("seq", "chunk_id")
+            placed = fresh.repartitionByRange("seq").sortWithinPartitions("seq", "chunk_id")
             added, folders = self._write_rows(version, self.derived(placed))
             live += folders
         if n_gone:

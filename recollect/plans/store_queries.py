@@ -138,12 +138,14 @@ def _synced_index(spark, sf):
     """Three syncs: labelled documents by an older embedder; those of good quality by today's; then all but the toxic ones."""
     notes, labels = fx.notes(spark, sf), fx.table(spark, sf, "labels")
     path = work_dir(spark, "index")
-    flagged = notes.join(labels.select(F.col("doc_id").alias("seq"), "quality", "toxic"), "seq", "left")
+    flagged, chosen = notes.select("chunk_id", "seq").join(labels.select(F.col("doc_id").alias("seq"), "quality", "toxic"), "seq", "left"), work_dir(spark, "flagged")
+    flagged.write.parquet(chosen)
+    flagged = spark.read.schema(flagged.schema).parquet(chosen)
     states = ("quality is not null", "quality = 1", "coalesce(toxic, 0) = 0")
     log = []
     for name, state in zip(("older", EMBEDDER, EMBEDDER), states):
         index = VectorIndex(spark, path, name=name)
-        log.append(index.sync(flagged.where(state)))
+        log.append(index.sync(notes, flagged.where(state)))
     return index, log
 
 
