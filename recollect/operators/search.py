@@ -271,7 +271,7 @@ def semantic_search_batch(
 
     Both sides are packed into numbered blocks of vectors where they lie; each
     pair of blocks is one matrix product, and of each query only the rows that can
-    still be among its head or winners leave the pair. These partial results are
+    still be among its head or winners leave the task. These partial results are
     merged by query in two steps, as a selection of n rows is cut on the map side first.
     The query blocks go to every task if they are small, else block meets block in
     a Cartesian product of the two packed tables. Texts are read for the heads only. Nothing
@@ -291,6 +291,7 @@ def semantic_search_batch(
     default_trust, dim = settings.trust.default, conf.dim
 
     def products(batches):
+        held: dict[int, _Best] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda c: batch.column(c)[i]
@@ -300,16 +301,14 @@ def semantic_search_batch(
                 scores = left @ right.T
                 cosine = round4_array(scores)
                 low = round4_array(cosine * ((1.0 - weight) + weight * trust)[:, None])
-                rows, owners = [], []
-                for q in range(right.shape[0]):
-                    positive = np.flatnonzero(scores[:, q] > 0)
-                    rows.append(np.union1d(_leading(positive, head_size, cosine[:, q], seq), _leading(positive, tail_size, low[:, q], seq, cosine[:, q])))
-                    owners.append(np.full(len(rows[-1]), q))
-                row, owner = np.concatenate(rows).astype(np.int64), np.concatenate(owners).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [get("query_ids").values.take(pa.array(owner)), pa.array(seq[row]), get("chunk_ids").values.take(pa.array(row)), pa.array(trust[row]), pa.array(cosine[row, owner])],
-                    schema.names,
-                )
+                number = get("query_block").as_py()
+                if number not in held:
+                    if len(held) == _HELD:
+                        yield held.pop(next(iter(held))).rows(schema.names)
+                    held[number] = _Best(get("query_ids").values, head_size, tail_size)
+                held[number].add(scores > 0, cosine, low, seq, trust, get("chunk_ids").values)
+        for best in held.values():
+            yield best.rows(schema.names)
 
     scored = _kept(_packed_index(index).crossJoin(packed).mapInArrow(products, schema), "partial-results")
     low = damped(F.col("cosine"), F.col("trust"), weight)
@@ -336,6 +335,52 @@ def semantic_search_batch(
 
 
 _BROADCAST_ROWS = 1 << 20
+#: Query blocks of which a task keeps the best rows so far; the small ones that every task gets are fewer.
+_HELD = 32
+
+
+class _Best:
+    """Of a block of queries, the rows that are so far among the first by cosine or by damped cosine."""
+
+    def __init__(self, ids: pa.Array, head: int, tail: int):
+        self.ids, self.sizes = ids, (head, tail)
+        self.least = [np.full(len(ids), -np.inf if n else np.inf) for n in self.sizes]
+        self.columns = [np.empty(0, np.int64), np.empty(0, np.int64), *[np.empty(0) for _ in range(3)]]
+        self.chunk_ids = pa.array([], pa.string())
+
+    def add(self, positive: np.ndarray, cosine: np.ndarray, low: np.ndarray, seq: np.ndarray, trust: np.ndarray, chunk_ids: pa.Array) -> None:
+        """Scores of a block of rows (down) by query (across)."""
+        wanted = np.zeros(positive.shape, bool)
+        for n, least, value in zip(self.sizes, self.least, (cosine, low)):
+            if 0 < n < len(seq):
+                value = np.where(positive, value, -np.inf)
+                least = np.maximum(least, np.partition(value, len(seq) - n, axis=0)[len(seq) - n])
+            wanted |= value >= least
+        row, owner = np.nonzero(wanted & positive)
+        if not len(row):
+            return
+        new = (owner, seq[row], trust[row], cosine[row, owner], low[row, owner])
+        owner, seq, trust, cosine, low = (np.concatenate(c) for c in zip(self.columns, new))
+        keep = np.zeros(len(owner), bool)
+        for k, (n, value, order) in enumerate(zip(self.sizes, (cosine, low), ((seq, -cosine), (seq, -cosine, -low)))):
+            place = _place_in_group(owner, order)
+            keep |= place < n
+            self.least[k][owner[place == n - 1]] = value[place == n - 1]
+        self.columns = [c[keep] for c in (owner, seq, trust, cosine, low)]
+        self.chunk_ids = pa.concat_arrays([self.chunk_ids, chunk_ids.take(pa.array(row))]).take(pa.array(np.flatnonzero(keep)))
+
+    def rows(self, names: list[str]) -> pa.RecordBatch:
+        owner, seq, trust, cosine, _ = self.columns
+        return pa.RecordBatch.from_arrays([self.ids.take(pa.array(owner)), pa.array(seq), self.chunk_ids, pa.array(trust), pa.array(cosine)], names)
+
+
+def _place_in_group(group: np.ndarray, order: tuple[np.ndarray, ...]) -> np.ndarray:
+    """0-based place of each row within its group; the last of ``order`` counts first."""
+    ordered = np.lexsort((*order, group))
+    starts = np.flatnonzero(np.diff(group[ordered], prepend=-1))
+    place = np.empty(len(group), np.int64)
+    place[ordered] = np.arange(len(group)) - np.repeat(starts, np.diff(np.append(starts, len(group))))
+    return place
 
 
 def _kept(df: DataFrame, purpose: str) -> DataFrame:

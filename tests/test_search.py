@@ -154,6 +154,30 @@ def test_batch_splits_queries_into_blocks(spark, index, monkeypatch):
     assert sorted(r.query_id for r in rows) == list(range(5))
 
 
+def test_a_task_keeps_the_best_of_all_its_blocks(spark, monkeypatch):
+    """What leaves a task is bounded by its queries, not by the blocks of notes that it meets."""
+    rng = np.random.default_rng(8)
+    corpus = [(" ".join(rng.choice(["vacuum", "tuning", "cat", "guide", "of"], rng.integers(1, 9))) + " ." * (i % 5), [], None, None, float(rng.choice([0.0, 0.4, 1.0]))) for i in range(700)]
+    rows = [(i, c, t, p, a, None, tr, "2024") for i, (c, t, p, a, tr) in enumerate(corpus)]
+    df = spark.createDataFrame(rows, "seq bigint, content string, tags array<string>, project_id string, agent_id string, source string, trust double, created_at string")
+    index = em.with_vectors(df.withColumn("chunk_id", F.md5(F.col("content").cast("binary"))).coalesce(1))
+    texts = ["vacuum tuning", "cat of", "guide", "?", "tuning vacuum of cat"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "q bigint, text string").coalesce(1)
+    monkeypatch.setattr(se, "BLOCK_VECTORS", 32)
+    kept, sizes = se._kept, {}
+
+    def counted(df, purpose):
+        out = kept(df, purpose)
+        sizes[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(se, "_kept", counted)
+    got = se.semantic_search_batch(index, queries, "q", "text", 2).orderBy("query_id", "rank").collect()
+    for i, text in enumerate(texts):
+        assert [(r.seq, r.score) for r in got if r.query_id == i] == brute(text, 2, corpus=corpus)
+    assert sizes["partial-results"] <= len(texts) * (8 + 10)
+
+
 def test_related_excludes_itself(index):
     first = index.where("seq = 5").select("chunk_id").first()[0]
     rows = se.related(index, first, 10).collect()
