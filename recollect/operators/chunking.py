@@ -93,7 +93,8 @@ def ingest(files: DataFrame, limit: int = DEFAULTS.ingestion.max_chunk_chars) ->
     path, raw = F.col("path"), F.col("raw")
     known = files.withColumn("kind", tx.file_kind(path))
     kind = F.col("kind")
-    blank = F.coalesce(tx.strip(raw), F.lit("")) == ""
+    # Trimmed on the left only, which stops at the first other character: the test is made several times.
+    blank = F.coalesce(F.ltrim(raw, F.lit(tx.BLANKS)), F.lit("")) == ""
     no_entries = F.array().cast("array<struct<key:string,value:string>>")
 
     def report(chunks: Column, meta: Column) -> Column:

@@ -156,3 +156,14 @@ def raw_text_files(spark: SparkSession, sf_dir: str) -> str:
     )
     # Spark names its files .txt, a supported kind; markers start with "_" and are not listed.
     return raw
+
+
+def raw_text_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The same files side by side in one folder, as an inbox has them; a folder for each takes longer to make than its file."""
+    raw = work_dir(spark, "raw")
+    d = table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / DOCS_PER_FILE).cast("bigint"))
+    body = F.coalesce(F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n")), F.lit(""))
+    docs = F.array_sort(F.collect_list(F.struct("doc_id", body.alias("body"))))
+    files = d.repartition("part").groupBy("part").agg(F.array_join(F.transform(docs, lambda x: x["body"]), "\n").alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(raw)  # a record is a whole file
+    return raw

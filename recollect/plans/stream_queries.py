@@ -22,7 +22,7 @@ def _finish(query):
 
 def _ingested(spark, sf, **options):
     store = ig.create_table(spark, work_dir(spark, "store"), ig.STORE_SCHEMA)
-    raw, log = fx.raw_text_files(spark, sf), work_dir(spark, "log")
+    raw, log = fx.raw_text_folder(spark, sf), work_dir(spark, "log")
     if options:  # a store in use: the titles of the pages are notes already
         pages = fx.table(spark, sf, "pages").select(F.col("page_id").alias("ord"), F.col("url").alias("content"), F.array(F.lit("#page")).alias("tags"),
             *[F.lit(None).cast("string").alias(c) for c in ("project_id", "source", "agent_id")], F.lit("2024-01-01").alias("created_at"))

@@ -34,6 +34,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 _SHIPPED: set[str] = set()
 #: Spark's own bound on an Arrow batch, and ours: a Python worker holds a batch and what it makes of it.
 _ARROW_DEFAULT, _ARROW_BYTES = 64 << 20, 8 << 20
+#: Spark's own bound on the tasks that list many files or folders, and ours: with a task for each file, starting tasks is most of the work.
+_LIST_DEFAULT, _LIST_TASKS = 10_000, 256
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -54,6 +56,9 @@ def ship(spark: SparkSession) -> SparkSession:
         limit = "spark.sql.execution.arrow.maxBytesPerBatch"
         if spark.conf.get(limit).rstrip("bB") == str(_ARROW_DEFAULT):
             spark.conf.set(limit, str(_ARROW_BYTES))
+        listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+        if spark.conf.get(listing) == str(_LIST_DEFAULT):
+            spark.conf.set(listing, str(max(_LIST_TASKS, 4 * spark.sparkContext.defaultParallelism)))
         _SHIPPED.add(app)
     return spark
 

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -59,6 +60,26 @@ def test_streams_of_tables_in_one_file_or_several(spark, tmp_path):
         assert spark.read.parquet(f"{sf}/out").count() == n
 
 
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(300):
+        put(tmp_path / f"raw/{i}/a.txt", f"text {i % 200}")
+    query = ig.start_ingest(spark, *(str(tmp_path / d) for d in ("raw", "store", "log", "check")))
+    query.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 256
+    assert ig.read_table(spark, str(tmp_path / "store"), ig.STORE_SCHEMA).count() == 200
+
+
+def test_raw_text_folder_holds_the_same_files(spark, tmp_path):
+    texts = [None if i % 7 == 0 else "" if i % 11 == 0 else f"one {i}\n\nmore  " for i in range(180)]
+    rows = [(i, t) for i, t in enumerate(texts) if not 60 <= i < 110]  # files with fewer than fifty documents
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    apart, flat = (Path(make(spark, str(tmp_path))) for make in (fx.raw_text_files, fx.raw_text_folder))
+    assert sorted(p.read_bytes() for p in flat.glob("*.txt")) == sorted(p.read_bytes() for p in apart.rglob("*.txt"))
+    assert len(list(flat.glob("*.txt"))) == 4
+
+
 def test_watcher_lifecycle(spark, tmp_path):
     raw, store, log, check = (str(tmp_path / d) for d in ("raw", "store", "log", "check"))
     put(tmp_path / "raw/a.txt", "one")
